@@ -140,7 +140,7 @@ class WordCache:
         if len(self.index) + len(words) > self.limit and self.index:
             self.index, self.values, self.bounds = {}, None, np.zeros(1, np.int64)
         found = [self.index.get(w) for w in words]
-        missing = [w for w, row in zip(words, found, strict=True) if row is None]
+        missing = list(dict.fromkeys(w for w, row in zip(words, found, strict=True) if row is None))
         if missing:
             made = self.make(missing)
             values = made[0] if isinstance(made, tuple) else made
@@ -153,4 +153,18 @@ class WordCache:
         return np.array(found, np.int64)
 
 
-__all__ = ["WordCache", "annotated", "discard", "gathered", "new_path", "per_row", "shared_dir", "slices", "stored", "string_bytes", "word_codes"]
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 29) -> DataFrame:
+    """(text, label) of about `most` labelled rows of each class: ids are drawn by hash, then broadcast to the texts.
+
+    The broadcast holds two classes of `most` ids at most, give or take the draw's spread; the
+    texts of documents are never shuffled. Null ids and labels are left out.
+    """
+    rows = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rate = F.when(F.col("label") == 1, min(1.0, most / max(1, counts.get(1, 0)))).otherwise(min(1.0, most / max(1, counts.get(0, 0))))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.filter(draw < rate).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+
+
+__all__ = ["WordCache", "annotated", "discard", "gathered", "labelled_sample", "new_path", "per_row", "shared_dir", "slices", "stored", "string_bytes", "word_codes"]

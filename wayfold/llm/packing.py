@@ -243,13 +243,11 @@ def packed(pieces: DataFrame, planner=linear_grouping, capacity: int = CAPACITY,
     the ranks of a length certain, and rows equal in it are interchangeable. A column of
     pieces named sequence_id or offset is replaced.
     """
-    spark = pieces.sparkSession
     pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
     order = order or pieces.columns
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}  # capacity rows at most
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    plan = spark.sparkContext.broadcast(planner(histogram, capacity).arrays())
     salts = -(-max(histogram.values(), default=1) // RANKED)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
@@ -257,10 +255,17 @@ def packed(pieces: DataFrame, planner=linear_grouping, capacity: int = CAPACITY,
     bases = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order))
     ranked = salted.withColumn("_own", own).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_own") - 1)
-    names = [*pieces.columns, "sequence_id", "offset"]
+    return placed(ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], "_rank"), planner(histogram, capacity))
+
+
+def placed(ranked: DataFrame, plan: Plan) -> DataFrame:
+    """ranked without _rank (the place among pieces of its length), with sequence_id and offset by the plan."""
+    names = [c for c in ranked.columns if c != "_rank"]
+    schema = T.StructType([*(f for f in ranked.schema.fields if f.name != "_rank"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    shared = ranked.sparkSession.sparkContext.broadcast(plan.arrays())
 
     def place(batches):
-        p = plan.value
+        p = shared.value
         shift = np.int64(1) << np.int64(45)
         keys = p["length"] * shift + p["rank"]
         for batch in batches:
@@ -269,8 +274,6 @@ def packed(pieces: DataFrame, planner=linear_grouping, capacity: int = CAPACITY,
             over = rank - p["rank"][row]
             sequence = p["sequence"][row] + over // p["each"][row]
             offset = p["offset"][row] + over % p["each"][row] * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), pa.array(sequence), pa.array(offset)], names=names)
-
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], "_rank").mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema)

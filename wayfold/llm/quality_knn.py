@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import annotated, per_row, string_bytes, word_codes
+from wayfold.llm.common import annotated, labelled_sample, per_row, string_bytes, word_codes
 
 #: Labelled texts of each class that are learned from; also bounds what is broadcast.
 SAMPLE_PER_CLASS = 3000
@@ -127,20 +127,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 29) -> DataFrame:
-    """(text, label) of about `most` labelled rows of each class: ids are drawn by hash, then broadcast to the texts.
-
-    The broadcast holds two classes of `most` ids at most, give or take the draw's spread; the
-    texts of documents are never shuffled. Null ids and labels are left out.
-    """
-    rows = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.when(F.col("label") == 1, min(1.0, most / max(1, counts.get(1, 0)))).otherwise(min(1.0, most / max(1, counts.get(0, 0))))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.filter(draw < rate).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS, dimensions: int = DIMENSIONS) -> Voters:
     """Learn from about per_class labelled texts of each class; whole texts, null ones as empty.
 

@@ -14,6 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,11 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def id_bytes(path: str) -> int:
+    """2 if all ids of the tokenizer fit in 16 bits, else 4."""
+    return 2 if tokenizer(path).get_vocab_size() <= 1 << 16 else 4
+
+
 def _encoded(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     own, lengths, flat = tokenizer(path), [], []
     for start in range(0, len(words), ENCODED):
@@ -66,16 +72,19 @@ def text_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarr
     return out, text_ends + np.arange(n + 1)
 
 
-def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(key, piece, start, length, ids_crc32[, ids]): every text's ids and end_id, in pieces of at most capacity.
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, ranked: bool = False) -> DataFrame:
+    """(key, piece, start, length, ids_crc32[, ids][, _part, _ordinal]): every text's ids and end_id, in pieces of at most capacity.
 
     Only texts of more than capacity ids are cut, losslessly: all pieces but the last are full.
     Null texts are as empty: one piece that holds end_id alone. Rows with null keys and
-    repeated rows each get their pieces. Other columns of docs are not read.
+    repeated rows each get their pieces. Other columns of docs are not read. ids are little-endian
+    unsigned integers of id_bytes(path) bytes; _ordinal numbers the pieces of one length in a
+    task, _part is the task's number (both hold once the rows are written).
     """
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
+        task, seen = TaskContext.get(), {}
         for part in slices(batches, "text"):
             ids, bounds = text_ids(part.column("text"), path, end_id)
             counts = -(-np.diff(bounds) // capacity)
@@ -88,9 +97,16 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             columns = [part.column("key").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["key", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                columns.append(pa.array([ids[a : a + n].astype("<u4").tobytes() for a, n in zip(at.tolist(), length.tolist(), strict=True)], pa.binary()))
+                columns.append(pa.array([ids[a : a + n].astype(f"<u{width}").tobytes() for a, n in zip(at.tolist(), length.tolist(), strict=True)], pa.binary()))
                 names.append("ids")
+            if ranked:
+                ordinal = np.empty(len(length), np.int64)
+                for i, n in enumerate(length.tolist()):
+                    ordinal[i] = seen[n] = seen.get(n, -1) + 1
+                columns += [pa.array(np.full(len(length), task.partitionId(), np.int32)), pa.array(ordinal)]
+                names += ["_part", "_ordinal"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", _part int, _ordinal long" * ranked
+    width = id_bytes(path)
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
