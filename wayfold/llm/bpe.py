@@ -109,31 +109,34 @@ class Vocabulary:
         self.token_bounds = np.concatenate(([0], np.cumsum([len(t) for t in tokens], dtype=np.int64)))
         self.matches = regex.compile(self.pattern)
         self.segments = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+        self.spaces = set(regex.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
         self.cache = WordCache(self._encode_segments, 400_000)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece; a piece that is a token is that token."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        whole = [self.ranks.get(p) for p in pieces]
-        for i, r in enumerate(whole):
-            if r is not None:
-                out[i] = np.array([r], np.int64)
-        todo = np.array([i for i, r in enumerate(whole) if r is None], np.int64)
-        for i in todo[lengths[todo] > LONG].tolist():
-            out[i] = self._merge_long(self.byte_ids[np.frombuffer(pieces[i], np.uint8)])
-        todo = todo[lengths[todo] <= LONG]
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and their bounds; a piece that is a token is that token."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        known = np.flatnonzero(whole >= 0)
+        made = [(known, np.ones(len(known), np.int64), whole[known])]  # pieces, their numbers of ids, and the ids
+        for i in np.flatnonzero((whole < 0) & (lengths > LONG)).tolist():
+            ids = self._merge_long(self.byte_ids[np.frombuffer(pieces[i], np.uint8)])
+            made.append((np.array([i]), np.array([len(ids)]), ids))
+        todo = np.flatnonzero((whole < 0) & (lengths <= LONG))
         todo = todo[np.argsort(lengths[todo], kind="stable")]
         start = 0
         while start < len(todo):  # buckets of like lengths
             width = int(lengths[todo[start]])
             width += width // 4
             end = min(int(np.searchsorted(lengths[todo], width, side="right")), start + max(1, CELLS // max(1, width)))
-            self._merge_bucket([pieces[i] for i in todo[start:end]], todo[start:end], out)
+            self._merge_bucket([pieces[i] for i in todo[start:end].tolist()], todo[start:end], made)
             start = end
-        return out
+        at, sizes, flat = (np.concatenate(x).astype(np.int64) for x in zip(*made, strict=True))
+        place = np.empty(len(pieces), np.int64)
+        place[at] = np.arange(len(at))
+        index, bounds = gathered(np.concatenate(([0], np.cumsum(sizes))), place)
+        return flat[index], bounds
 
-    def _merge_bucket(self, pieces: list[bytes], at: np.ndarray, out: list) -> None:
+    def _merge_bucket(self, pieces: list[bytes], at: np.ndarray, made: list) -> None:
         lengths = np.array([len(p) for p in pieces])
         ids = np.full((len(pieces), int(lengths.max(initial=0))), -1, np.int64)
         ids[np.arange(ids.shape[1])[None, :] < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -144,8 +147,8 @@ class Vocabulary:
             least = ranks[rows, best] if ranks.shape[1] else np.full(len(ids), NO_RANK)
             done = least >= NO_RANK
             if done.any():
-                for r in np.flatnonzero(done).tolist():
-                    out[at[r]] = ids[r, : lengths[r]].copy()
+                own = ids[done]
+                made.append((at[done], lengths[done], own[np.arange(own.shape[1])[None, :] < lengths[done][:, None]]))
                 ids, ranks, at, lengths, best, least = (x[~done] for x in (ids, ranks, at, lengths, best, least))
                 if not len(ids):
                     return
@@ -193,17 +196,27 @@ class Vocabulary:
 
     def _encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments end to end, and their bounds."""
-        index: dict[str, int] = {}
-        order, counts = [], []
-        for segment in segments:
-            found = self.matches.findall(segment)
-            counts.append(len(found))
-            order += [index.setdefault(p, len(index)) for p in found]
-        encoded = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in index])
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in encoded], dtype=np.int64)))
-        flat = np.concatenate(encoded) if encoded else np.zeros(0, np.int64)
-        at, ends = gathered(bounds, np.array(order, np.int64))
-        return flat[at].astype(np.uint32), ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        # segments that start with white space and end without it can be matched as one string
+        spaced = np.array([s[0] in self.spaces and s[-1] not in self.spaces for s in segments])
+        joined = self.matches.findall("".join(s for s, ok in zip(segments, spaced.tolist(), strict=True) if ok))
+        ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        counts = np.zeros(len(segments), np.int64)
+        counts[spaced] = np.diff(np.searchsorted(ends, np.cumsum(lengths[spaced]), side="right"), prepend=0)
+        alone = [self.matches.findall(segments[i]) for i in np.flatnonzero(~spaced).tolist()]
+        counts[~spaced] = [len(x) for x in alone]
+        order = np.concatenate((np.flatnonzero(spaced), np.flatnonzero(~spaced)))
+        pieces = list(chain(joined, chain.from_iterable(alone)))  # in the order of `order`
+        distinct = list(dict.fromkeys(pieces))
+        row = dict(zip(distinct, range(len(distinct)), strict=True))
+        codes = np.fromiter(map(row.__getitem__, pieces), np.int64, len(pieces))
+        flat, bounds = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in distinct])
+        at, ends = gathered(bounds, codes)
+        segment_bounds = ends[np.concatenate(([0], np.cumsum(counts[order])))]
+        place = np.empty(len(segments), np.int64)
+        place[order] = np.arange(len(order))
+        back, out = gathered(segment_bounds, place)
+        return flat[at[back]].astype(np.uint32), out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts end to end, as unsigned 32-bit integers, and each text's bounds; null is as empty."""
