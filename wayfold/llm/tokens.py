@@ -22,10 +22,14 @@ from wayfold.llm.common import WordCache, gathered, slices, word_codes
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct parts encoded by one call.
-ENCODED = 20_000
+#: Strings encoded by one call, and plain words in one of them.
+ENCODED, JOINED = 20_000, 128
+#: Words that normal forms and lower-casing leave one run of letters and one of punctuation.
+PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[!-/:-@\[-`{-~]*$"
+CLOSED = r"[!-/:-@\[-`{-~]$"
 
 _TOKENIZERS: dict = {}
+_ENDS: dict[str, np.ndarray] = {}
 _CACHES: dict[str, WordCache] = {}
 
 
@@ -45,12 +49,45 @@ def id_bytes(path: str) -> int:
 
 
 def _encoded(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    own, lengths, flat = tokenizer(path), [], []
-    for start in range(0, len(words), ENCODED):
-        made = [x.ids for x in own.encode_batch_fast(words[start : start + ENCODED], add_special_tokens=False)]
+    """Ids of distinct words end to end, and their bounds.
+
+    Words of plain letters and closing punctuation are encoded many to a string, as an
+    encoding object costs more than a word: each of their one or two parts ends in one token
+    that the vocabulary marks as a word's end. All others are encoded on their own.
+    """
+    array = pa.array(words, pa.string())
+    plain = pc.match_substring_regex(array, PLAIN).to_numpy(zero_copy_only=False)
+    parts = 1 + pc.match_substring_regex(array, CLOSED).to_numpy(zero_copy_only=False)[plain].astype(np.int64)
+    lines = array.filter(pa.array(plain)).to_pylist()
+    flat = _ids([" ".join(lines[at : at + JOINED]) for at in range(0, len(lines), JOINED)], path)[0]
+    ends = np.flatnonzero(_word_ends(path)[flat]) + 1
+    if len(ends) != parts.sum():  # a vocabulary of another kind
+        plain, flat, ends, parts = np.zeros(len(words), bool), flat[:0], ends[:0], parts[:0]
+    own, lengths = _ids(array.filter(pa.array(~plain)).to_pylist(), path)
+    sizes = np.concatenate((np.diff(ends[np.cumsum(parts) - 1], prepend=0), lengths)).astype(np.int64)
+    place = np.empty(len(words), np.int64)
+    place[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = np.arange(len(words))
+    at, bounds = gathered(np.concatenate(([0], np.cumsum(sizes))), place)
+    return np.concatenate((flat, own))[at], bounds
+
+
+def _ids(strings: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of strings end to end, and each string's number."""
+    own, lengths, flat = tokenizer(path), [], [np.zeros(0, np.uint32)]
+    for start in range(0, len(strings), ENCODED):
+        made = [x.ids for x in own.encode_batch_fast(strings[start : start + ENCODED], add_special_tokens=False)]
         lengths += map(len, made)
         flat.append(np.fromiter(chain.from_iterable(made), np.uint32))
-    return np.concatenate(flat), np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    return np.concatenate(flat), np.array(lengths, np.int64)
+
+
+def _word_ends(path: str) -> np.ndarray:
+    """Whether each id's token ends a word."""
+    if path not in _ENDS:
+        vocabulary = tokenizer(path).get_vocab()
+        _ENDS[path] = np.zeros(max(vocabulary.values()) + 1, bool)
+        _ENDS[path][[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return _ENDS[path]
 
 
 def text_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
