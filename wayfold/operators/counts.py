@@ -34,7 +34,7 @@ def occupancy(panel: DataFrame) -> DataFrame:
 
 def dense(cells: DataFrame, keys: list[str], first: int, last: int, value: str = "n") -> DataFrame:
     """cells with a row for every slot from first to last of each key, value 0 where there was none."""
-    grid = cells.select(*keys).distinct().withColumn("slot", F.explode(F.sequence(F.lit(first), F.lit(last))).cast("long"))
+    grid = cells.select(*keys).distinct().withColumn("slot", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
     return grid.join(cells, [*keys, "slot"], "left").select(*keys, "slot", F.coalesce(value, F.lit(0)).cast("long").alias(value))
 
 
