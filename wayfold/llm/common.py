@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -117,9 +118,14 @@ def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def gathered(bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices that lay the segments named by codes end to end, and the bounds of the result."""
-    lengths = (bounds[1:] - bounds[:-1])[codes]
+    return gathered_ranges(bounds[:-1][codes], bounds[1:][codes])
+
+
+def gathered_ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices that lay ranges end to end, and the bounds of the result."""
+    lengths = stops - starts
     ends = np.concatenate(([0], np.cumsum(lengths)))
-    return np.repeat(bounds[:-1][codes] - ends[:-1], lengths) + np.arange(ends[-1]), ends
+    return np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1]), ends
 
 
 class WordCache:
@@ -139,18 +145,19 @@ class WordCache:
         """Each word's row number in values, or segment number in bounds."""
         if len(self.index) + len(words) > self.limit and self.index:
             self.index, self.values, self.bounds = {}, None, np.zeros(1, np.int64)
-        found = [self.index.get(w) for w in words]
-        missing = list(dict.fromkeys(w for w, row in zip(words, found, strict=True) if row is None))
+        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0).tolist()
         if missing:
-            made = self.make(missing)
+            new = list(dict.fromkeys(words[i] for i in missing))
+            made = self.make(new)
             values = made[0] if isinstance(made, tuple) else made
             if isinstance(made, tuple):
                 self.bounds = np.concatenate((self.bounds, made[1][1:] + self.bounds[-1]))
             self.values = values if self.values is None else np.concatenate((self.values, values))
             first = len(self.index)
-            self.index.update(zip(missing, range(first, first + len(missing)), strict=True))
-            found = [self.index[w] for w in words]
-        return np.array(found, np.int64)
+            self.index.update(zip(new, range(first, first + len(new)), strict=True))
+            found[missing] = range(first, first + len(new)) if len(new) == len(missing) else [self.index[words[i]] for i in missing]
+        return found
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 29) -> DataFrame:
@@ -167,4 +174,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, s
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
-__all__ = ["WordCache", "annotated", "discard", "gathered", "labelled_sample", "new_path", "per_row", "shared_dir", "slices", "stored", "string_bytes", "word_codes"]
+__all__ = ["WordCache", "annotated", "discard", "gathered", "gathered_ranges", "labelled_sample", "new_path", "per_row", "shared_dir", "slices", "stored", "string_bytes", "word_codes"]

@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CAPACITY = 4096
 #: Groups of equal cardinality; pieces of at most SMALL * capacity are small; pivots of the configuration program at most.
@@ -260,20 +259,13 @@ def packed(pieces: DataFrame, planner=linear_grouping, capacity: int = CAPACITY,
 
 def placed(ranked: DataFrame, plan: Plan) -> DataFrame:
     """ranked without _rank (the place among pieces of its length), with sequence_id and offset by the plan."""
-    names = [c for c in ranked.columns if c != "_rank"]
-    schema = T.StructType([*(f for f in ranked.schema.fields if f.name != "_rank"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    shared = ranked.sparkSession.sparkContext.broadcast(plan.arrays())
-
-    def place(batches):
-        p = shared.value
-        shift = np.int64(1) << np.int64(45)
-        keys = p["length"] * shift + p["rank"]
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
-            row = np.searchsorted(keys, length * shift + rank, side="right") - 1
-            over = rank - p["rank"][row]
-            sequence = p["sequence"][row] + over // p["each"][row]
-            offset = p["offset"][row] + over % p["each"][row] * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, schema)
+    runs = plan.arrays()
+    last = np.append(runs["length"][1:] != runs["length"][:-1], True) if len(runs["length"]) else np.zeros(0, bool)
+    stop = np.where(last, np.int64(1) << np.int64(62), np.append(runs["rank"][1:], 0)[: len(last)])
+    table = pa.table({"_l": runs["length"], "_first": runs["rank"], "_stop": stop, "_sequence": runs["sequence"], "_each": runs["each"], "_at": runs["offset"]})
+    side = F.broadcast(ranked.sparkSession.createDataFrame(table.to_pandas(), "_l long, _first long, _stop long, _sequence long, _each long, _at long"))  # a plan's runs: bounded by the capacity
+    placed_ = ranked.join(side, (F.col("length") == F.col("_l")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_stop")))
+    over = F.col("_rank") - F.col("_first")
+    sequence = F.col("_sequence") + F.expr("(_rank - _first) div _each")
+    offset = F.col("_at") + over % F.col("_each") * F.col("length")
+    return placed_.select(*[F.col(f"`{c}`") for c in ranked.columns if c != "_rank"], sequence.alias("sequence_id"), offset.alias("offset"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WordCache, gathered, slices, word_codes
+from wayfold.llm.common import WordCache, gathered, gathered_ranges, slices, string_bytes, word_codes
 
 CAPACITY = 4096
 END_ID = 1
@@ -26,6 +26,7 @@ END_ID = 1
 ENCODED, JOINED = 20_000, 128
 #: Words that normal forms and lower-casing leave one run of letters and one of punctuation.
 PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[!-/:-@\[-`{-~]*$"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CLOSED = r"[!-/:-@\[-`{-~]$"
 
 _TOKENIZERS: dict = {}
@@ -97,16 +98,26 @@ def text_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarr
     if path not in _CACHES:
         _CACHES[path] = WordCache(lambda words: _encoded(words, path))
     cache = _CACHES[path]
-    rows = cache.rows(vocabulary.to_pylist())
-    index, ends = gathered(cache.bounds, rows[codes])
-    text_ends = ends[bounds]
-    n = len(texts)
-    out = np.full(len(index) + n, end_id, np.uint32)
-    keep = np.ones(len(out), bool)
-    keep[text_ends[1:] + np.arange(n)] = False
-    if len(index):
-        out[keep] = cache.values[index]
-    return out, text_ends + np.arange(n + 1)
+    # a plain word's letters and closing punctuation are parts of their own: letters recur far more often
+    stems = pc.if_else(pc.match_substring_regex(vocabulary, PLAIN), pc.ascii_rtrim(vocabulary, MARKS), vocabulary)
+    tails = _tails(vocabulary, stems)
+    coded = [x.dictionary_encode() for x in (stems, tails)]
+    words = [*coded[0].dictionary.to_pylist(), *coded[1].dictionary.to_pylist()]
+    row = cache.rows(words)
+    both = np.stack((row[coded[0].indices.to_numpy()], row[len(coded[0].dictionary) :][coded[1].indices.to_numpy()]), axis=1).ravel() if len(vocabulary) else np.zeros(0, np.int64)
+    index, ends = gathered(cache.bounds, both)
+    own = np.append(cache.values[index] if len(index) else np.zeros(0, np.uint32), np.uint32(end_id))
+    word_bounds = np.append(ends[::2], ends[-1] + 1)
+    index, ends = gathered(word_bounds, np.insert(codes, bounds[1:], len(vocabulary)))
+    return own[index], ends[bounds + np.arange(len(bounds))]
+
+
+def _tails(words: pa.Array, stems: pa.Array) -> pa.Array:
+    """What each word has beyond its stem."""
+    raw, at = string_bytes(words)
+    lengths = pc.binary_length(stems).to_numpy().astype(np.int64)
+    index, bounds = gathered_ranges(at[:-1] + lengths, at[1:])
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw[index]))
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, ranked: bool = False) -> DataFrame:
