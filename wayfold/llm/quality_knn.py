@@ -4,7 +4,8 @@ A text's terms are hashed words, hashed word shapes (runs of upper case, lower c
 and each punctuation mark, collapsed) and two repetition terms. Square roots of term shares,
 weighted by inverse document frequency, are projected on the leading singular directions of
 a bounded labelled sample. The sample's vectors are broadcast; every document's exact cosine
-with all of them is computed in blocks, and its NEIGHBOURS nearest vote by similarity.
+with all of them is computed in blocks, and its NEIGHBOURS nearest vote by similarity, each
+class weighted so that both would count the same over the whole sample.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from wayfold.llm.common import annotated, labelled_sample, per_row, string_bytes
 #: Labelled texts of each class that are learned from; also bounds what is broadcast.
 SAMPLE_PER_CLASS = 3000
 DIMENSIONS = 48
-NEIGHBOURS = 25
+NEIGHBOURS = 9
 WORD_BUCKETS, SHAPE_BUCKETS, EXTRA = 768, 384, 2
 TERMS = WORD_BUCKETS + SHAPE_BUCKETS + EXTRA
 #: Shapes tell more about a text's form than words do.
@@ -94,6 +95,12 @@ class Voters:
     labels: np.ndarray
     prior: float
 
+    @property
+    def weights(self) -> np.ndarray:
+        """Of each labelled vector: what makes its class count as much as the other."""
+        share = np.clip(self.labels.mean(), 1e-9, 1 - 1e-9) if len(self.labels) else 0.5
+        return np.where(self.labels == 1, 0.5 / share, 0.5 / (1 - share))
+
     @classmethod
     def learn(cls, shares: np.ndarray, labels: np.ndarray, prior: float, dimensions: int = DIMENSIONS) -> Voters:
         n = len(shares)
@@ -107,7 +114,7 @@ class Voters:
         return cls(projection, _unit(shares @ projection), labels.astype(np.float32), prior)
 
     def score(self, texts: pa.Array, neighbours: int = NEIGHBOURS) -> np.ndarray:
-        out = np.full(len(texts), self.prior)
+        out, weights = np.full(len(texts), self.prior), self.weights
         for start in range(0, len(texts), BLOCK):
             own = _unit(term_shares(texts.slice(start, BLOCK)) @ self.projection)
             if not len(self.labels):
@@ -115,7 +122,7 @@ class Voters:
             cosines = own @ self.vectors.T
             k = min(neighbours, cosines.shape[1])
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64)
+            votes = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) * weights[near]
             total = votes.sum(axis=1)
             some = total > 0
             out[start : start + len(own)][some] = np.clip((votes * self.labels[near]).sum(axis=1)[some] / total[some], 0, 1)
