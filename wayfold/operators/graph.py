@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import EARTH_RADIUS_M, haversine_m
+from wayfold.session import ensure_checkpoint
 
 #: Metres in a degree of latitude.
 DEGREE_M = EARTH_RADIUS_M * np.pi / 180
@@ -43,10 +44,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     Least-label propagation with label jumping, written to the checkpoint folder every round.
     """
     spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-"))
+    ensure_checkpoint(spark)
     links = edges.select("src", "dst").checkpoint()
     labels = nodes.select("zone", F.col("zone").alias("label")).checkpoint()
     for _ in range(most_rounds):
@@ -194,7 +192,8 @@ def dbscan(zones: DataFrame, eps_m: float, least: int = 5) -> DataFrame:
     Core: at least `least` zones, itself included, within eps_m. Border zones take the least
     label among their core neighbours.
     """
-    edges = radius_edges(zones, eps_m).checkpoint() if zones.sparkSession.sparkContext.getCheckpointDir() else radius_edges(zones, eps_m)
+    ensure_checkpoint(zones.sparkSession)
+    edges = radius_edges(zones, eps_m).checkpoint()
     degree = zones.select("zone").join(edges.groupBy(F.col("src").alias("zone")).agg(F.count(F.lit(1)).alias("_d")), "zone", "left")
     told = degree.select("zone", (F.coalesce("_d", F.lit(0)) + 1 >= least).alias("core"))
     cores = told.filter("core").select("zone")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,57 @@ def multistep(cube: DataFrame, steps: int) -> dict[int, DataFrame]:
     return out
 
 
+def packed_cube(cube: DataFrame, zones: list[int]) -> DataFrame:
+    """(slot, m): each slot's matrix over the given zones as little-endian doubles, row by row; absent cells are 0.
+
+    For dense cubes, where a row for each cell would cost more than the product.
+    """
+    place = {z: i for i, z in enumerate(zones)}
+    n = len(zones)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((n, n))
+        m[frame["origin"].map(place), frame["dest"].map(place)] = frame["p"]
+        return pd.DataFrame({"slot": frame["slot"].iloc[:1], "m": [m.astype("<f8").tobytes()]})
+
+    return cube.groupBy("slot").applyInPandas(lambda f: pack(f), "slot long, m binary")
+
+
+def chained_packed(left: DataFrame, right: DataFrame, steps: int, block: int = 32) -> DataFrame:
+    """(slot, m): left at slot times right at slot + steps, for packed cubes.
+
+    Slots go to blocks of consecutive ones; both sides of a product meet in the block of the
+    left slot, so each matrix is moved once and multiplied by one BLAS call.
+    """
+    a = left.select("slot", F.lit(0).alias("side"), "m", F.floor(F.col("slot") / block).alias("_b"))
+    b = right.select((F.col("slot") - steps).alias("slot"), F.lit(1).alias("side"), "m", F.floor((F.col("slot") - steps) / block).alias("_b"))
+
+    def multiply(table: pa.Table) -> pa.Table:
+        held: dict[int, list] = {}
+        for slot, side, m in zip(*(table.column(c) for c in ("slot", "side", "m")), strict=True):
+            held.setdefault(slot.as_py(), [None, None])[side.as_py()] = np.frombuffer(m.as_buffer(), "<f8")
+        out = []
+        for slot, (x, y) in sorted(held.items()):
+            if x is not None and y is not None:
+                n = int(round(len(x) ** 0.5))
+                out.append((slot, (x.reshape(n, n) @ y.reshape(n, n)).astype("<f8").tobytes()))
+        return pa.table({"slot": pa.array([s for s, _ in out], pa.int64()), "m": pa.array([m for _, m in out], pa.binary())})
+
+    return a.unionByName(b).groupBy("_b").applyInArrow(lambda t: multiply(t), "slot long, m binary")
+
+
+def unpacked_cube(packed: DataFrame, zones: list[int]) -> DataFrame:
+    """(origin, dest, slot, p) of a packed cube."""
+
+    def unpack(batches):
+        n = len(zones)
+        for batch in batches:
+            for slot, m in zip(batch.column("slot").to_pylist(), batch.column("m"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(zones, n)), pa.array(np.tile(zones, n)), pa.array(np.full(n * n, slot)), pa.array(np.frombuffer(m.as_buffer(), "<f8"))], names=["origin", "dest", "slot", "p"])
+
+    return packed.mapInArrow(unpack, "origin long, dest long, slot long, p double")
+
+
 def row_sums_off(cube: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(origin, slot, total): rows whose probabilities don't sum to 1; empty for a valid cube."""
     return cube.groupBy("origin", "slot").agg(F.sum("p").alias("total")).filter(F.abs(F.col("total") - 1) > tolerance)

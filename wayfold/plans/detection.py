@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.numeric import ratio
 from wayfold.operators import counts, detect, dglm, inject, kernel, probability, sequence
+from wayfold.session import ensure_checkpoint
 
 FEATURES = ["kernel_prob", "lag1", "lag2", "gate"]
 
@@ -43,11 +44,7 @@ def group_cube(panel: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-"))
+    ensure_checkpoint(df.sparkSession)
     return df.checkpoint()
 
 

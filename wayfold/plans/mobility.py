@@ -361,6 +361,29 @@ def streak_prune(spark, sf_dir):
     return sequence.drop_beyond_streak(stay_series(coarse(spark, sf_dir)), ["agent"], ["slot"], 2).select("agent", "slot", "y")
 
 
+def gate_sql(n: int, same: str, ident: int, sign: float) -> str:
+    """Signed leave gates of the asked cells whose origin and destination are `same` (= or <>)."""
+    return f""", gr{n} AS (SELECT *, CASE WHEN y = {ident} THEN row_number() OVER (PARTITION BY agent, origin, dest, y, g ORDER BY slot) END AS own FROM (SELECT *, slot - row_number() OVER (PARTITION BY agent, origin, dest, y ORDER BY slot) AS g FROM cind WHERE origin {same} dest)),
+gl{n} AS (SELECT *, CASE WHEN y = {ident} THEN own WHEN lag(slot) OVER w = slot - 1 THEN coalesce(lag(own) OVER w, 0) ELSE 0 END AS len FROM gr{n} WINDOW w AS (PARTITION BY agent, origin, dest ORDER BY slot)),
+gd{n} AS (SELECT agent, origin, dest, slot, len, row_number() OVER (PARTITION BY agent, origin, dest ORDER BY slot) AS k FROM gl{n} WHERE y <> {ident} AND len > 0),
+gm{n} AS (SELECT a.agent, a.origin, a.dest, a.slot, sum(pow(0.8, a.k - b.k) * b.len) / sum(pow(0.8, a.k - b.k)) AS m FROM gd{n} a JOIN gd{n} b ON a.agent = b.agent AND a.origin = b.origin AND a.dest = b.dest AND b.k <= a.k GROUP BY ALL),
+gate{n} AS (SELECT agent, origin, dest, slot, CASE WHEN mean IS NOT NULL THEN {sign} * CAST(round(len - (mean - 2.0), 9) > 0 AS INT) END AS gate FROM (SELECT l.*, last_value(m IGNORE NULLS) OVER (PARTITION BY l.agent, l.origin, l.dest ORDER BY l.slot ROWS UNBOUNDED PRECEDING) AS mean FROM gl{n} l LEFT JOIN gm{n} m ON m.agent = l.agent AND m.origin = l.origin AND m.dest = l.dest AND m.slot = l.slot))"""
+
+
+GATES = gate_sql(1, "=", 1, -1.0) + gate_sql(2, "<>", 0, 1.0) + ", gates AS (SELECT * FROM gate1 UNION ALL SELECT * FROM gate2)"
+
+
+@query(C + GATES + " SELECT agent, origin, dest, slot, CAST(gate AS DOUBLE) AS gate FROM gates")
+def leave_gate(spark, sf_dir):
+    return sequence.signed_leave_gate(cascade_cells(coarse(spark, sf_dir)), ["agent"], 0.8, 2.0).select("agent", "origin", "dest", "slot", "gate")
+
+
+@query(C + GATES + f" SELECT agent, origin, dest, slot + k * 24 AS slot, CAST(coalesce(gate, 0) AS DOUBLE) AS gate FROM gates, (SELECT unnest(range(1, 8)) AS k) WHERE slot >= {TRAIN_END - 24} AND slot < {TRAIN_END}")
+def leave_gate_frozen(spark, sf_dir):
+    made = sequence.signed_leave_gate(cascade_cells(coarse(spark, sf_dir)), ["agent"], 0.8, 2.0).withColumn("gate", F.coalesce("gate", F.lit(0.0)))
+    return counts.frozen(made, PER_DAY, 7, TRAIN_END).select("agent", "origin", "dest", "slot", "gate")
+
+
 @query(B + "SELECT p.agent, p.slot, p.zone, r.len AS dwell_len FROM panel p JOIN runs r ON r.agent = p.agent AND p.slot >= r.run_start AND p.slot < r.run_end")
 def dwell_points(spark, sf_dir):
     return sequence.dwell(fine(spark, sf_dir), ["agent"]).select("agent", "slot", "zone", "dwell_len")
@@ -428,6 +451,22 @@ def day_slot_matrix(spark, sf_dir):
     return own.select("origin", "dest", "day", "s", "y", "n", (F.col("n") > 0).alias("mask"))
 
 
+EMPIRICAL = (
+    ", kc AS (SELECT c.agent, c.origin, c.dest, "
+    + "CASE WHEN NOT z.staying THEN 'passing_to_any' WHEN c.origin = c.dest THEN 'staying_to_self' ELSE 'staying_to_other' END AS kind, c.slot, c.y FROM cind c JOIN zone_class z ON z.agent = c.agent AND z.zone = c.origin), "
+    + sql.kernel("SELECT agent, origin, dest, kind, slot, y, 1 AS n FROM kc WHERE kind = 'staying_to_self'", ["agent", "origin", "dest", "kind"], 1, 2, 14.0, ["y", "n"], False)
+    + ", oc AS (SELECT *, slot // 24 AS day, slot % 24 AS s FROM kc WHERE kind <> 'staying_to_self'), od1 AS (SELECT agent, origin, dest, day, t.s, max(y) AS one FROM oc a JOIN (SELECT unnest(range(0, 24)) AS s) t ON least(abs(a.s - t.s), 24 - abs(a.s - t.s)) <= 1 GROUP BY ALL), osw AS (SELECT a.agent, a.origin, a.dest, a.kind, a.slot, (0.5 + coalesce(sum(d.one), 0)) / (1 + count(d.one)) AS v FROM oc a LEFT JOIN od1 d ON d.agent = a.agent AND d.origin = a.origin AND d.dest = a.dest AND d.s = a.s AND d.day < a.day GROUP BY ALL)"
+    + " SELECT agent, origin, dest, kind, slot, round((0.5 + y) / (1 + n), 6) AS value FROM ksums UNION ALL SELECT agent, origin, dest, kind, slot, round(v, 6) AS value FROM osw"
+)
+
+
+@query(C + EMPIRICAL)
+def empirical_kernel(spark, sf_dir):
+    panel = coarse(spark, sf_dir)
+    cells = counts.by_zone_type(cascade_cells(panel).select("agent", "origin", "dest", "slot", "y"), sequence.classify_zones(panel, ["agent"]))
+    return kernel.empirical_probability(cells, ["agent", "origin", "dest"], PER_DAY).select("agent", "origin", "dest", "kind", "slot", *r6("value"))
+
+
 # probabilities
 
 
@@ -489,6 +528,13 @@ def two_step(spark, sf_dir):
     return probability.multistep(cube_of(coarse(spark, sf_dir)), 2)[2].select("origin", "dest", "slot", *r6("p"))
 
 
+@query(C + FULL + TWO + " SELECT origin, dest, slot, round(p, 6) AS p FROM two")
+def two_step_packed(spark, sf_dir):
+    zones = list(range(len(events.KINDS)))
+    cube = probability.packed_cube(cube_of(coarse(spark, sf_dir)), zones)
+    return probability.unpacked_cube(probability.chained_packed(cube, cube, 1), zones).select("origin", "dest", "slot", *r6("p"))
+
+
 @query(C + FULL + TWO + " SELECT origin, slot, round(sum(p), 6) AS total FROM two GROUP BY ALL HAVING abs(sum(p) - 1) > 1e-3")
 def two_step_rows_off(spark, sf_dir):
     return probability.row_sums_off(probability.multistep(cube_of(coarse(spark, sf_dir)), 2)[2], 1e-3).select("origin", "slot", *r6("total"))
@@ -649,6 +695,18 @@ def changed_share(spark, sf_dir):
     return detect.changed_share(panel, shifted, ["agent"], 504, 672).select("agent", *r6("changed"))
 
 
+FIRST = ", tr AS (SELECT a.agent, a.day, a.s, a.e, b.s AS s2, b.zone AS z2, row_number() OVER (PARTITION BY a.agent, a.day ORDER BY a.s) AS k FROM st a JOIN st b ON a.agent = b.agent AND a.day = b.day AND b.s = (SELECT min(c.s) FROM st c WHERE c.agent = a.agent AND c.day = a.day AND c.s > a.e)), one AS (SELECT * FROM tr WHERE k = 1 AND day >= 22)"
+
+
+@query(C + SPS + FIRST + " SELECT p.agent, p.slot, CASE WHEN p.slot >= o.e - 1 AND p.slot < o.s2 - 1 THEN n.zone WHEN p.slot = o.s2 - 1 THEN o.z2 ELSE p.zone END AS zone FROM panel p LEFT JOIN one o ON o.agent = p.agent AND o.day = p.slot // 24 LEFT JOIN panel n ON n.agent = p.agent AND n.slot = p.slot + 1")
+def inject_first_early(spark, sf_dir):
+    from wayfold.operators import inject
+
+    panel = coarse(spark, sf_dir)
+    shifts = inject.chosen_shifts(panel, ["agent"], PER_DAY, 22 * 24, SLOTS, 3, 1, pick="first", mode="early")
+    return inject.injected(panel, shifts, ["agent"], PER_DAY)
+
+
 @query(B + ", cm AS (SELECT agent, slot, origin // 10 AS o, dest // 10 AS d, origin, dest FROM moves WHERE origin <> dest) SELECT count(*) AS moves, count(*) FILTER (o <> d) AS kept, round(count(*) FILTER (o <> d) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM cm")
 def capture_ratio(spark, sf_dir):
     panel = fine(spark, sf_dir)

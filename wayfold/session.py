@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ensure_checkpoint(spark: SparkSession) -> None:
+    """Use the checkpoint folder that the session names; make one only where none is named, as in tests."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayfold-"))
+
+
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     """A local session as the tests and the benchmark use it."""
     spark = (
