@@ -296,7 +296,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs)
     kept = stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
+    chosen = kept.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")  # the same plan at every size; texts are not sorted
+    out = docs.join(chosen, F.col("doc_id") == F.col("_kept"), "left_semi")
     if kept.filter("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return docs.filter("doc_id is null").unionByName(out)
