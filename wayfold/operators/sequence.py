@@ -145,7 +145,7 @@ def signed_leave_gate(cells: DataFrame, keys: list[str], decay: float = 0.8, thr
     for same, identifier, sign in ((True, 1, -1.0), (False, 0, 1.0)):
         part = cells.filter((F.col("origin") == F.col("dest")) == F.lit(same))
         own = decayed_mean_stay(part, od, identifier, decay)
-        over = F.col("run_len") - (F.col("mean_stay") - threshold) > 0
+        over = F.round(F.col("run_len") - (F.col("mean_stay") - threshold), 9) > 0  # ties must not hang on rounding
         out.append(own.select(*od, "slot", "y", F.when(F.col("mean_stay").isNotNull(), over.cast("double") * sign).alias("gate")))
     return out[0].unionByName(out[1])
 
