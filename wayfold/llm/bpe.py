@@ -26,7 +26,7 @@ from wayfold.llm.common import WordCache, annotated, gathered
 #: Pieces longer than this many bytes are merged in rows of their own.
 LONG = 128
 #: Cells of one matrix at most.
-CELLS = 4_000_000
+CELLS = 1_000_000
 NO_RANK = np.int64(1) << 40
 #: Unicode white space, as the pattern's engine has it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -110,7 +110,7 @@ class Vocabulary:
         self.matches = regex.compile(self.pattern)
         self.segments = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.spaces = set(regex.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
-        self.cache = WordCache(self._encode_segments, 400_000)
+        self.cache = WordCache(self._encode_segments)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces end to end, and their bounds; a piece that is a token is that token."""

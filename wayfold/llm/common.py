@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that one numpy pass works on; a single longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes that Spark sends to a Python worker at once; rows of long texts would else make very large batches.
+BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +65,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what the session hands to Python workers at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def annotated(df: DataFrame, column: str, fields: list[T.StructField], fn: Callable[[pa.Array], list]) -> DataFrame:
     """df and more columns that fn computes from the text column, slice by slice.
 
@@ -70,6 +77,7 @@ def annotated(df: DataFrame, column: str, fields: list[T.StructField], fn: Calla
     included) and returns one array for each field. A column of df whose name, in any case,
     equals that of a new field is replaced.
     """
+    small_batches(df.sparkSession)
     taken = {f.name.lower() for f in fields} - {column.lower()}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
     schema = T.StructType([*df.schema.fields, *fields])
@@ -135,7 +143,7 @@ class WordCache:
     end to end and the bounds of each one's.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray | tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    def __init__(self, make: Callable[[list[str]], np.ndarray | tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.make, self.limit = make, limit
         self.index: dict[str, int] = {}
         self.values: np.ndarray | None = None
@@ -174,4 +182,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, s
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
-__all__ = ["WordCache", "annotated", "discard", "gathered", "gathered_ranges", "labelled_sample", "new_path", "per_row", "shared_dir", "slices", "stored", "string_bytes", "word_codes"]
+__all__ = ["WordCache", "annotated", "discard", "gathered", "gathered_ranges", "labelled_sample", "new_path", "per_row", "shared_dir", "slices", "small_batches", "stored", "string_bytes", "word_codes"]

@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WordCache, gathered, gathered_ranges, slices, string_bytes, word_codes
+from wayfold.llm.common import WordCache, gathered, gathered_ranges, slices, small_batches, string_bytes, word_codes
 
 CAPACITY = 4096
 END_ID = 1
-#: Strings encoded by one call, and plain words in one of them.
-ENCODED, JOINED = 20_000, 128
+#: Plain words in one string, and strings encoded by one call: an encoding keeps much more than its ids.
+JOINED, ENCODED = 128, 64
 #: Words that normal forms and lower-casing leave one run of letters and one of punctuation.
 PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[!-/:-@\[-`{-~]*$"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -129,6 +129,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     unsigned integers of id_bytes(path) bytes; _ordinal numbers the pieces of one length in a
     task, _part is the task's number (both hold once the rows are written).
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
