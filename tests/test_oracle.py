@@ -7,7 +7,7 @@ import os
 import pytest
 
 from tests.oracle import assert_same, connection
-from wayfold.plans import models, mobility
+from wayfold.plans import models, mobility, streams
 from wayfold.session import prepare
 
 SF = "/root/testdata/sf0.001"
@@ -19,6 +19,9 @@ def duck():
     return connection(SF)
 
 
+assert streams.QUERIES is mobility.QUERIES
+
+
 @pytest.mark.parametrize("name", sorted(mobility.ORACLE))
 def test_query_equals_sql(spark, duck, name):
     assert_same(mobility.QUERIES[name](prepare(spark), SF).toPandas(), duck.sql(mobility.ORACLE[name]).df())

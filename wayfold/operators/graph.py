@@ -332,7 +332,7 @@ def centred(clustered: DataFrame, keys: list[str]) -> DataFrame:
 def flow_clusters(flows: DataFrame, distances: DataFrame, far_m: float, clusters: int = 100) -> DataFrame:
     """(zone, label): Ward clustering of the symmetrised pooled flow, pairs farther than far_m at twice the largest.
 
-    Flow is taken as a distance, as the reference method does. The zone dimension is bounded by the grid.
+    Flow is taken as a distance, as the original method does. The zone dimension is bounded by the grid.
     """
     near = flows.select(F.col("origin").alias("src"), F.col("dest").alias("dst"), F.col("n").cast("double").alias("n"))
     rows = distances.join(near, ["src", "dst"], "left").select("src", "dst", "dist_m", F.coalesce("n", F.lit(0.0)).alias("n"))

@@ -39,7 +39,7 @@ def smoothed_sums(cells: DataFrame, keys: list[str], per_day: int, h: int, reach
     """(keys, day, s, names): kernel-weighted sums of each name for every slot in reach of a cell.
 
     Same-day cells count if they are earlier (same_day). compat_gap leaves out the slot just
-    before too, and lets slot 0 see all of its day but the last slot, as the reference method does.
+    before too, and lets slot 0 see all of its day but the last slot, as the original method does.
     """
     near = _spread(cells, keys, per_day, reach, names).withColumn("_w", F.exp(-F.pow(F.col("dist") / F.lit(float(h)), 2)))
     early = F.col("s") < F.col("t")

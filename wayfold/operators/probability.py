@@ -125,7 +125,7 @@ def kstep_feature(cells: DataFrame, panel: DataFrame, cube_k: DataFrame, lag: in
     """cells and feature: the lag-step probability of each cell's own destination from where the agent was lag slots ago.
 
     compat takes the destination that the agent really reached for all cells of a slot, as the
-    reference method does; that lets the target into the feature.
+    original method does; that lets the target into the feature.
     """
     was = panel.select("agent", (F.col("slot") + lag).alias("slot"), F.col("zone").alias("_from"))
     own = cells.join(was, ["agent", "slot"], "left")

@@ -35,8 +35,10 @@ def panel(positions: DataFrame, zone: str = "zone", slots: int = SLOTS) -> DataF
     """(agent, slot, zone): the last position in each slot, carried forward to the next one or to the end.
 
     Slots before an agent's first position are absent. The gap to the next position is filled
-    by exploding its range, so the only exchange is the one by agent.
+    by exploding its range. Positions are dealt by agent once, which serves the aggregate, the
+    gaps, and later windows by agent.
     """
-    last = positions.filter(F.col(zone).isNotNull()).groupBy("agent", "slot").agg(F.max_by(F.col(zone), F.struct("ts", "event_id")).alias("zone"))
+    dealt = positions.select("agent", "slot", "ts", "event_id", zone).filter(F.col(zone).isNotNull()).repartition("agent")
+    last = dealt.groupBy("agent", "slot").agg(F.max_by(F.col(zone), F.struct("ts", "event_id")).alias("zone"))
     until = F.coalesce(F.lead("slot").over(Window.partitionBy("agent").orderBy("slot")), F.lit(slots))
     return last.select("agent", "zone", "slot", until.alias("until")).filter("until > slot").select("agent", F.explode(F.sequence(F.col("slot"), F.col("until") - 1)).alias("slot"), "zone")
