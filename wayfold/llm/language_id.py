@@ -29,7 +29,7 @@ ORDER = 4
 #: Texts learned from, for each language (documented bound of the classifier's sample).
 SAMPLE_PER_LANG = 600
 #: Distinct words that one coding pass takes at once; bounds memory.
-WORDS_AT_ONCE = 100_000
+WORDS_AT_ONCE = 25_000
 UNDETERMINED = "und"
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -112,36 +112,53 @@ class ContextTrees:
 
     def word_bits(self, words: pa.Array) -> np.ndarray:
         """Exact code length of each word in each language, in bits."""
-        out = np.zeros((len(words), len(self.languages)), np.float64)
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        code, older, symbol_row = self._tables()
         for start in range(0, len(words), WORDS_AT_ONCE):
             part = words.slice(start, WORDS_AT_ONCE)
             raw, bounds = _coded_bytes(part)
-            word, symbol, keys, depth = _contexts(raw, bounds, self.order)
-            bits = np.full((len(symbol), len(self.languages)), 8, np.float32)
-            for k, key in enumerate(keys):
-                rows, bit_row = _find(self.context_keys, key, depth >= k)
-                if not len(rows):
-                    continue
-                bits[rows] += self.escape_bits[bit_row]
-                both = (key[rows] << np.uint64(8)) | symbol[rows] | np.uint64(k << 56)
-                found, symbol_row = _find(self.symbol_keys, both, None)
-                own = self.symbol_bits[symbol_row]
-                bits[rows[found]] = np.where(np.isinf(own), bits[rows[found]], own)
+            lengths = np.diff(bounds)
+            depth = np.arange(len(raw)) - np.repeat(bounds[:-1], lengths)
+            at = np.flatnonzero(depth > 0)
+            word, depth, coded = np.repeat(np.arange(len(lengths)), lengths)[at], depth[at], code[raw]
+            bits = np.full((len(at), len(self.languages)), 8, np.float32)
+            rows, node = np.arange(len(at)), np.zeros(len(at), np.int64)  # the empty context is the first key
+            for k in range(self.order + 1 if len(self.context_keys) else 0):
+                found = symbol_row[node, coded[at[rows]]]
+                made = bits[rows] + self.escape_bits[node]
+                hit = found >= 0
+                own = self.symbol_bits[found[hit]]
+                made[hit] = np.where(np.isinf(own), made[hit], own)
+                bits[rows] = made
+                deeper = depth[rows] > k
+                rows, node = rows[deeper], node[deeper]
+                node = older[node, coded[at[rows] - k - 1]]
+                rows, node = rows[node >= 0], node[node >= 0]
             for n in range(len(self.languages)):
                 out[start : start + len(part), n] = np.bincount(word, bits[:, n], len(part))
         return out
 
-
-def _find(keys: np.ndarray, wanted: np.ndarray, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Which of wanted are in keys, and where."""
-    if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[row] == wanted
-    if mask is not None:
-        hit &= mask
-    found = np.flatnonzero(hit)
-    return found, row[found]
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes as small codes, and by (context, code): the context with that byte before it, and the symbol's row; -1 for none."""
+        if "_dense" not in self.__dict__:
+            low = np.uint64((1 << 56) - 1)
+            order = (self.context_keys >> np.uint64(56)).astype(np.int64)
+            used = np.unique((self.symbol_keys & np.uint64(255)).astype(np.int64))
+            head = np.maximum(8 * (order - 1), 0).astype(np.uint64)
+            first = ((self.context_keys >> head) & np.uint64(255)).astype(np.int64)  # the oldest byte of each context
+            used = np.unique(np.concatenate((used, first[order > 0])))
+            code = np.full(256, len(used), np.int64)
+            code[used] = np.arange(len(used))
+            older = np.full((len(self.context_keys), len(used) + 1), -1, np.int32)
+            symbol_row = older.copy()
+            deep = np.flatnonzero(order > 0)
+            parent = (self.context_keys[deep] & ((np.uint64(1) << head[deep]) - np.uint64(1))) | ((order[deep] - 1).astype(np.uint64) << np.uint64(56))
+            older[np.searchsorted(self.context_keys, parent), code[first[deep]]] = deep
+            tops = (self.symbol_keys >> np.uint64(56)) << np.uint64(56)
+            context = np.searchsorted(self.context_keys, ((self.symbol_keys & low) >> np.uint64(8)) | tops)
+            symbol_row[context, code[(self.symbol_keys & np.uint64(255)).astype(np.int64)]] = np.arange(len(self.symbol_keys))
+            self._dense = code, older, symbol_row
+        return self._dense
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = ORDER, per_lang: int = SAMPLE_PER_LANG) -> ContextTrees:
@@ -185,7 +202,7 @@ def score_texts(trees: ContextTrees, texts: pa.Array) -> tuple[list[str], np.nda
         return labels.tolist(), scores
     cache = trees.remembered()
     rows = cache.rows(vocabulary.to_pylist())[codes]
-    total = np.stack([per_row(cache.values[rows, n], bounds) for n in range(len(trees.languages))], axis=1)
+    total = np.stack([per_row(cache.values[rows, n].astype(np.float64), bounds) for n in range(len(trees.languages))], axis=1)
     best = total.argmin(axis=1)
     share = 1 / np.exp2(total.min(axis=1, keepdims=True) - total).sum(axis=1)
     labels[known] = np.array(trees.languages, object)[best[known]]
