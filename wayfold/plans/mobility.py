@@ -528,11 +528,11 @@ def two_step(spark, sf_dir):
     return probability.multistep(cube_of(coarse(spark, sf_dir)), 2)[2].select("origin", "dest", "slot", *r6("p"))
 
 
-@query(C + FULL + TWO + " SELECT origin, dest, slot, round(p, 6) AS p FROM two WHERE p > 1e-12")
+@query(C + FULL + TWO + " SELECT origin, dest, slot, round(p + 1e-9, 6) AS p FROM two WHERE p > 1e-12")
 def two_step_packed(spark, sf_dir):
     zones = list(range(len(events.KINDS)))
     cube = probability.packed_cube(cube_of(coarse(spark, sf_dir)), zones)
-    return probability.unpacked_cube(probability.chained_packed(cube, cube, 1), zones).filter("p > 1e-12").select("origin", "dest", "slot", *r6("p"))
+    return probability.unpacked_cube(probability.chained_packed(cube, cube, 1), zones).filter("p > 1e-12").select("origin", "dest", "slot", F.round(F.col("p") + 1e-9, 6).alias("p"))
 
 
 @query(C + FULL + TWO + " SELECT origin, slot, round(sum(p), 6) AS total FROM two GROUP BY ALL HAVING abs(sum(p) - 1) > 1e-3")
