@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.numeric import ratio
 from wayfold.operators import counts, detect, dglm, inject, kernel, probability, sequence
 from wayfold.session import ensure_checkpoint
 
@@ -37,10 +36,11 @@ class Setup:
 
 
 def group_cube(panel: DataFrame) -> DataFrame:
-    """Full one-step transition cells of the whole population: shares of each origin and slot, what is left spread evenly."""
+    """Full one-step transition cells of the whole population: shares of each origin and slot, with one move spread evenly over all zones."""
+    zones = panel.select("zone").distinct()
     od = counts.od_counts(panel)
-    share = od.withColumn("p", ratio(F.col("n"), F.sum("n").over(Window.partitionBy("origin", "slot")) + 1))
-    return probability.full_transition(share.select("origin", "dest", "slot", "p"), panel.select("zone").distinct())
+    share = (F.col("n") + F.lit(1.0 / max(1, zones.count()))) / (F.sum("n").over(Window.partitionBy("origin", "slot")) + 1)
+    return probability.full_transition(od.withColumn("p", share).select("origin", "dest", "slot", "p"), zones)
 
 
 def _kept(df: DataFrame) -> DataFrame:
