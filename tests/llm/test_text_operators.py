@@ -486,8 +486,9 @@ def test_near_duplicates_on_odd_rows(spark):
             least[c] = min(k, least.get(c, k))
     expected = Counter((k, f"{p:016x}", least.get(c)) for (k, _), p, c in zip(rows, prints, label, strict=True))
     assert Counter((r["doc_id"], f"{r['fp'] % 2**64:016x}", r["component_id"]) for r in made) == expected
-    kept = Counter(r["doc_id"] for r in simhash.deduplicated(docs).collect())
-    assert kept == Counter([*set(least.values()), *(k for k, _ in rows if k is None)])
+    for most in (1_000_000, 0):
+        kept = Counter(r["doc_id"] for r in simhash.deduplicated(docs, most).collect())
+        assert kept == Counter([*set(least.values()), *(k for k, _ in rows if k is None)])
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 

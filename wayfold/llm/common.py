@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -70,6 +71,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def released() -> None:
+    """Give memory that a task has freed back to the system: workers are reused and would keep it between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def annotated(df: DataFrame, column: str, fields: list[T.StructField], fn: Callable[[pa.Array], list]) -> DataFrame:
     """df and more columns that fn computes from the text column, slice by slice.
 
@@ -89,6 +97,7 @@ def annotated(df: DataFrame, column: str, fields: list[T.StructField], fn: Calla
             made = fn(part.column(column))
             extra = [x if isinstance(x, pa.Array) else pa.array(x, kind, from_pandas=True) for x, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=names)
+        released()
 
     return df.mapInArrow(run, schema)
 
@@ -182,4 +191,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, s
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
-__all__ = ["WordCache", "annotated", "discard", "gathered", "gathered_ranges", "labelled_sample", "new_path", "per_row", "shared_dir", "slices", "small_batches", "stored", "string_bytes", "word_codes"]
+__all__ = ["WordCache", "annotated", "discard", "gathered", "gathered_ranges", "labelled_sample", "new_path", "per_row", "released", "shared_dir", "slices", "small_batches", "stored", "string_bytes", "word_codes"]

@@ -36,6 +36,8 @@ BLOCKS = ((22, 1), (21, 1), (21, 0))
 SAMPLE, LEAF, MAX_LEAVES = 16_384, 6_000, 2_048
 #: Fingerprints compared as one matrix; those that one task may hold (8 bytes each).
 SMALL, HELD = 384, 4_000_000
+#: Removed ids that deduplicated() broadcasts at most (about 24 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Shingles unpacked to bits at once.
 UNPACKED = 65_536
 
@@ -288,19 +290,21 @@ def hex_fingerprint(column: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """docs without all but one document of each component: that with the least doc_id stays.
 
     Rows with a null doc_id can't be told apart and stay. Where a kept doc_id is repeated, one
-    of its rows stays.
+    of its rows stays. Up to broadcast_ids removed ids are broadcast, so texts stay where they
+    lie; beyond that, both sides are dealt by id.
     """
     found = near_duplicates(docs)
-    kept = stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    chosen = kept.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")  # the same plan at every size; texts are not sorted
-    out = docs.join(chosen, F.col("doc_id") == F.col("_kept"), "left_semi")
-    if kept.filter("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return docs.filter("doc_id is null").unionByName(out)
+    told = stored(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("n")), "told")
+    removed = told.filter(~F.col("stays")).select(F.col("doc_id").alias("_removed"))
+    removed = F.broadcast(removed) if removed.count() <= broadcast_ids else removed.hint("shuffle_hash")
+    out = docs.join(removed, F.col("doc_id") == F.col("_removed"), "left_anti")
+    if not told.filter("stays and n > 1").limit(1).count():
+        return out
+    return out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
 __all__ = ["VantageTree", "components", "deduplicated", "fingerprint", "fingerprints", "hex_fingerprint", "linked", "links", "masks", "near_duplicates"]

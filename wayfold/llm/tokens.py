@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WordCache, gathered, gathered_ranges, slices, small_batches, string_bytes, word_codes
+from wayfold.llm.common import WordCache, gathered, gathered_ranges, released, slices, small_batches, string_bytes, word_codes
 
 CAPACITY = 4096
 END_ID = 1
@@ -155,6 +155,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 columns += [pa.array(np.full(len(length), task.partitionId(), np.int32)), pa.array(ordinal)]
                 names += ["_part", "_ordinal"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        released()
 
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", _part int, _ordinal long" * ranked
     width = id_bytes(path)
