@@ -22,32 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def digamma(x: float) -> float:
-    """Recurrence up to 6, then the asymptotic series."""
-    out = 0.0
+def polygammas(x: float) -> tuple[float, float, float]:
+    """digamma, trigamma and tetragamma of x > 0: recurrence up to 6, then the asymptotic series."""
+    d = t = u = 0.0
     while x < 6:
-        out -= 1 / x
+        r = 1 / x
+        d -= r
+        t += r * r
+        u -= 2 * r * r * r
         x += 1
-    s = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
-
-
-def trigamma(x: float) -> float:
-    out = 0.0
-    while x < 6:
-        out += 1 / (x * x)
-        x += 1
-    s = 1 / (x * x)
-    return out + 1 / x + s / 2 + s / x * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s * (1 / 30 - s * 5 / 66))))
-
-
-def tetragamma(x: float) -> float:
-    out = 0.0
-    while x < 6:
-        out -= 2 / (x * x * x)
-        x += 1
-    s = 1 / (x * x)
-    return out - s - s / x - s * s * (0.5 - s * (1 / 6 - s * (1 / 6 - s * 0.3)))
+    r = 1 / x
+    s = r * r
+    d += math.log(x) - 0.5 * r - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
+    t += r + s / 2 + s * r * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s * (1 / 30 - s * 5 / 66))))
+    u += -s - s * r - s * s * (0.5 - s * (1 / 6 - s * (1 / 6 - s * 0.3)))
+    return d, t, u
 
 
 def beta_of(f: float, q: float) -> tuple[float, float]:
@@ -57,17 +46,19 @@ def beta_of(f: float, q: float) -> tuple[float, float]:
     la, lb = math.log((1 + math.exp(f)) / q), math.log((1 + math.exp(-f)) / q)
     for _ in range(60):
         a, b = math.exp(la), math.exp(lb)
-        r1, r2 = digamma(a) - digamma(b) - f, (trigamma(a) + trigamma(b)) / q - 1
+        da, ta, ua = polygammas(a)
+        db, tb, ub = polygammas(b)
+        r1, r2 = da - db - f, (ta + tb) / q - 1
         if abs(r1) < 1e-10 and abs(r2) < 1e-10:
             break
-        j11, j12 = a * trigamma(a), -b * trigamma(b)
-        j21, j22 = a * tetragamma(a) / q, b * tetragamma(b) / q
+        j11, j12 = a * ta, -b * tb
+        j21, j22 = a * ua / q, b * ub / q
         det = j11 * j22 - j12 * j21
         if det == 0 or not math.isfinite(det):
             break
-        da, db = (r1 * j22 - r2 * j12) / det, (j11 * r2 - j21 * r1) / det
-        step = max(1.0, abs(da), abs(db))
-        la, lb = la - da / step, lb - db / step
+        step_a, step_b = (r1 * j22 - r2 * j12) / det, (j11 * r2 - j21 * r1) / det
+        most = max(1.0, abs(step_a), abs(step_b))
+        la, lb = la - step_a / most, lb - step_b / most
     return math.exp(la), math.exp(lb)
 
 
@@ -120,19 +111,20 @@ class State:
         return cls(np.zeros(size), np.eye(size) * variance)
 
 
-def observe(state: State, f_vec: np.ndarray, y: float, n: float) -> None:
-    """Update the state in place with y of n at regression vector f_vec."""
+def prior_of(state: State, f_vec: np.ndarray) -> tuple[np.ndarray, float, float, float, float]:
+    """RF, f, q, and the alpha and beta that match them."""
     rf = state.r @ f_vec
     f, q = float(f_vec @ state.a), max(float(f_vec @ rf), 1e-10)
-    alpha, beta = beta_of(f, q)
-    f1, q1 = digamma(alpha + y) - digamma(beta + n - y), trigamma(alpha + y) + trigamma(beta + n - y)
-    state.a = state.a + rf * ((f1 - f) / q)
-    state.r = state.r - np.outer(rf, rf) * ((1 - q1 / q) / q)
+    return rf, f, q, *beta_of(f, q)
 
 
-def forecast(state: State, f_vec: np.ndarray) -> float:
-    alpha, beta = beta_of(float(f_vec @ state.a), float(f_vec @ state.r @ f_vec))
-    return alpha / (alpha + beta)
+def observe(state: State, prior: tuple, y: float, n: float) -> None:
+    """Update the state in place with y of n; prior is prior_of() the state."""
+    rf, f, q, alpha, beta = prior
+    da, ta, _ = polygammas(alpha + y)
+    db, tb, _ = polygammas(beta + n - y)
+    state.a = state.a + rf * ((da - db - f) / q)
+    state.r = state.r - np.outer(rf, rf) * ((1 - (ta + tb) / q) / q)
 
 
 def filtered(y: np.ndarray, n: np.ndarray, x: np.ndarray, design: Design, state: State, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,11 +137,12 @@ def filtered(y: np.ndarray, n: np.ndarray, x: np.ndarray, design: Design, state:
     vectors = design.vectors(x)
     p, m, v = np.empty(len(y)), np.empty((len(y), design.size)), np.empty((len(y), design.size))
     for t, f_vec in enumerate(vectors):
-        p[t] = forecast(state, f_vec)
+        prior = prior_of(state, f_vec)
+        p[t] = prior[3] / (prior[3] + prior[4])
         if n[t] > 0 and y[t] == y[t]:
-            observe(state, f_vec, y[t], max(n[t], y[t]))
+            observe(state, prior, y[t], max(n[t], y[t]))
             if extra is not None and extra[t] > 0:
-                observe(state, f_vec, extra[t] * y[t], extra[t])
+                observe(state, prior_of(state, f_vec), extra[t] * y[t], extra[t])
         m[t], v[t] = state.a, np.diag(state.r)
         if not still:
             state.a = g @ state.a

@@ -51,6 +51,7 @@ def _kept(df: DataFrame) -> DataFrame:
 def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): valid pairs' asked cells with kind, features and their frozen forms; and all cells of the indicator."""
     end, pair = setup.end_of_training, ["agent", "origin", "dest"]
+    panel, cube = _kept(panel), _kept(cube)
     cells = _kept(counts.indicator(counts.transitions(panel)))
     asked = counts.onehot_to_cascade(cells)
     types = sequence.classify_zones(panel.filter(F.col("slot") <= end), ["agent"], setup.min_stay)
@@ -97,6 +98,7 @@ def assembled(cells: DataFrame, made: DataFrame, cube: DataFrame, column: str) -
 
 def verdicts(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> DataFrame:
     """(agent, log_l, run_len, accuracy, move_accuracy): the factor at the end of the axis, and path accuracy in the test window."""
+    panel, cube = _kept(panel), _kept(cube)
     rows, cells = model_rows(panel, cube, setup)
     made = _kept(forecasts(rows, setup))
     moves = counts.transitions(panel)
