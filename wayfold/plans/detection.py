@@ -61,6 +61,7 @@ def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tup
         made = probability.kstep_feature(own.withColumn("feature", F.lit(None)).drop("feature"), panel, steps, k)
         made = probability.multinomial_to_cascade(made.withColumnRenamed("feature", f"lag{k}"), ["agent", "origin"], f"lag{k}")
         own = made
+    own = _kept(own)
     stays = sequence.signed_leave_gate(own.filter("kind = 'staying_to_self'").select(*pair, "slot", "y"), ["agent"], setup.decay, setup.gate_threshold)
     before = F.lag("gate").over(Window.partitionBy(*pair).orderBy("slot"))  # the gate of a slot must not know the slot's answer
     own = own.join(stays.select(*pair, "slot", before.alias("gate")), [*pair, "slot"], "left").withColumn("gate", F.coalesce("gate", F.lit(0.0)))
