@@ -66,3 +66,28 @@ def test_calibration_scores_every_successful_repetition(panel, cube):
     pairs = {(r["agent"], r["rep"]) for r in rows}
     assert all(sum((r["agent"], r["rep"]) == p for r in rows) == 2 for p in pairs)
     assert all(r["fpr"] <= 0.1 for r in thresholds.collect())
+
+
+def test_cube_and_features_of_a_slot_ignore_its_moves(spark, panel):
+    """The cube is rebuilt from the changed panel: up to the first changed slot, itself included, nothing may differ."""
+    names = ["agent", "origin", "dest", "slot", "kernel_prob", "lag1", "lag2", "gate"]
+    cells, features = [], []
+    for p in (panel, panel.selectExpr("agent", "slot", "case when slot >= 90 then 2 else zone end as zone")):
+        cube = detection.forecast_cube(p, SETUP).cache()
+        cells.append({tuple(r)[:3]: round(r["p"], 9) for r in cube.filter("slot <= 90").select("origin", "dest", "slot", "p").collect()})
+        features.append({tuple(r)[:4]: [round(x, 9) for x in tuple(r)[4:]] for r in detection.model_rows(p, cube, SETUP)[0].filter("slot <= 90").select(*names).collect()})
+    assert cells[0] == cells[1] and len(cells[0]) == 9 * 90
+    both = features[0].keys() & features[1].keys()
+    assert any(k[3] == 90 for k in both) and all(features[0][k] == features[1][k] for k in both)
+
+
+def test_cube_covers_origins_without_a_model(spark, panel):
+    """Zone 9 is first left after training: no forecast, equal shares in every slot."""
+    cube = detection.forecast_cube(panel.selectExpr("agent", "slot", "case when agent = 0 and slot >= 80 then 9 else zone end as zone"), SETUP)
+    assert {(r["dest"], r["p"]) for r in cube.filter("origin = 9").collect()} == {(z, 0.25) for z in (1, 2, 3, 9)}
+    assert cube.filter("origin = 9").count() == 4 * 95
+
+
+def test_verdicts_from_forecasts(panel):
+    made = {r["agent"]: r["log_l"] for r in detection.verdicts(panel, detection.forecast_cube(panel, SETUP), SETUP).collect()}
+    assert set(made) == {0, 1, 2, 3} and made[3] < max(made[a] for a in (0, 1, 2))

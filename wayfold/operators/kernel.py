@@ -63,13 +63,13 @@ def _bins(minutes: float, slot_minutes: float) -> int:
     return max(1, round(minutes / slot_minutes))
 
 
-def binomial_forecast(series: DataFrame, keys: list[str], per_day: int, h_minutes: float = 30, reach_minutes: float = 60, decay_days: float = 5.0, alpha: float = 1.0, beta: float = 1.0, same_day: bool = True) -> DataFrame:
-    """(keys, slot, value): Beta posterior mean of y out of n by what came before; rows with n > 0 only.
+def binomial_forecast(series: DataFrame, keys: list[str], per_day: int, h_minutes: float = 30, reach_minutes: float = 60, decay_days: float = 5.0, alpha: float = 1.0, beta: float = 1.0, same_day: bool = True, every: bool = False) -> DataFrame:
+    """(keys, slot, value): Beta posterior mean of y out of n by what came before; rows with n > 0 only, or every row.
 
     series (keys, slot, y, n). Without any earlier weight the prior mean.
     """
     minutes = 1440 / per_day
-    cells = day_slot_cells(series.filter("n > 0"), per_day)
+    cells = day_slot_cells(series if every else series.filter("n > 0"), per_day)
     sums = smoothed_sums(cells, keys, per_day, _bins(h_minutes, minutes), _bins(reach_minutes, minutes), decay_days, ["y", "n"], same_day)
     targets = cells.select(*keys, "slot", "day", "s").join(sums, [*keys, "day", "s"])
     return targets.select(*keys, "slot", ((F.lit(alpha) + F.col("y")) / (F.lit(alpha + beta) + F.col("n"))).alias("value"))

@@ -11,10 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions.numeric import logit
 from wayfold.operators import counts, detect, dglm, inject, kernel, probability, sequence
 from wayfold.session import ensure_checkpoint
 
 FEATURES = ["kernel_prob", "lag1", "lag2", "gate"]
+GROUP_FEATURES = ["x", "day"]
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,10 @@ class Setup:
 
 
 def group_cube(panel: DataFrame) -> DataFrame:
-    """Full one-step transition cells of the whole population: shares of each origin and slot, with one move spread evenly over all zones."""
+    """Full one-step transition cells of the whole population: shares of each origin and slot, with one move spread evenly over all zones.
+
+    They count the slot's own moves: something to compare forecast_cube() with, not for features or verdicts.
+    """
     zones = panel.select("zone").distinct()
     od = counts.od_counts(panel)
     share = (F.col("n") + F.lit(1.0 / max(1, zones.count()))) / (F.sum("n").over(Window.partitionBy("origin", "slot")) + 1)
@@ -48,6 +53,42 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def group_rows(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
+    """(origin, dest, rank, slot, y, n, x, day): rows of the group model, whose features at a slot know nothing of it.
+
+    Pairs and ranks are those of the training slots, and x is smoothed for slots with n = 0 too, as
+    n tells what earlier ranks took in the slot.
+    """
+    pair = ["origin", "dest"]
+    od = counts.od_counts(panel)
+    ranked = counts.od_ranked(od.filter(F.col("slot") <= setup.end_of_training))
+    sizes = counts.cascade_sizes(od, ranked, counts.occupancy(panel), 1, setup.slots - 1)
+    series = sizes.join(od, [*pair, "slot"], "left").select(*pair, "slot", F.coalesce("n", F.lit(0)).alias("y"), F.col("size").alias("n"))
+    series = _kept(series.join(ranked.select(*pair, "rank"), pair))
+    smooth = kernel.binomial_forecast(series, pair, setup.per_day, 120, 240, every=True)
+    own = series.join(smooth, [*pair, "slot"]).withColumn("x", logit(F.col("value"))).drop("value")
+    return own.withColumn("day", (F.pmod("slot", F.lit(setup.per_day)) * 24 >= 11 * setup.per_day).cast("double"))
+
+
+def forecast_cube(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
+    """Full one-step transition cells of the whole population: the group model's one-step-ahead forecasts, made multinomial and filled up.
+
+    The last destination of an origin that has all zones takes what is left; an origin without a
+    model has equal shares.
+    """
+    panel = _kept(panel)
+    zones = panel.select("zone").distinct()
+    rows = _kept(group_rows(panel, setup))
+    sticks = dglm.group_models(rows, ["origin", "dest"], GROUP_FEATURES, setup.per_day).select("origin", "dest", "slot", F.col("p_hat").alias("p"))
+    sure = F.col("rank") == zones.count()
+    sticks = sticks.join(rows.select("origin", "dest", "slot", "rank"), ["origin", "dest", "slot"]).withColumn("p", F.when(sure, 1.0).otherwise(F.col("p")))
+    made = probability.stick_to_multinomial(sticks, ["origin"]).select("origin", "dest", "slot", "p")
+    bare = zones.select(F.col("zone").alias("origin")).join(rows.select("origin").distinct(), "origin", "left_anti")
+    slots = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(setup.slots - 1).cast("long")))
+    bare = bare.select("origin", F.col("origin").alias("dest"), slots.alias("slot"), F.lit(None).cast("double").alias("p"))
+    return probability.full_transition(made.unionByName(bare), zones)
+
+
 def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): valid pairs' asked cells with kind, features and their frozen forms; and all cells of the indicator."""
     end, pair = setup.end_of_training, ["agent", "origin", "dest"]

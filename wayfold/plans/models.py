@@ -125,7 +125,7 @@ def group_dglm_states(spark, sf_dir):
 
 def _prepared(spark, sf_dir):
     panel = coarse(spark, sf_dir)
-    cube = detection.group_cube(panel)
+    cube = detection.forecast_cube(panel)
     return panel, cube, *detection.model_rows(panel, cube)
 
 
@@ -175,13 +175,13 @@ def swap_days(spark, sf_dir):
 @query()
 def detect_agents(spark, sf_dir):
     panel = coarse(spark, sf_dir)
-    return detection.verdicts(panel, detection.group_cube(panel))
+    return detection.verdicts(panel, detection.forecast_cube(panel))
 
 
 @query()
 def calibrate(spark, sf_dir):
     panel = coarse(spark, sf_dir)
-    return detection.calibrated(panel, detection.group_cube(panel), repetitions=2, threshold=0.02, tries=3, min_stay=3, max_shift=6)[1]
+    return detection.calibrated(panel, detection.forecast_cube(panel), repetitions=2, threshold=0.02, tries=3, min_stay=3, max_shift=6)[1]
 
 
 __all__ = ["QUERIES"]
