@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import counts, detect, dglm, graph, inject, kernel, probability, sequence
@@ -311,3 +312,20 @@ def test_hold_filter(spark):
     frame = spark.createDataFrame(rows, "agent long, slot long, lat double, lon double")
     made = [round((r["lat_adj"] - 36.0) * 111195.08) for r in sequence.hold_adjusted(frame, ["agent"], ["slot"], 50.0).orderBy("slot").collect()]
     assert made == [0, 0, 70, 70, 174]
+
+
+def test_injection_goes_on_until_it_passes(spark):
+    """Held against all candidates in full; a key that needs more than the first round passes, and its panel is that candidate's."""
+    paths = [[1] * 7 + [2, 3] + [4] * 8 + [1] * 7, [5] * 6 + [6] + [7] * 9 + [2] + [5] * 7]
+    panel = spark.createDataFrame([(a, 24 * d + s, z) for a in range(6) for d in range(4) for s, z in enumerate(paths[(a + d) % 2])], "agent long, slot long, zone long")
+    numbered = panel.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    own, options = ["agent", "attempt"], {"min_stay": 3, "max_shift": 6}
+    every = inject.injected(numbered, inject.chosen_shifts(numbered, own, 24, 48, 96, seed=1, **options), own, 24).cache()
+    share = {(a, t): c for a, t, c in got(detect.changed_share(every, numbered, own, 48, 96), "agent", "attempt", "changed")}
+    firsts = {v: {a: next((t for t in range(60) if share[a, t] > v), 59) for a in range(6)} for v in sorted(set(share.values()))}
+    threshold, first = next((v, f) for v, f in firsts.items() if any(8 <= t < 59 for t in f.values()))
+    made, log = inject.inject_until(panel, ["agent"], 24, 48, 96, threshold, 60, 1, **options)
+    assert {r["agent"]: r["attempt"] for r in log.collect()} == first
+    assert all(abs(r["changed"] - share[r["agent"], r["attempt"]]) < 1e-12 and r["success"] == (r["changed"] >= threshold) for r in log.collect())
+    wanted = [(r["agent"], r["slot"], r["zone"]) for r in every.collect() if r["attempt"] == first[r["agent"]]]
+    assert got(made, "agent", "slot", "zone") == sorted(wanted)

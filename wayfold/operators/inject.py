@@ -5,11 +5,13 @@ Every random choice is a hash of seed, keys and day, so results don't depend on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators.detect import changed_share
 from wayfold.operators.sequence import sps_triplets
+from wayfold.session import ensure_checkpoint
 
 
 def draw(seed: int, *columns: Column) -> Column:
@@ -17,13 +19,17 @@ def draw(seed: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def chosen_shifts(panel: DataFrame, keys: list[str], per_day: int, first: int, last: int, min_stay: int = 12, max_shift: int = 60, pick: str = "random", k: int = 0, mode: str = "random", seed: int = 0) -> DataFrame:
+def chosen_shifts(panel: DataFrame, keys: list[str], per_day: int, first: int, last: int, min_stay: int = 12, max_shift: int = 60, pick: str = "random", k: int = 0, mode: str = "random", seed: int = 0, attempts: tuple[int, int] | None = None) -> DataFrame:
     """(keys, day, triplet, early, shift): one stay-pass-stay a day in [first, last) and how far it moves.
 
     pick: 'first', 'k' or 'random'; mode: 'early', 'late' or 'random'. Early: 1 to
     min(max_shift, first stay); late: from 0.7 of min(max_shift, second stay) on. A shift of 0 is left out.
+    attempts (from, to): a choice for each attempt, which is a key then.
     """
     days = sps_triplets(panel, keys, per_day, min_stay).filter((F.col("day") >= first // per_day) & (F.col("day") <= (last - 1) // per_day))
+    if attempts:
+        keys = [*keys, "attempt"]
+        days = days.withColumn("attempt", F.explode(F.sequence(F.lit(attempts[0]), F.lit(attempts[1] - 1))))
     names = [F.col(c) for c in keys]
     w = Window.partitionBy(*keys, "day")
     own = days.withColumn("_k", F.row_number().over(w.orderBy("s1_start")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
@@ -55,19 +61,42 @@ def injected(panel: DataFrame, shifts: DataFrame, keys: list[str], per_day: int)
     return out.select(*keys, "slot", F.when(F.col("_moved"), F.col("_zone")).when(F.col("_fill").isNotNull(), F.col("_fill")).otherwise(F.col("zone")).alias("zone"))
 
 
-def inject_until(panel: DataFrame, keys: list[str], per_day: int, first: int, last: int, threshold: float = 0.175, tries: int = 8, seed: int = 0, **options) -> tuple[DataFrame, DataFrame]:
+def inject_until(panel: DataFrame, keys: list[str], per_day: int, first: int, last: int, threshold: float = 0.175, tries: int = 1000, seed: int = 0, **options) -> tuple[DataFrame, DataFrame]:
     """(panel, log): for each key the first of `tries` seeded candidates that changes over threshold of [first, last), else the last one.
 
-    log has keys, attempt, changed and success (changed >= threshold). All candidates are made in
-    one pass, keyed by (keys, attempt).
+    log has keys, attempt, changed and success (changed >= threshold). Rounds of 8, 40, 200 and so on
+    candidates are made for the keys that have not passed, each round written to the checkpoint
+    folder. What a choice changes is counted once for all candidates that make it.
     """
-    repeated = panel.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).select(*keys, "attempt", "slot", "zone")
-    own = [*keys, "attempt"]
-    made = injected(repeated, chosen_shifts(repeated, own, per_day, first, last, seed=seed, **options), own, per_day)
-    share = changed_share(made, repeated, own, first, last)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(F.col("changed") > threshold, F.col("attempt")).otherwise(tries + F.lit(tries) - F.col("attempt"))))
-    log = share.withColumn("_r", rank).filter("_r = 1").drop("_r").withColumn("success", F.col("changed") >= threshold)
-    return made.join(log.select(*own), own, "left_semi").drop("attempt"), log
+    ensure_checkpoint(panel.sparkSession)
+    panel = panel.checkpoint()
+    inside = F.col("slot").between(first, last - 1)
+    pending = panel.filter(inside).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).checkpoint()
+    own, choice = [*keys, "attempt"], [*keys, "s1_start", "early", "shift"]
+    logs, shifts, start, size = [], [], 0, 8
+    while start < tries:
+        stop = min(tries, start + size)
+        left = panel.join(pending, keys, "left_semi")
+        made = chosen_shifts(left, keys, per_day, first, last, seed=seed, attempts=(start, stop), **options).checkpoint()
+        single = made.drop("attempt").dropDuplicates([*choice, "day"])
+        days = left.withColumn("day", F.floor(F.col("slot") / per_day).cast("long")).join(single.select(*choice, "day"), [*keys, "day"])
+        days = days.select(*choice, "slot", "zone")
+        new = injected(days, single, choice, per_day).join(days.withColumnRenamed("zone", "_old"), [*choice, "slot"]).filter(inside)
+        cost = new.groupBy(*choice, F.floor(F.col("slot") / per_day).cast("long").alias("day")).agg(F.count_if(~F.col("zone").eqNullSafe(F.col("_old"))).alias("_c"))
+        total = made.select(*choice, "day", "attempt").join(cost, [*choice, "day"]).groupBy(*own).agg(F.sum("_c").alias("_c"))
+        every = pending.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
+        share = every.join(total, own, "left").withColumn("changed", F.coalesce("_c", F.lit(0)) / F.col("_size"))
+        order = F.when(F.col("changed") > threshold, F.col("attempt")).otherwise(2 * stop - F.col("attempt"))
+        best = share.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_r = 1").select(*own, "changed", "_size").checkpoint()
+        over = best if stop == tries else best.filter(F.col("changed") > threshold)
+        logs.append(over.select(*own, "changed"))
+        shifts.append(made.join(over.select(*own), own, "left_semi").drop("attempt"))
+        pending = best.filter(F.col("changed") <= threshold).select(*keys, "_size")
+        if stop == tries or pending.isEmpty():
+            break
+        start, size = stop, 5 * size
+    log = reduce(DataFrame.unionByName, logs).withColumn("success", F.col("changed") >= threshold)
+    return injected(panel, reduce(DataFrame.unionByName, shifts), keys, per_day), log
 
 
 def day_swaps(panel: DataFrame, keys: list[str], per_day: int, first: int, last: int, seed: int = 0) -> DataFrame:

@@ -163,7 +163,7 @@ def inject_sps(spark, sf_dir):
 
 @query()
 def inject_anomaly(spark, sf_dir):
-    return inject.inject_until(coarse(spark, sf_dir), ["agent"], PER_DAY, 22 * 24, SLOTS, 0.05, 4, 1, min_stay=3, max_shift=6)[1]
+    return inject.inject_until(coarse(spark, sf_dir), ["agent"], PER_DAY, 22 * 24, SLOTS, seed=1, min_stay=3, max_shift=6)[1]
 
 
 @query()
