@@ -91,3 +91,20 @@ def test_cube_covers_origins_without_a_model(spark, panel):
 def test_verdicts_from_forecasts(panel):
     made = {r["agent"]: r["log_l"] for r in detection.verdicts(panel, detection.forecast_cube(panel, SETUP), SETUP).collect()}
     assert set(made) == {0, 1, 2, 3} and made[3] < max(made[a] for a in (0, 1, 2))
+
+
+def test_calibrate_is_registered_whole(spark, panel, monkeypatch):
+    """50 repetitions with the reference's retries and threshold; an agent without a scored repetition keeps a row."""
+    from wayfold.plans import models
+
+    asked = {}
+
+    def calibrated(panel, cube, **options):
+        asked.update(options)
+        return None, spark.createDataFrame([(0, -1.0)], "agent long, tau double")
+
+    monkeypatch.setattr(models, "coarse", lambda *_: panel)
+    monkeypatch.setattr(models.detection, "forecast_cube", lambda p: p)
+    monkeypatch.setattr(models.detection, "calibrated", calibrated)
+    assert {r["agent"]: r["tau"] for r in models.calibrate(spark, "").collect()} == {0: -1.0, 1: None, 2: None, 3: None}
+    assert asked["repetitions"] == 50 and asked.get("threshold", 0.175) == 0.175 and asked.get("tries", 1000) == 1000

@@ -181,7 +181,8 @@ def detect_agents(spark, sf_dir):
 @query()
 def calibrate(spark, sf_dir):
     panel = coarse(spark, sf_dir)
-    return detection.calibrated(panel, detection.forecast_cube(panel), repetitions=2, threshold=0.02, tries=3, min_stay=3, max_shift=6)[1]
+    thresholds = detection.calibrated(panel, detection.forecast_cube(panel), repetitions=50, min_stay=3, max_shift=6)[1]
+    return panel.select("agent").distinct().join(thresholds, "agent", "left")
 
 
 __all__ = ["QUERIES"]
