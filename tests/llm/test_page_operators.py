@@ -145,6 +145,7 @@ def test_surt(url, key):
 
 
 def brute_top(rows, k, every):
+    """By Python's integers; scores beyond 64 bits are held to the nearest long."""
     valid = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out, seen = [], {}
     for i, v in valid:
@@ -152,21 +153,26 @@ def brute_top(rows, k, every):
             seen[i] = min(v, seen.get(i, v))
     for i, v in seen.items():
         found = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in valid if j != i)[:k]
-        out += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
+        out += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(found, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("n,width,kind", [(300, 8, "cluster"), (40, 3, "ties"), (6, 4, "few"), (0, 1, "empty"), (30, 2, "huge")])
+@pytest.mark.parametrize("n,width,kind", [(300, 8, "cluster"), (40, 3, "ties"), (6, 4, "few"), (0, 1, "empty"), (30, 2, "3e5"), (30, 2, "1e7"), (30, 3, "1e30"), (60, 3, "mixed")])
 def test_top_k_equals_brute_force(spark, monkeypatch, n, width, kind):
-    monkeypatch.setattr(exact_topk, "BLOCK", 64)
+    monkeypatch.setattr(exact_topk, "BLOCK", 16)
+    monkeypatch.setattr(exact_topk, "CELL_BLOCKS", 2)
     monkeypatch.setattr(exact_topk, "STEP", 8)
     monkeypatch.setattr(exact_topk, "SAMPLE", 50)
     rng = np.random.default_rng(n)
     x = rng.normal(size=(n, width)) * 0.02 + rng.integers(0, 4, (n, 1)) * 0.3
     if kind == "ties":
         x = rng.integers(0, 2, (n, width)).astype(float)
-    if kind == "huge":
-        x = x * 3e5
+    if kind[0] in "13":
+        x = x * float(kind)
+    if kind == "mixed":  # ordinary vectors, some with a component of 2^41, some beyond 64 bits
+        x[::7, 0] = 2.0**41
+        x[3::7] *= 1e7
+        x[5::13, 1] = -3e38
     rows = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
     rows += [(1000, None), (None, [1.0] * width), (1010, [float("nan")] * width), (1020, [float("inf")] * width), (1030, [None] * width)]
     rows += [rows[0], rows[3], (20, [0.5] * width)] if n > 20 else []
@@ -175,22 +181,51 @@ def test_top_k_equals_brute_force(spark, monkeypatch, n, width, kind):
     assert made == brute_top(rows, 5, 10)
 
 
+def test_largest_doubles_take_part(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.7e308, 0.0]), (2, [-1.7e308, 1.0]), (3, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in exact_topk.top_k(frame, 3, 10).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2 * 1024**2), (2, -(2**63))]
+
+
 def test_vectors_of_unlike_length_are_padded(spark):
     frame = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0]), (2, [1.0, 1.0, 9.0]), (3, [])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["score"]) for r in exact_topk.top_k(frame, 3, 10).orderBy("rank").collect()] == [(2, 2 * 1024**2), (1, 1024**2), (3, 0)]
 
 
-def test_bounds_prune_clustered_candidates():
-    rng = np.random.default_rng(4)
-    x = np.floor(1024 * (rng.normal(size=(4000, 16)) * 0.01 + rng.integers(0, 9, (4000, 1))))
-    block = exact_topk.Block.of(np.arange(4000), x, exact_topk.far_apart(x[:500], 16))
-    seen = []
-    scores = exact_topk.scores
-    exact_topk.scores = lambda a, b: seen.append(len(b)) or scores(a, b)
-    try:
-        at, best = exact_topk.search(7, 7, block, block, -(2**62), 10)
-    finally:
-        exact_topk.scores = scores
+def clustered(rng, n, width=16, groups=12):
+    return rng.normal(size=(n, width)) * 0.004 + rng.normal(size=(groups, width))[rng.integers(0, groups, n)]
+
+
+def counted(monkeypatch):
+    """Numbers of candidates that are evaluated from now on."""
+    seen, scores = [], exact_topk.scores
+    monkeypatch.setattr(exact_topk, "scores", lambda q, c: seen.append(len(c)) or scores(q, c))
+    return seen
+
+
+def test_bounds_prune_clustered_candidates(monkeypatch):
+    x = np.floor(1024 * clustered(np.random.default_rng(4), 4000))
+    pivots = exact_topk.far_apart(x[:500], 16)
+    block = exact_topk.Block.of(np.arange(4000), x, pivots)
+    seen = counted(monkeypatch)
+    at, best = exact_topk.search(7, 7, block, block, -math.inf, 10, float(np.sqrt((pivots**2).sum(axis=1)).max()))
     exact = (x[7:8] @ x.T)[0]
     exact[7] = -np.inf
-    assert sorted(best.tolist(), reverse=True) == sorted(exact, reverse=True)[:10] and sum(seen) < 2500
+    assert best.tolist() == sorted(exact, reverse=True)[:10] and sum(seen) < 0.25 * 4000
+
+
+def test_cells_that_cannot_help_get_no_queries():
+    rng = np.random.default_rng(9)
+    x = np.floor(1024 * clustered(rng, 3000))
+    pivots = exact_topk.far_apart(x[:600], 24)
+    far = float(np.sqrt((pivots**2).sum(axis=1)).max())
+    block = exact_topk.Block.of(np.arange(3000), x, pivots)
+    near = block.table.argmin(axis=1)
+    cells = [np.flatnonzero(near == p) for p in np.unique(near)]
+    low, high = (np.stack([f(block.table[c], axis=0) for c in cells]) for f in (np.min, np.max))
+    square = np.array([block.square[c].max() for c in cells])
+    q = block.at(np.arange(0, 3000, 100))
+    product = q.v @ x.T
+    floors = np.sort(product, axis=1)[:, -10]
+    gains = exact_topk.reachable(q, low, high, square, floors, far)
+    needed = np.stack([(product[:, c] >= floors[:, None]).any(axis=1) for c in cells], axis=1)
+    assert not (needed & ~gains).any() and gains.mean() < 0.4

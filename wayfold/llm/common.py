@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,12 +21,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 SLICE_BYTES = 2 << 20
 #: Bytes that Spark sends to a Python worker at once; rows of long texts would else make very large batches.
 BATCH_BYTES = "8m"
+#: Rows of one key that one task joins at least; keys that can be hot at most (see spread_join).
+HOT_ROWS, HOT_KEYS = 1000, 1000
+#: Sampled texts that one task turns into statistics.
+TEXTS_A_TASK = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one made for a local session."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one made for a session in one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -177,18 +184,41 @@ class WordCache:
         return found
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 29) -> DataFrame:
-    """(text, label) of about `most` labelled rows of each class: ids are drawn by hash, then broadcast to the texts.
+def spread_join(rows: DataFrame, side: DataFrame, key: str, total: int, size: str = "_n") -> DataFrame:
+    """rows joined with side by key, where a hot key's rows are dealt over several tasks.
 
-    The broadcast holds two classes of `most` ids at most, give or take the draw's spread; the
-    texts of documents are never shuffled. Null ids and labels are left out.
+    side has a row for each key, with the number of rows it meets in the column size; total is the
+    number of rows. A key of over HOT_ROWS rows, or over 1 / HOT_KEYS of all, gets salts: there are
+    fewer than HOT_KEYS such keys, so they are broadcast to tell the rows, and only their rows of side repeat.
     """
-    rows = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.when(F.col("label") == 1, min(1.0, most / max(1, counts.get(1, 0)))).otherwise(min(1.0, most / max(1, counts.get(0, 0))))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.filter(draw < rate).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    bar = max(HOT_ROWS, total // HOT_KEYS)
+    hot = side.filter(F.col(size) > bar).select(key, F.ceil(F.col(size) / bar).alias("_salts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")), F.lit(0))).drop("_salts")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col(size) / bar), F.lit(1)) - 1))
+    return dealt.join(side.withColumn("_salt", salts).drop(size), [key, "_salt"]).drop("_salt")
+
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 29) -> DataFrame:
+    """(doc_id, text, label): at most `most` labelled ids of each class, drawn by a hash, each with one text.
 
-__all__ = ["WordCache", "annotated", "discard", "gathered", "gathered_ranges", "labelled_sample", "new_path", "per_row", "released", "shared_dir", "slices", "small_batches", "stored", "string_bytes", "word_codes"]
+    Null ids and labels are left out, and ids that are labelled both 0 and 1. Where a doc_id is
+    repeated in docs, the text with the least hash counts, so no number of repeated rows makes the
+    sample larger. The driver gets about twice the sample's ids; the ids are broadcast to the texts,
+    and only the sample's texts are shuffled.
+    """
+    spark = docs.sparkSession
+    rows = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    told = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).filter("label = _most").select("doc_id", "label")
+    counts = {r["label"]: r["n"] for r in told.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hashed = told.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    rate = [min(1.0, (2 * most + 64) / max(1, counts.get(c, 0))) for c in (0, 1)]
+    draw = F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = sorted((r["_h"], r["doc_id"], r["label"]) for r in hashed.filter(draw < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0])).collect())
+    kept = [(i, c) for own in (0, 1) for _, i, c in [r for r in drawn if r[2] == own][:most]]
+    chosen = spark.createDataFrame(kept, told.schema)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    one = texts.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_t")).select("doc_id", F.col("_t.text").alias("text"), "label")
+    return one.repartition(1 + len(kept) // TEXTS_A_TASK, "doc_id")
+
+
+__all__ = ["WordCache", "annotated", "discard", "gathered", "gathered_ranges", "labelled_sample", "new_path", "per_row", "released", "shared_dir", "slices", "small_batches", "spread_join", "stored", "string_bytes", "word_codes"]

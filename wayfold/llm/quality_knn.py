@@ -3,9 +3,11 @@
 A text's terms are hashed words, hashed word shapes (runs of upper case, lower case, digits
 and each punctuation mark, collapsed) and two repetition terms. Square roots of term shares,
 weighted by inverse document frequency, are projected on the leading singular directions of
-a bounded labelled sample. The sample's vectors are broadcast; every document's exact cosine
-with all of them is computed in blocks, and its NEIGHBOURS nearest vote by similarity, each
-class weighted so that both would count the same over the whole sample.
+a bounded labelled sample. Unit vectors are rounded to multiples of 1 / GRID, so that products
+are whole numbers below 2^24, which float32 holds exactly however a block is cut. The sample's
+vectors are broadcast; every document's exact cosine with all of them is computed in blocks, and
+its NEIGHBOURS nearest (equal cosines: the smaller doc_id) vote by similarity, each class
+weighted so that both would count the same over the whole sample.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from wayfold.llm.common import annotated, labelled_sample, per_row, string_bytes
 #: Labelled texts of each class that are learned from; also bounds what is broadcast.
 SAMPLE_PER_CLASS = 3000
 DIMENSIONS = 48
+#: Steps of a unit vector's components.
+GRID = 4000
 NEIGHBOURS = 9
 WORD_BUCKETS, SHAPE_BUCKETS, EXTRA = 768, 384, 2
 TERMS = WORD_BUCKETS + SHAPE_BUCKETS + EXTRA
@@ -105,12 +109,12 @@ class Voters:
     def learn(cls, shares: np.ndarray, labels: np.ndarray, prior: float, dimensions: int = DIMENSIONS) -> Voters:
         n = len(shares)
         if not n:
-            return cls(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), prior)
+            return cls(np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), prior)
         weight = np.log((1 + n) / (1 + (shares > 0).sum(axis=0))) + 1
         weight[WORD_BUCKETS:] *= SHAPE_WEIGHT
         weighted = shares * weight.astype(np.float32)
         _, directions = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-        projection = (weight[:, None] * directions[:, ::-1][:, : min(dimensions, n)]).astype(np.float32)
+        projection = weight[:, None] * directions[:, ::-1][:, : min(dimensions, n)]
         return cls(projection, _unit(shares @ projection), labels.astype(np.float32), prior)
 
     def score(self, texts: pa.Array, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -121,7 +125,7 @@ class Voters:
                 continue
             cosines = own @ self.vectors.T
             k = min(neighbours, cosines.shape[1])
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            near = nearest(cosines, k)
             votes = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) * weights[near]
             total = votes.sum(axis=1)
             some = total > 0
@@ -129,13 +133,25 @@ class Voters:
         return out
 
 
+def nearest(products: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k largest products, equal ones from the left."""
+    near = np.argpartition(-products, k - 1, axis=1)[:, :k]
+    own = np.take_along_axis(products, near, axis=1)
+    last = own.min(axis=1, keepdims=True)
+    tied = np.flatnonzero((products == last).sum(axis=1) > (own == last).sum(axis=1))
+    if len(tied):
+        near[tied] = np.argsort(-products[tied], axis=1, kind="stable")[:, :k]
+    return np.sort(near, axis=1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Whole-numbered rows of length GRID, nearly; zero rows stay zero."""
     length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(length > 0, length, 1)
+    return np.rint(GRID * x / np.where(length > 0, length, 1)).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS, dimensions: int = DIMENSIONS) -> Voters:
-    """Learn from about per_class labelled texts of each class; whole texts, null ones as empty.
+    """Learn from at most per_class labelled texts of each class (see labelled_sample); whole texts, null ones as empty.
 
     The driver gets the sample's term shares (2 * per_class rows of TERMS floats).
     """
@@ -164,8 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 def classify(docs: DataFrame, voters: Voters, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold), for every row and its whole text.
 
-    Null and empty texts get the share of label 1 among all labels (0.5 without labels). No
-    shuffle; columns of docs named score or predicted are replaced, all others stay.
+    Null and empty texts get the share of label 1 among all labels (0.5 without labels). Of equal
+    cosines the voter with the smaller doc_id counts; repeated rows get the same score, whatever
+    block they fall in. A long text is one row of term shares, whatever its length. No shuffle;
+    columns of docs named score or predicted are replaced, all others stay. No rows in: no rows out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 

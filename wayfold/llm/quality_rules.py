@@ -185,7 +185,7 @@ def _flat(nodes: list[list[float]], roots: list[int], base: float, depth: int) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> FlatTrees:
-    """Grow trees on about per_class labelled texts of each class; the driver gets their statistics only."""
+    """Grow trees on at most per_class labelled texts of each class (see labelled_sample); the driver gets their statistics only."""
     sample = labelled_sample(docs, labels, label, per_class)
 
     def run(batches):
