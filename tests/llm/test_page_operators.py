@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import io
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -66,6 +67,15 @@ def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert exact.filter("listed").count() == listed.count() and exact.count() == 4000
 
 
+def test_list_is_not_a_rule_on_hosts(spark):
+    """Pages of one host, without a rule, get both verdicts by the list; the exact join takes nothing that isn't listed."""
+    made = queries.op2_url_filter(prepare(spark), "/root/testdata/sf0.1").filter("rule is null").select("host", "path", "verdict").collect()
+    by_host: dict = {}
+    for r in made:
+        by_host.setdefault(r["host"], set()).add(r["verdict"])
+    assert sum(len(v) == 2 for v in by_host.values()) > 20
+
+
 def test_plan_of_url_filter_has_no_python(spark):
     plan = queries.QUERIES["op2_url_filter"](prepare(spark), SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -106,20 +116,62 @@ def test_revisits_by_shuffle_equal_those_by_broadcast(spark):
     assert both[0] == both[1]
 
 
-def test_damaged_archive_is_told(spark):
-    record = warc.records(odd_pages(spark)[0].filter("page_id = 10")).first()["record"] + "\r\n\r\n"
-    import gzip
+def read(data: bytes, size: int = 7):
+    """Records of an uncompressed stream that comes in parts of `size` bytes."""
+    parser = warc.Parser()
+    out = [r for a in range(0, len(data), size) for r in parser.feed(data[a : a + size])]
+    parser.close()
+    return out
+
 
-    assert len(warc.captures(gzip.compress(record.encode()))) == 1
+def test_damaged_archive_is_told(spark):
+    record = (warc.records(odd_pages(spark)[0].filter("page_id = 10")).first()["record"] + "\r\n\r\n").encode()
+    assert len([warc.capture(*r) for r in read(record, 4096)]) == 1
     with pytest.raises(ValueError, match="digest"):
-        warc.captures(gzip.compress(record.replace("ßß", "ßs", 1).replace("ß\r", "ßs\r", 1).encode()[:-5] + b"s\r\n\r\n"))
+        [warc.capture(*r) for r in read(record.replace("ßß".encode(), "ßs!".encode(), 1), 4096)]
+    with pytest.raises(ValueError):
+        read(record[:-500], 4096)
 
 
 def test_parser_follows_lengths():
-    stream = b"WARC/1.1\r\nA: b\r\nContent-Length: 6\r\n\r\nx\r\n\r\ny\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
-    assert [b for _, b in warc.parsed(io.BufferedReader(io.BytesIO(stream)))] == [b"x\r\n\r\ny", b""]
+    stream = b"WARC/1.1\r\nA: b\r\nContent-Length: 6\r\n\r\nx\r\n\r\ny\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\nWARC/1.0\r\nContent-Length: 2\r\n\r\n\r\n\r\n\r\n"
+    for size in (1, 2, 3, 5, 1000):
+        assert [b for _, b in read(stream, size)] == [b"x\r\n\r\ny", b"", b"\r\n"]
     with pytest.raises(ValueError):
-        list(warc.parsed(io.BufferedReader(io.BytesIO(b"HTTP/1.1\r\n"))))
+        read(b"HTTP/1.1 200 OK\r\n")
+
+
+def test_files_are_bounded_members(spark, tmp_path):
+    """Large pages under small bounds: files of few chunks, each record a member that can be read on its own."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(33, 0x800, 40_000).tolist())) for _ in range(30)]
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/", t + "\r\n") for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(2)
+    warc.write(pages, f"{tmp_path}/w", chunk_bytes=100_000, file_chunks=2)
+    files = sorted(tmp_path.glob("w/*.warc.gz"))
+    assert len(files) >= 8 and not list(tmp_path.glob("w/*.txt"))
+    seen = 0
+    for file in files:
+        data, members = file.read_bytes(), []
+        assert len(data) < 2 * (100_000 + 80_000)
+        while data:
+            inflater = zlib.decompressobj(31)
+            members.append(inflater.decompress(data) + inflater.flush())
+            data = inflater.unused_data
+        kinds = [read(m, 1 << 16) for m in members if m]
+        assert all(len(k) == 1 for k in kinds) and kinds[0][0][0]["warc-type"] == "warcinfo"
+        assert gzip.decompress(file.read_bytes()) == b"".join(members)
+        seen += len(kinds) - 1
+    assert seen == 30
+    made = {r["page_id"]: r["payload_bytes"] for r in warc.read_runs(spark, f"{tmp_path}/w").collect()}
+    assert made == {i: len(t.encode()) + 2 for i, t in enumerate(texts)}
+
+
+def test_repeated_captures_span_ranges(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "http://h.com/", "x")] * 300, "page_id long, url string, html string").repartition(3)
+    warc.write(pages, f"{tmp_path}/w")
+    made = warc.merged_index(warc.read_runs(spark, f"{tmp_path}/w"), 40).collect()
+    sizes = np.unique([r["range"] for r in made], return_counts=True)[1]
+    assert len(made) == 300 and len(sizes) >= 5 and sizes.max() < 150
 
 
 @settings(max_examples=150, deadline=None)

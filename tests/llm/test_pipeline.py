@@ -7,6 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
+import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_text_operators import brute_components, brute_fingerprint, check_placed, odd_rows
 from wayfold.llm import language_id, quality_knn, queries, tokens
@@ -22,7 +23,8 @@ def test_run_equals_plain_version(spark):
     trees = language_id.fit(docs.filter(~language_id.held_out()))
     rows = docs.collect()
     told, score = language_id.score_texts(trees, pa.array([r["text"] for r in rows]))
-    rows = [r for r, t, s in zip(rows, told, score, strict=True) if t != "und" and s >= corpus_pipeline.CERTAIN]
+    rows = [r for r, t, s in zip(rows, told, score, strict=True) if t in corpus_pipeline.TARGETS and s >= corpus_pipeline.CERTAIN]
+    assert 0.5 < len(rows) / docs.count() < 0.7 and sum(r["lang"] == "en" for r in rows) >= 0.98 * docs.filter("lang = 'en'").count()
     voters = quality_knn.fit(spark.createDataFrame(rows, docs.schema), labels)
     rows = [r for r, s in zip(rows, voters.score(pa.array([r["text"] for r in rows])), strict=True) if s >= 0.3]
     label = brute_components([brute_fingerprint(r["text"]) for r in rows])
@@ -38,9 +40,10 @@ def test_run_equals_plain_version(spark):
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark):
-    docs = odd_rows(prepare(spark))
+    docs = odd_rows(prepare(spark)).withColumnRenamed("KEPT", "lang_pred").selectExpr("*", "'own' as removed", "5 as fp")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         made = stage(spark, docs, SF)
+        assert made.join(docs, "doc_id", "left_semi").filter("removed <> 'own' or fp <> 5").count() == 0
         assert made.columns == docs.columns, name
         assert made.count() <= docs.count()
         assert stage(spark, docs.limit(0), SF).count() == 0, name
@@ -55,5 +58,5 @@ def test_queries_run_on_the_smallest_tables(spark, name):
 
 def test_every_operator_has_its_query():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == set(range(1, 11)) and set(__spark_entry__.queries()) >= {"pipeline", *queries.QUERIES}
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and np.all([callable(f) for _, f in corpus_pipeline.STAGES])

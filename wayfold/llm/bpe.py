@@ -4,15 +4,17 @@ A text's pieces are the matches of the tokenizer's pattern. White-space-plus-wor
 hold whole matches, so each process splits and encodes a segment that it still remembers only
 once. Distinct pieces are bucketed by length into padded matrices of ids; each round looks up
 the ranks of all neighbouring pairs in a hash table, merges every row's leftmost pair of the
-least rank, and closes the gaps; rows without a pair left drop out. Long rows merge all
-occurrences of the least pair at once where that provably equals one at a time.
+least rank, and closes the gaps; rows without a pair left drop out. A row takes as many rounds as
+it has merges, so rows of over LONG bytes take their merges from a queue by rank and place instead.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -23,11 +25,12 @@ from pyspark.sql import types as T
 
 from wayfold.llm.common import WordCache, annotated, gathered
 
-#: Pieces longer than this many bytes are merged in rows of their own.
+#: Pieces longer than this many bytes are merged by a queue (about 100 bytes of memory a byte).
 LONG = 128
 #: Cells of one matrix at most.
 CELLS = 1_000_000
 NO_RANK = np.int64(1) << 40
+NONE = int(NO_RANK)
 #: Unicode white space, as the pattern's engine has it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -58,6 +61,11 @@ class PairTable:
         self.keys = np.concatenate((self.keys, np.full(self.probes, -1, np.int64)))
         self.ranks = np.concatenate((self.ranks, np.full(self.probes, NO_RANK, np.int64)))
 
+    def mapping(self) -> dict[int, int]:
+        """The same as a dictionary: left << 32 | right to the rank."""
+        full = self.keys >= 0
+        return dict(zip(self.keys[full].tolist(), self.ranks[full].tolist(), strict=True))
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -111,6 +119,7 @@ class Vocabulary:
         self.segments = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.spaces = set(regex.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
         self.cache = WordCache(self._encode_segments)
+        self.rank_of: dict[int, int] | None = None
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces end to end, and their bounds; a piece that is a token is that token."""
@@ -168,31 +177,38 @@ class Vocabulary:
                     ranks[ok, where[ok]] = self.pairs.ranks_of(ids[ok, where[ok]], ids[ok, where[ok] + 1])
 
     def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One long row. All occurrences of the least pair merge together if no new pair ranks lower; else the leftmost alone."""
+        """One long piece: its least-rank pair from a queue, the leftmost of equal ones, and links to the neighbours that are left."""
+        if self.rank_of is None:
+            self.rank_of = self.pairs.mapping()
+        n, rank_of = len(ids), self.rank_of.get
         ranks = self.pairs.ranks_of(ids[:-1], ids[1:])
-        while len(ranks) and (least := ranks.min()) < NO_RANK:
-            at = np.flatnonzero(ranks == least)
-            pairs = (ids[at] << 32) | ids[at + 1]
-            at = at[pairs == pairs[0]]
-            if len(at) > 1:  # of overlapping occurrences, every other one counting from the left
-                run = np.cumsum(np.concatenate(([0], np.diff(at) > 1)))
-                first = np.searchsorted(run, run)
-                at = at[(np.arange(len(at)) - first) % 2 == 0]
-            made = self._replaced(ids, at, least)
-            fresh = self.pairs.ranks_of(made[:-1], made[1:])
-            if len(at) > 1 and (fresh < least).any() or len(pairs) and (pairs != pairs[0]).any():
-                made = self._replaced(ids, at[:1], least)
-                fresh = self.pairs.ranks_of(made[:-1], made[1:])
-            ids, ranks = made, fresh
-        return ids
-
-    @staticmethod
-    def _replaced(ids: np.ndarray, at: np.ndarray, new: int) -> np.ndarray:
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        out = ids.copy()
-        out[at] = new
-        return out[keep]
+        known = np.flatnonzero(ranks < NO_RANK)
+        queue = ((ranks[known] << 32) | known).tolist()
+        queue.sort()
+        own = array("q", np.append(ranks, NO_RANK).tobytes())  # the rank of the pair that begins at a place; -1 if its token is gone
+        token, after, before = (array("q", x.astype(np.int64).tobytes()) for x in (ids, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        while queue:
+            least = heappop(queue)
+            rank, at = least >> 32, least & 0xFFFFFFFF
+            if own[at] != rank:  # merged or changed since
+                continue
+            gone = after[at]
+            behind = after[gone]
+            own[gone], token[at], after[at] = -1, rank, behind
+            own[at] = NONE
+            if behind < n:
+                before[behind] = at
+                new = rank_of((rank << 32) | token[behind])
+                if new is not None:
+                    own[at] = new
+                    heappush(queue, (new << 32) | at)
+            ahead = before[at]
+            if ahead >= 0:
+                new = rank_of((token[ahead] << 32) | rank)
+                own[ahead] = NONE if new is None else new
+                if new is not None:
+                    heappush(queue, (new << 32) | ahead)
+        return np.frombuffer(token, np.int64)[np.frombuffer(own, np.int64) >= 0]
 
     def _encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments end to end, and their bounds."""

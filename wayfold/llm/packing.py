@@ -4,8 +4,9 @@ Lengths are integers from 1 to the capacity, so all that a plan needs is how man
 there are of each: at most `capacity` numbers, whatever the size of the data. A plan is a
 list of runs (length, first rank, first sequence, pieces per sequence, offset): the pieces
 of one length are ranked, and a run places a range of ranks by arithmetic. Both the planning
-time and the size of the broadcast plan depend on the capacity alone. Ranks come from a
-window over (length, salt), so a length that a third of all pieces share is not one task.
+time and the size of the broadcast plan depend on the capacity alone. A piece's rank is its number
+among its task's pieces of like length, and how many earlier tasks have: pieces are never sorted
+or brought together, so a length that most pieces share is like any other.
 
 Two planners: linear_grouping() and best_fit_decreasing().
 """
@@ -17,14 +18,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wayfold.llm.common import stored
 
 CAPACITY = 4096
 #: Groups of equal cardinality; pieces of at most SMALL * capacity are small; pivots of the configuration program at most.
 GROUPS, SMALL, PIVOTS = 128, 1 / 3, 4000
-#: Rows of one length that one ranking task sorts.
-RANKED = 100_000
+#: Bytes of a broadcast count of pieces by task and length, and of all counts that are broadcast at most; more are joined by shuffle.
+COUNT_BYTES, BROADCAST_BYTES = 130, 32 << 20
 
 
 class SegmentTree:
@@ -234,27 +239,59 @@ def _taken(own: list[list[int]], count: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def packed(pieces: DataFrame, planner=linear_grouping, capacity: int = CAPACITY, order: list[str] | None = None) -> DataFrame:
+def numbered(pieces: DataFrame) -> DataFrame:
+    """pieces with _part and _ordinal: the task's number, and the place among the task's pieces of that length.
+
+    They hold once the rows are written.
+    """
+    names = [*pieces.columns, "_part", "_ordinal"]
+
+    def run(batches):
+        task, seen = TaskContext.get(), {}
+        for batch in batches:
+            ordinal = ordinals(batch.column("length").to_pylist(), seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task.partitionId()] * batch.num_rows, pa.int32()), pa.array(ordinal, pa.int64())], names=names)
+
+    return pieces.mapInArrow(run, T.StructType([*pieces.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_ordinal", T.LongType())]))
+
+
+def ordinals(lengths: list[int], seen: dict[int, int]) -> list[int]:
+    """The number of earlier pieces of each one's length; seen holds those of the task so far."""
+    out = []
+    for n in lengths:
+        seen[n] = at = seen.get(n, -1) + 1
+        out.append(at)
+    return out
+
+
+def ranked(made: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """made (written, with _part and _ordinal) with _rank, the place among all pieces of a length, in their place; and the histogram of lengths."""
+    counts = stored(made.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
+    histogram, rows = {}, 0
+    for r in counts.groupBy("length").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("parts")).collect():  # a row for each length
+        histogram[int(r["length"])], rows = int(r["n"]), rows + r["parts"]
+    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task
+    bases = counts.select(F.col("_part").alias("_p"), F.col("length").alias("_l"), F.coalesce(before, F.lit(0)).alias("_base"))
+    bases = F.broadcast(bases) if rows * COUNT_BYTES <= broadcast_bytes else bases
+    own = made.join(bases, (F.col("_part") == F.col("_p")) & (F.col("length") == F.col("_l"))).withColumn("_rank", F.col("_base") + F.col("_ordinal"))
+    return own.drop("_part", "_ordinal", "_p", "_l", "_base"), histogram
+
+
+def packed(pieces: DataFrame, planner=linear_grouping, capacity: int = CAPACITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """pieces (with a column length from 1 to capacity) with sequence_id and offset.
 
     Sequences are numbered from 0; in each, pieces lie gapless from offset 0. An empty table
-    stays empty. Every row is placed, repeated ones too; order (default: all columns) makes
-    the ranks of a length certain, and rows equal in it are interchangeable. A column of
+    stays empty. Every row is placed, repeated ones and those with nulls in other columns too;
+    pieces of one length are interchangeable. Written pieces that numbered() or tokens.pieces() has given
+    _part and _ordinal are taken as they are, others are numbered and written first. A column of
     pieces named sequence_id or offset is replaced.
     """
     pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
-    order = order or pieces.columns
-    histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}  # capacity rows at most
+    made = pieces if {"_part", "_ordinal"} <= set(pieces.columns) else stored(numbered(pieces), "numbered-pieces")
+    own, histogram = ranked(made, broadcast_bytes)
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    salts = -(-max(histogram.values(), default=1) // RANKED)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order))
-    ranked = salted.withColumn("_own", own).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_own") - 1)
-    return placed(ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], "_rank"), planner(histogram, capacity))
+    return placed(own, planner(histogram, capacity))
 
 
 def placed(ranked: DataFrame, plan: Plan) -> DataFrame:

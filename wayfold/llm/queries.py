@@ -8,9 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from wayfold.llm import bpe, exact_topk, language_id, quality_knn, quality_rules, simhash, token_matrix, url_filter, warc
-
+from wayfold.llm import bpe, exact_topk, language_id, quality_knn, quality_rules, simhash, token_matrix, tokens, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +22,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select("doc_id", "text"), trees).drop("text")
 
 
-#: Host words whose pages' canonical URLs make up the list of op2_url_filter.
+#: Listed pages: those on these host words, and those whose title has two runs of doubled marks.
 LISTED_HOSTS = r"(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\."
+LISTED_TITLES = r"<title>[^<]*([!*%$]{2}|&amp;&amp;)[^<]*([!*%$]{2}|&amp;&amp;)"
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL judged by the rules, else by the list of canonical URLs seen on LISTED_HOSTS."""
+    """Every page's URL judged by the rules, else by the list: canonical URLs of pages on LISTED_HOSTS or with LISTED_TITLES.
+
+    Which paths of an ordinary host are listed hangs on their pages' titles, so no rule on URLs
+    gives the same verdicts; a clean page whose canonical URL equals a listed one's is blocked too.
+    """
     pages = table(spark, sf_dir, "pages")
     host, _ = url_filter.host_and_path(F.col("url"))
-    listed = pages.filter(host.rlike(LISTED_HOSTS)).select(url_filter.canonical(F.col("url")).alias("canonical"))
+    listed = pages.filter(host.rlike(LISTED_HOSTS) | F.col("html").rlike(LISTED_TITLES)).select(url_filter.canonical(F.col("url")).alias("canonical"))
     return url_filter.judge(pages, listed)
 
 
@@ -56,7 +59,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token pieces, packed into sequences of 4096 by linear grouping."""
-    return corpus_pipeline.pack(table(spark, sf_dir, "documents"))
+    return tokens.packed_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +68,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' ids as packed matrix rows of 4096 ids."""
-    rows = token_matrix.matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """All documents' ids as packed matrix rows of 4096 ids, written and read back."""
+    rows = token_matrix.written(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.withColumnsRenamed({"keys": "doc_ids"})
 
 
@@ -83,7 +86,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": corpus_pipeline.run,
     **{f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_quality_knn, op4_warc, op5_byte_bpe, op6_best_fit_packing, op7_simhash, op8_token_matrix, op9_exact_topk, op10_language_id)},
 }
 
@@ -98,7 +100,7 @@ canon AS (SELECT page_id, host, path, CASE WHEN host = '' THEN '' ELSE regexp_re
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": f"""
 WITH {_URL_PARTS},
-listed AS (SELECT DISTINCT canonical FROM canon WHERE regexp_matches(host, '{LISTED_HOSTS}')),
+listed AS (SELECT DISTINCT canonical FROM canon JOIN pages USING (page_id) WHERE regexp_matches(host, '{LISTED_HOSTS}') OR coalesce(regexp_matches(html, '{LISTED_TITLES}'), false)),
 rules(verdict, own, prefix) AS (VALUES {", ".join(str(r) for r in url_filter.RULES)}),
 fits AS (SELECT page_id, own || prefix AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(own || prefix) DESC) AS k
   FROM canon, rules WHERE (host = own OR ends_with(host, '.' || own)) AND starts_with(path, prefix))

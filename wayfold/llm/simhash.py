@@ -12,8 +12,10 @@ fingerprint goes to its own leaf, and to each leaf whose border it is within rea
 node with threshold t a point at distance d <= t goes inside, one at d > t outside, and one
 inside with d > t - radius outside too. By the triangle inequality every pair within the
 radius meets in some leaf. Each leaf is split further in the same way where it lies and
-compared exactly; only a spanning star of each leaf's links leaves the task, never all pairs.
-Stars are merged by alternating large-star and small-star steps over written tables.
+compared exactly; a leaf too dense for its block's tree is cut by trees over RADIUS + 1 blocks of
+the bits in which its points differ, since points within RADIUS bits agree in one of them.
+Only a spanning star of each leaf's links leaves the task, never all pairs. Stars are merged by
+alternating large-star and small-star steps over written tables.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import annotated, discard, stored
+from wayfold.llm.common import annotated, discard, spread_join, stored
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: (bits of the block, search radius in it); see the module's docstring for the sum of radii.
@@ -141,30 +143,6 @@ class VantageTree:
         return out
 
 
-def _flooded(points: np.ndarray, radius: int, root: np.ndarray, at: np.ndarray) -> None:
-    """Write to root, for the points at `at`, their components' first members.
-
-    A component that is found leaves the rest at once, so a dense one costs its size times
-    the points outside it, not its size squared.
-    """
-    rest = at
-    while len(rest):
-        seed, rest = rest[0], rest[1:]
-        front = np.array([seed])
-        root[seed] = seed
-        while len(front) and len(rest):
-            new = []
-            for start in range(0, len(front), 32):
-                reached = (np.bitwise_count(points[front[start : start + 32], None] ^ points[None, rest]) <= radius).any(axis=0)
-                if reached.any():
-                    new.append(rest[reached])
-                    root[new[-1]] = seed
-                    rest = rest[~reached]
-                if not len(rest):
-                    break
-            front = np.concatenate(new) if new else np.zeros(0, np.int64)
-
-
 def _merged(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minimum labels after joining a with b: repeated hooking and pointer jumping."""
     while True:
@@ -185,19 +163,36 @@ def linked(points: np.ndarray, mask: np.uint64, block_radius: int, radius: int =
 
     All links between points within block_radius of each other under mask are found; others may be.
     """
-    parent = np.arange(len(points))
-    tree = VantageTree.build(points, mask, block_radius, SMALL)
+    tree, edges = VantageTree.build(points, mask, block_radius, SMALL), []
     for _, at in tree.shards(points):
-        if len(at) <= 4 * SMALL:
-            own = points[at]
-            a, b = np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own[None, :]) <= radius, 1))
-            if len(a):
-                parent = _merged(parent, at[a], at[b])
-        else:
-            root = np.full(len(points), -1)
-            _flooded(points, radius, root, at)
-            parent = _merged(parent, at, root[at])
-    return parent
+        _star(points, at, radius, edges)
+    a, b = (np.concatenate(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64),) * 2
+    return _merged(np.arange(len(points)), a, b)
+
+
+def _star(points: np.ndarray, at: np.ndarray, radius: int, edges: list) -> None:
+    """Adds to edges pairs of positions whose components are those of all links among the distinct points at `at`."""
+    own = points[at]
+    if len(at) <= 4 * SMALL:
+        a, b = np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own[None, :]) <= radius, 1))
+        if len(a):
+            root = _merged(np.arange(len(at)), a, b)
+            far = np.flatnonzero(root != np.arange(len(at)))
+            edges.append((at[far], at[root[far]]))
+        return
+    differing = int(np.bitwise_or.reduce(own ^ own[0]))
+    bits = [np.uint64(1 << i) for i in range(64) if differing >> i & 1]
+    if len(bits) <= radius:
+        edges.append((at[1:], np.full(len(at) - 1, at[0])))
+        return
+    for k in range(radius + 1):
+        block = np.bitwise_or.reduce(np.array(bits[k :: radius + 1], np.uint64))
+        for _, inner in VantageTree.build(own, block, 0, SMALL).shards(own):
+            order = inner[np.argsort(own[inner] & block, kind="stable")]
+            value = own[order] & block
+            for same in np.split(order, np.flatnonzero(value[1:] != value[:-1]) + 1):
+                if len(same) > 1:
+                    _star(points, at[same], radius, edges)
 
 
 def links(fps: DataFrame, blocks=BLOCKS, leaf: int = LEAF, held: int = HELD) -> DataFrame:
@@ -245,7 +240,8 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """(a, root) for every node of edges (a, b) but each component's least, which is the root.
 
     Alternating large-star and small-star steps; each round is written to the shared folder.
-    Minima are partial aggregates, so a hub with most edges makes no hot task.
+    Minima are partial aggregates and the joins that use them deal a hub's edges over several
+    tasks, so a hub with most edges makes no hot task.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -254,12 +250,12 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     kept = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     known = state(kept)
     while True:
-        both = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        turned = kept.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = kept.unionByName(turned).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        large = spread_join(turned, least, "a", known[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = stored(large, label)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = spread_join(large, least, "a", known[0])
         small = small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = stored(small.filter("a != b").distinct(), label)
         discard(large)
@@ -275,15 +271,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component_id is the least non-null key in the component of the row's fingerprint. Null and
     empty texts have fingerprint zero and link like any other; rows with a null key are
     fingerprinted and link too, and get the component's least key, or null if it has none.
-    Repeated rows each come back. Other columns of docs are not read.
+    Repeated rows each come back; one fingerprint or component may hold most rows. A text of any
+    length is one fingerprint. Other columns of docs are not read. No rows in: no rows out.
     """
     own = stored(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", "fp"), "fingerprints")
-    fps = stored(own.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
+    fps = stored(own.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("_n")), "distinct-fingerprints")
+    distinct, rows = fps.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     roots = components(links(fps.select("fp")))
-    rooted = fps.join(roots, F.col("fp") == F.col("a"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(firsts, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    rooted = stored(fps.join(roots, F.col("fp") == F.col("a"), "left").select("fp", "least", F.col("_n").alias("_rows"), F.coalesce("root", "fp").alias("root")), "roots")
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    by_fp = stored(spread_join(rooted, firsts, "root", distinct).select("fp", "component_id", F.col("_rows").alias("_n")), "components")
+    return spread_join(own, by_fp, "fp", rows).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):
@@ -293,18 +291,39 @@ def hex_fingerprint(column: str = "fp"):
 def deduplicated(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """docs without all but one document of each component: that with the least doc_id stays.
 
-    Rows with a null doc_id can't be told apart and stay. Where a kept doc_id is repeated, one
-    of its rows stays. Up to broadcast_ids removed ids are broadcast, so texts stay where they
-    lie; beyond that, both sides are dealt by id.
+    Rows with a null doc_id can't be told apart and stay. Where a doc_id is repeated, of its rows in
+    the component that it leads one stays: that with the least hash of its columns; its rows in
+    other components go, as those keep a smaller doc_id. Up to broadcast_ids removed ids are broadcast,
+    so texts stay where they lie; beyond that, both sides are dealt by id. Columns of docs keep
+    their names, whatever they are. No rows in: no rows out.
     """
-    found = near_duplicates(docs)
-    told = stored(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("n")), "told")
-    removed = told.filter(~F.col("stays")).select(F.col("doc_id").alias("_removed"))
-    removed = F.broadcast(removed) if removed.count() <= broadcast_ids else removed.hint("shuffle_hash")
-    out = docs.join(removed, F.col("doc_id") == F.col("_removed"), "left_anti")
-    if not told.filter("stays and n > 1").limit(1).count():
+    found = stored(near_duplicates(docs).filter("doc_id is not null"), "found")
+    told = stored(found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("n")), "told")
+    gone, repeated = told.agg(F.count_if(~F.col("stays") | (F.col("n") > 1)), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
+    names = _unused(docs, ["removed", "salt"])
+    # null ids get salts that nothing meets, so they don't come together in one task
+    salt = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(F.lit(0))
+    removed = told.filter("not stays or n > 1").select(F.col("doc_id").alias(names[0]), F.lit(0).cast("long").alias(names[1] + "_"))
+    removed = F.broadcast(removed) if gone <= broadcast_ids else removed.hint("shuffle_hash")
+    zero = F.lit(0).cast(dict(docs.dtypes)["doc_id"])
+    met = docs.withColumn(names[1], salt.cast("long"))
+    out = met.join(removed, (F.coalesce(F.col("doc_id"), zero) == F.col(names[0])) & (F.col(names[1]) == F.col(names[1] + "_")), "left_anti").drop(names[1])
+    if not repeated:
         return out
-    return out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    several = told.filter("stays and n > 1").select(F.col("doc_id").alias(names[0]))
+    leads = found.filter("component_id = doc_id").select(F.col("doc_id").alias(names[0]), F.col("fp").alias(names[1])).distinct()
+    rows = docs.join(several.hint("shuffle_hash") if repeated > broadcast_ids else F.broadcast(several), F.col("doc_id") == F.col(names[0]), "left_semi")
+    fp = _unused(docs, ["fp"])[0]
+    rows = fingerprints(rows, column=fp).join(F.broadcast(leads) if repeated <= broadcast_ids else leads, (F.col("doc_id") == F.col(names[0])) & (F.col(fp) == F.col(names[1])), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(fp))
+    return out.unionByName(one.select(*[F.col(f"`{fp}`.`{c}`").alias(c) for c in docs.columns]))
+
+
+def _unused(docs: DataFrame, names: list[str]) -> list[str]:
+    """Names like these that no column of docs has."""
+    tail = "_" * (1 + max(map(len, docs.columns)))
+    return [f"_{n}{tail}" for n in names]
 
 
 __all__ = ["VantageTree", "components", "deduplicated", "fingerprint", "fingerprints", "hex_fingerprint", "linked", "links", "masks", "near_duplicates"]

@@ -2,8 +2,8 @@
 
 Pieces of at most `capacity` ids (longer texts are cut losslessly) are packed by
 packing.best_fit_decreasing, whose open sequences are found through a segment tree over
-capacities. Each piece carries its rank among its task's pieces of like length, so the plan
-needs no sort of the data and ids are shuffled once, to their sequences. Rows are matrices'
+capacities. Pieces are ranked without a sort of the data, and ids are shuffled once, to their
+sequences. Rows are matrices'
 rows: ids as little-endian unsigned integers, padded to the full width; the lengths' running
 sums tell the segments, and positions start anew where each begins.
 """
@@ -11,16 +11,14 @@ sums tell the segments, and positions start anew where each begins.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import tokens
-from wayfold.llm.common import stored
-from wayfold.llm.packing import best_fit_decreasing, placed
+from wayfold.llm.common import new_path, stored
+from wayfold.llm.packing import best_fit_decreasing, placed, ranked
 
 CAPACITY = 4096
-#: Counts by task and length that are broadcast at most (about 40 bytes each); more are joined by shuffle.
-BROADCAST_COUNTS = 500_000
 
 
 def matrices(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
@@ -33,14 +31,8 @@ def matrices(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     """
     width = tokens.id_bytes(path)
     made = stored(tokens.pieces(docs, path, key, text, capacity, with_ids=True, ranked=True), "matrix-pieces")
-    counts = made.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = stored(counts, "matrix-counts")
-    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # capacity rows at most
-    bases = counts.select(F.col("_part").alias("_p"), F.col("length").alias("_l"), F.coalesce(before, F.lit(0)).alias("_base"))
-    bases = F.broadcast(bases) if counts.count() <= BROADCAST_COUNTS else bases
-    ranked = made.join(bases, (F.col("_part") == F.col("_p")) & (F.col("length") == F.col("_l"))).withColumn("_rank", F.col("_base") + F.col("_ordinal"))
-    laid = placed(ranked.select(F.col(key).alias("key"), "piece", "length", "ids", "_rank"), best_fit_decreasing(histogram, capacity))
+    own, histogram = ranked(made)
+    laid = placed(own.select(F.col(key).alias("key"), "piece", "length", "ids", "_rank"), best_fit_decreasing(histogram, capacity))
     parts = F.sort_array(F.collect_list(F.struct("offset", "length", "key", "piece", "ids")))  # a sequence's pieces: capacity ids at most
     rows = laid.groupBy("sequence_id").agg(parts.alias("_x"))
     ends = F.transform("_x", lambda x: (x["offset"] + x["length"]).cast("int"))
@@ -59,10 +51,17 @@ def matrices(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """Write matrices' rows as Parquet; read_matrix() takes a file's rows back to numpy."""
+    """Write matrices' rows as Parquet: a row's ids are one binary value, so as_numpy() takes a file's rows back at once."""
     rows.write.parquet(path)
 
 
+def written(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """matrices() of docs, written to the shared folder and read back."""
+    to = new_path(docs.sparkSession, "matrices")
+    write(matrices(docs, path, key, text, capacity), to)
+    return read_matrix(docs.sparkSession, to)
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

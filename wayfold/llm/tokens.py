@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WordCache, gathered, gathered_ranges, released, slices, small_batches, string_bytes, word_codes
+from wayfold.llm.common import WordCache, gathered, gathered_ranges, released, slices, small_batches, stored, string_bytes, word_codes
+from wayfold.llm.packing import ordinals, packed
 
 CAPACITY = 4096
 END_ID = 1
@@ -149,10 +150,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 columns.append(pa.array([ids[a : a + n].astype(f"<u{width}").tobytes() for a, n in zip(at.tolist(), length.tolist(), strict=True)], pa.binary()))
                 names.append("ids")
             if ranked:
-                ordinal = np.empty(len(length), np.int64)
-                for i, n in enumerate(length.tolist()):
-                    ordinal[i] = seen[n] = seen.get(n, -1) + 1
-                columns += [pa.array(np.full(len(length), task.partitionId(), np.int32)), pa.array(ordinal)]
+                columns += [pa.array(np.full(len(length), task.partitionId(), np.int32)), pa.array(ordinals(length.tolist(), seen), pa.int64())]
                 names += ["_part", "_ordinal"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         released()
@@ -160,3 +158,8 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", _part int, _ordinal long" * ranked
     width = id_bytes(path)
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def packed_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """pieces() of every text, packed by linear grouping; they are written and reread, so their numbers hold."""
+    return packed(stored(pieces(docs, path, key, text, capacity, ranked=True), "pieces"), capacity=capacity)

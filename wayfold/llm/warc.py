@@ -1,36 +1,43 @@
 """WARC archives with revisit records, and capture histories by external index merge.
 
-Records are laid out natively and written by Spark's text writer, whose line separator is the
-two line ends that close a WARC record: any store that Spark writes to will do, commits are
-atomic by task, and each file is one gzip member. Only digests and ids are shuffled to tell
-revisits. Reading parses by Content-Length, checks every payload against its digest, and sorts
-each file's captures: a run. Runs meet in key ranges (quantiles of a bounded sample over URL
-key, timestamp and id, so one hot URL spans ranges), where a loser tree merges them; ranges
-end to end are the globally ordered capture histories.
+Records are laid out natively; tasks make a gzip member of each and hand Spark's text writer chunks of
+members, so any store that Spark writes to will do and commits are atomic by task. Files are bounded
+in bytes, begin with a warcinfo record and end in .warc.gz; the writer's line separator is an
+empty gzip member. Only digests and ids are shuffled to tell revisits. Files are read as streams of
+lines that Spark inflates: records are put together by Content-Length, every payload is checked
+against its digest, and each file's captures are sorted: a run. Runs meet in key ranges (quantiles of a
+bounded sample over URL key, timestamp, id, run and place, so neither a hot URL nor repeated rows
+fall in one range), where a loser tree merges them; ranges end to end are the globally ordered
+capture histories.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import io
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import new_path, stored
+from wayfold.llm.common import new_path, released, small_batches, stored
 
 #: Payloads of at least this many bytes are revisited; smaller ones are always responses.
 LEAST_BYTES = 0
 #: Revisits that are broadcast to the pages at most (about 100 bytes each); more are joined by shuffle.
 BROADCAST_REVISITS = 200_000
-#: Records in one file at most; captures wanted in one range, and keys sampled for the borders.
-FILE_RECORDS, RANGE_ROWS, SAMPLE_KEYS = 20_000, 20_000, 20_000
+#: Compressed bytes of a chunk of members, above which it is closed, and chunks in one file: a file has some 64 MB.
+CHUNK_BYTES, FILE_CHUNKS = 4 << 20, 16
+#: Captures wanted in one range; keys sampled for each border, and for all at most (about 100 bytes each).
+RANGE_ROWS, BORDER_KEYS, SAMPLE_KEYS = 20_000, 16, 1_000_000
+#: Between a file's chunks: a gzip member of nothing.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff" "0300" "0000000000000000")
+END = b"\r\n\r\n"
 CRAWL_START = 1704067200  # 2024-01-01
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -71,10 +78,49 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, broadcast_revisits
     return told.select(F.concat(*head).alias("record"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Write a record for each page, as gzipped WARC files in the folder path."""
-    made = records(pages, least_bytes).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    made.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def member(record: bytes) -> bytes:
+    """A record and its closing line ends as a gzip member."""
+    return gzip.compress(record + END, 6, mtime=0)
+
+
+def warcinfo(name: str) -> bytes:
+    """The record that a file begins with."""
+    fields = b"software: wayfold\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:warcinfo:{name}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n"
+    return head.encode() + fields
+
+
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, chunk_bytes: int = CHUNK_BYTES, file_chunks: int = FILE_CHUNKS) -> None:
+    """Write a record for each page, each a gzip member, as .warc.gz files in the folder path.
+
+    A task holds one chunk at a time: chunk_bytes and one record at most. The driver gives the files
+    their endings when all are written.
+    """
+    spark = pages.sparkSession
+    small_batches(spark)
+
+    def chunks(batches):
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                if not held and number % file_chunks == 0:  # the writer begins a file every file_chunks rows
+                    held.append(member(warcinfo(f"{task}-{number // file_chunks}")))
+                held.append(member(record.as_buffer().to_pybytes()))
+                size += len(held[-1])
+                if size >= chunk_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["chunk"])
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["chunk"])
+        released()
+
+    made = records(pages, least_bytes).select(F.col("record").cast("binary").alias("record")).mapInArrow(chunks, "chunk binary")
+    writer = made.select(F.col("chunk").cast("string")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
+    writer.option("maxRecordsPerFile", file_chunks).text(path)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    store = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in store.globStatus(paths(f"{path}/part-*.txt")):
+        store.rename(file.getPath(), paths(path, file.getPath().getName().removesuffix(".txt") + ".warc.gz"))
 
 
 def surt(url: str) -> str:
@@ -86,56 +132,54 @@ def surt(url: str) -> str:
     return ",".join(reversed(labels)) + ")" + (tail or "/")
 
 
-def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an uncompressed WARC stream."""
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record: {line[:40]!r}")
-        headers = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode("utf-8", "surrogateescape").rstrip("\r\n").partition(":")
-            headers[name.lower()] = value.strip()
-        block = stream.read(int(headers["content-length"]))
-        if stream.read(4) != b"\r\n\r\n":
-            raise ValueError("a record doesn't end as it should")
-        yield headers, block
-
-
-class _Inflated(io.RawIOBase):
-    """A gzip member inflated as it is read, so a file's text is never held whole."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.inflater, self.left = data, 0, zlib.decompressobj(31), b""
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        while not self.left and (self.at < len(self.data) or self.inflater.unconsumed_tail):
-            source = self.inflater.unconsumed_tail or self.data[self.at : self.at + 65536]
-            if not self.inflater.unconsumed_tail:
-                self.at += 65536
-            self.left = self.inflater.decompress(source, 1 << 20)
-        n = min(len(buffer), len(self.left))
-        buffer[:n] = self.left[:n]
-        self.left = self.left[n:]
-        return n
-
-
-def captures(data: bytes) -> list[tuple]:
-    """CAPTURE rows of one archive file, sorted: a run. Raises if a response's payload doesn't match its digest."""
-    out = []
-    for headers, block in parsed(io.BufferedReader(_Inflated(data), 1 << 16)):
-        http, _, payload = block.partition(b"\r\n\r\n")
-        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-        if headers["warc-type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-            raise ValueError(f"payload of {headers['warc-record-id']} doesn't match its digest")
-        ids = [re.search(r"urn:page:(-?\d+)", headers.get(h, "")) for h in ("warc-record-id", "warc-refers-to")]
-        page, refers = (int(m[1]) if m else None for m in ids)
-        when = int(np.datetime64(headers["warc-date"].removesuffix("Z"), "s").astype(np.int64))
-        out.append((page, surt(headers["warc-target-uri"]), when, size, digest, headers["warc-type"], refers))
-    return sorted(out, key=_order)
+class Parser:
+    """Headers and block of each record of an uncompressed WARC stream that comes in parts; holds one record and a part at most."""
+
+    def __init__(self):
+        self.parts, self.size, self.headers, self.wanted = [], 0, None, 0
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self.parts.append(data)
+        self.size += len(data)
+        while self.size > len(END) and self.size >= self.wanted:
+            whole = b"".join(self.parts)
+            if self.headers is None:
+                end = whole.find(END)
+                if not whole.startswith(b"WARC/"):
+                    raise ValueError(f"no WARC record: {whole[:40]!r}")
+                if end < 0:
+                    self.parts = [whole]
+                    return
+                lines = whole[:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
+                self.headers = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+                self.wanted, rest = int(self.headers["content-length"]) + len(END), whole[end + len(END) :]
+            else:
+                size = self.wanted - len(END)
+                if whole[size : self.wanted] != END:
+                    raise ValueError("a record doesn't end as it should")
+                yield self.headers, whole[:size]
+                self.headers, self.wanted, rest = None, 0, whole[size + len(END) :]
+            self.parts, self.size = [rest], len(rest)
+
+    def close(self) -> None:
+        """At the stream's end; the line end that a reader of lines adds to the last one is left over."""
+        if self.headers is not None or b"".join(self.parts) not in (b"", END):
+            raise ValueError("an archive ends within a record")
+
+
+def capture(headers: dict[str, str], block: bytes) -> tuple | None:
+    """The CAPTURE row of a record, None for other kinds. Raises if a response's payload doesn't match its digest."""
+    if headers["warc-type"] not in ("response", "revisit"):
+        return None
+    http, _, payload = block.partition(END)
+    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+    digest = headers["warc-payload-digest"].removeprefix("sha1:")
+    if headers["warc-type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+        raise ValueError(f"payload of {headers['warc-record-id']} doesn't match its digest")
+    ids = [re.search(r"urn:page:(-?\d+)", headers.get(h, "")) for h in ("warc-record-id", "warc-refers-to")]
+    page, refers = (int(m[1]) if m else None for m in ids)
+    when = int(np.datetime64(headers["warc-date"].removesuffix("Z"), "s").astype(np.int64))
+    return page, surt(headers["warc-target-uri"]), when, size, digest, headers["warc-type"], refers
 
 
 def _order(row: tuple) -> tuple:
@@ -181,19 +225,37 @@ class LoserTree:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """CAPTURE rows of all archives in path, with run (the file) and seq (the place in its sorted run)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.xxhash64("path").alias("run"), "content")
+    """CAPTURE rows of all archives in path, with run (the file) and seq (the place in its sorted run).
+
+    A file is inflated and parsed as it is read, by one task; what a task holds is a record, a
+    batch of lines and its file's captures, whose number the file's bytes bound.
+    """
+    small_batches(spark)
+    lines = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", "*.warc.gz").text(path)
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("run"), F.col("value").cast("binary").alias("value"))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+
+    def sorted_run(name: int, parser: Parser, rows: list[tuple]) -> pa.RecordBatch:
+        parser.close()
+        rows.sort(key=_order)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), *arrays], names=["run", "seq", *_NAMES])
 
     def run(batches):
+        name, parser, rows = None, Parser(), []
         for batch in batches:
-            for name, data in zip(batch.column("run"), batch.column("content"), strict=True):
-                rows = captures(data.as_buffer().to_pybytes())
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), *arrays], names=["run", "seq", *_NAMES])
+            for own, value in zip(batch.column("run").to_pylist(), batch.column("value"), strict=True):
+                if own != name:
+                    if name is not None:
+                        yield sorted_run(name, parser, rows)
+                    name, parser, rows = own, Parser(), []
+                rows += [x for r in parser.feed(value.as_py() + END) if (x := capture(*r))]
+        if name is not None:
+            yield sorted_run(name, parser, rows)
+        released()
 
-    return files.mapInArrow(run, f"run long, seq long, {CAPTURE}")
+    return lines.mapInArrow(run, f"run long, seq long, {CAPTURE}")
 
 
 _NAMES = [c.split()[0] for c in CAPTURE.split(", ")]
@@ -202,21 +264,22 @@ _NAMES = [c.split()[0] for c in CAPTURE.split(", ")]
 def merged_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """CAPTURE rows with range and position: ordered by (range, position), captures are ordered by URL key, timestamp and id.
 
-    Null ids come first among equal keys; ties go to the earlier run.
+    Null ids come first among equal keys; ties go by run and place in it, and may span ranges.
     """
     n = runs.count()
-    rate = min(1.0, SAMPLE_KEYS / max(1, n))
+    parts = max(1, -(-n // range_rows))
+    rate = min(1.0, min(SAMPLE_KEYS, BORDER_KEYS * parts) / max(1, n))
     draw = F.pmod(F.xxhash64("run", "seq", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    keys = sorted((r["urlkey"], r["timestamp"], r["page_id"] is not None, r["page_id"] or 0) for r in runs.filter(draw < rate).select("urlkey", "timestamp", "page_id").collect())
-    parts = max(1, min(-(-n // range_rows), len(keys)))
+    keys = sorted((r["urlkey"], r["timestamp"], r["page_id"] is not None, r["page_id"] or 0, r["run"], r["seq"]) for r in runs.filter(draw < rate).select("urlkey", "timestamp", "page_id", "run", "seq").collect())
+    parts = max(1, min(parts, len(keys)))
     borders = runs.sparkSession.sparkContext.broadcast([keys[len(keys) * i // parts] for i in range(1, parts)])
 
     def place(batches):
         from bisect import bisect_right
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("urlkey", "timestamp", "page_id")), strict=True)
-            found = [bisect_right(borders.value, (u, t, p is not None, p or 0)) for u, t, p in rows]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("urlkey", "timestamp", "page_id", "run", "seq")), strict=True)
+            found = [bisect_right(borders.value, (u, t, p is not None, p or 0, r, s)) for u, t, p, r, s in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "range"])
 
     def merge(table):
