@@ -291,7 +291,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, key: str = "vec_id",
 
     wanted = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).select("id", "v")
     asked = wanted.mapInArrow(query_blocks, ", ".join(f"q{c}" for c in SCHEMA.split(", ")) + ", floors binary, cell int")
-    met = asked.join(celled.select(*NAMES, "cell"), "cell").select(*NAMES, *(f"q{c}" for c in NAMES), "floors")
+    # a task for each cell: what a cell costs to evaluate is far more than its bytes tell
+    sides = (df.repartition(max(1, cells), "cell") for df in (asked, celled.select(*NAMES, "cell")))
+    met = next(sides).join(next(sides), "cell").select(*NAMES, *(f"q{c}" for c in NAMES), "floors")
 
     def evaluate(batches):
         for batch in batches:
