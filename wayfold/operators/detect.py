@@ -12,9 +12,13 @@ def step_log_factor(moves: DataFrame, p_null: DataFrame, p_open: DataFrame, keys
     """(keys, slot, h): ln p_null - ln p_open of the pair that was really taken; 0 where either is missing.
 
     Missing values would otherwise stop or reset the running factor; probabilities under floor count as floor.
+    A table of probabilities without some of the keys, or without slot, holds for all of them.
     """
-    on = [*keys, "origin", "dest", "slot"]
-    own = moves.select(*on).join(p_null.select(*on, F.col("p").alias("_n")), on, "left").join(p_open.select(*on, F.col("p").alias("_o")), on, "left")
+    names = [*keys, "origin", "dest", "slot"]
+    own = moves.select(*names)
+    for table, name in ((p_null, "_n"), (p_open, "_o")):
+        on = [c for c in names if c in table.columns]
+        own = own.join(table.select(*on, F.col("p").alias(name)), on, "left")
     h = F.ln(F.greatest("_n", F.lit(floor))) - F.ln(F.greatest("_o", F.lit(floor)))
     known = F.col("_n").isNotNull() & F.col("_o").isNotNull()
     return own.select(*keys, "slot", F.when(known, h).otherwise(0.0).alias("h"))
@@ -37,11 +41,15 @@ def cumulative_bayes_factor(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def argmax_destination(probabilities: DataFrame, moves: DataFrame, keys: list[str], first_slot: int = 0) -> DataFrame:
-    """(keys, slot, origin, dest, p, real_dest): the likeliest destination from where the agent is; ties to the smaller number."""
-    on = [*keys, "origin", "slot"]
-    own = probabilities.filter("p is not null").join(moves.filter(F.col("slot") >= first_slot).select(*on, F.col("dest").alias("real_dest")), on)
+    """(keys, slot, origin, dest, p, real_dest): the likeliest destination from where the agent is; ties to the smaller number.
+
+    It is found once for an origin and slot, and for each of the keys that probabilities has; then the moves are joined.
+    """
+    on = [c for c in [*keys, "origin", "slot"] if c in probabilities.columns]
     best = F.max_by(F.struct("dest", "p"), F.struct(F.col("p"), (-F.col("dest")).alias("_d")))
-    return own.groupBy(*on, "real_dest").agg(best.alias("_b")).select(*keys, "slot", "origin", F.col("_b.dest").alias("dest"), F.col("_b.p").alias("p"), "real_dest")
+    likeliest = probabilities.filter("p is not null").filter(F.col("slot") >= first_slot).groupBy(*on).agg(best.alias("_b"))
+    own = moves.filter(F.col("slot") >= first_slot).select(*keys, "origin", "slot", F.col("dest").alias("real_dest")).join(likeliest, on)
+    return own.select(*keys, "slot", "origin", F.col("_b.dest").alias("dest"), F.col("_b.p").alias("p"), "real_dest")
 
 
 def accuracies(predicted: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +78,7 @@ def binary_summary(forecasts: DataFrame, keys: list[str], threshold: float = 0.5
 
 
 def threshold_curves(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, tau, tp, fp, precision, recall, fpr, accuracy): a row for each distinct score and for both infinities.
+    """(keys, tau, tp, fp, n_pos, n_neg, precision, recall, fpr, accuracy): a row for each distinct score and for both infinities.
 
     scores (keys, score, positive); a score of tau or less counts as positive. Counts are running
     sums over distinct scores, not a comparison of each with each.
@@ -87,27 +95,26 @@ def threshold_curves(scores: DataFrame, keys: list[str]) -> DataFrame:
         return F.coalesce(ratio(a, b), F.lit(0.0))
 
     tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "_P", "_N"))
-    return full.select(*keys, "tau", "tp", "fp", share(tp, tp + fp).alias("precision"), share(tp, p).alias("recall"), share(fp, n).alias("fpr"), share(tp + n - fp, p + n).alias("accuracy"))
+    return full.select(*keys, "tau", "tp", "fp", p.alias("n_pos"), n.alias("n_neg"), share(tp, tp + fp).alias("precision"), share(tp, p).alias("recall"), share(fp, n).alias("fpr"), share(tp + n - fp, p + n).alias("accuracy"))
 
 
-def _best(curves: DataFrame, keys: list[str], order: list) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return curves.withColumn("_r", rank).filter("_r = 1").drop("_r")
+def _best(curves: DataFrame, keys: list[str], max_fpr: float | None, order: list) -> DataFrame:
+    """The first row under the cap, or where none is the one with least fpr; feasible tells which."""
+    own = curves.withColumn("feasible", F.lit(True) if max_fpr is None else F.col("fpr") <= max_fpr)
+    within = [F.desc("feasible"), F.when(~F.col("feasible"), F.col("fpr")), *order]
+    return own.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*within))).filter("_r = 1").drop("_r")
 
 
 def threshold_by_fbeta(curves: DataFrame, keys: list[str], max_fpr: float | None = None, beta: float = 0.5) -> DataFrame:
-    """The row of the largest F-beta with fpr up to max_fpr; ties to the larger tau."""
+    """The row of the largest F-beta with fpr up to max_fpr, and feasible; ties to the larger tau."""
     b2 = beta * beta
     score = F.coalesce(ratio((1 + b2) * F.col("precision") * F.col("recall"), b2 * F.col("precision") + F.col("recall")), F.lit(0.0))
-    own = curves.withColumn("fbeta", score)
-    own = own if max_fpr is None else own.filter(F.col("fpr") <= max_fpr)
-    return _best(own, keys, [F.desc(F.round("fbeta", 12)), F.desc("tau")])
+    return _best(curves.withColumn("fbeta", score), keys, max_fpr, [F.desc(F.round("fbeta", 12)), F.desc("tau")])
 
 
 def threshold_by_recall(curves: DataFrame, keys: list[str], max_fpr: float | None = 0.1) -> DataFrame:
-    """The row of the largest recall with fpr up to max_fpr; ties to the lower fpr, the higher precision, the larger tau."""
-    own = curves if max_fpr is None else curves.filter(F.col("fpr") <= max_fpr)
-    return _best(own, keys, [F.desc(F.round("recall", 12)), F.round("fpr", 12), F.desc(F.round("precision", 12)), F.desc("tau")])
+    """The row of the largest recall with fpr up to max_fpr, and feasible; ties to the lower fpr, the higher precision, the larger tau."""
+    return _best(curves, keys, max_fpr, [F.desc(F.round("recall", 12)), F.round("fpr", 12), F.desc(F.round("precision", 12)), F.desc("tau")])
 
 
 def changed_share(new: DataFrame, old: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:

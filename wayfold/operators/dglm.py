@@ -7,13 +7,16 @@ after y of n, f* and q* of the updated Beta give m = a + RF (f* - f) / q and
 C = R - RFF'R (1 - q* / q) / q; then a = Gm and R = GCG' with discounts by block. A slot with
 n = 0 evolves without an observation.
 
-A series is one group of applyInPandas: its length is bounded by the time axis, and series are
-independent, so they spread over the cluster by key.
+Series are independent, so they are dealt over the cluster by key. A task takes them as they come,
+sorted, and filters TOGETHER of them side by side: each step is a few numpy calls for all. A series'
+length is bounded by the time axis. The state after a series' last row, with its full covariance,
+comes with that row; given to a later run, it goes on as if there had been one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Series that are filtered side by side, and rows that a task collects for them at most, beyond one series.
+TOGETHER, ROWS = 256, 400_000
+
+
 def polygammas(x: float) -> tuple[float, float, float]:
     """digamma, trigamma and tetragamma of x > 0: recurrence up to 6, then the asymptotic series."""
     d = t = u = 0.0
@@ -62,6 +69,44 @@ def beta_of(f: float, q: float) -> tuple[float, float]:
     return math.exp(la), math.exp(lb)
 
 
+def polygammas_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """polygammas() of each number."""
+    x, (d, t, u) = x.astype(float), np.zeros((3, len(x)))
+    while (low := x < 6).any():
+        r = np.where(low, 1 / x, 0.0)
+        d, t, u, x = d - r, t + r * r, u - 2 * r**3, x + low
+    r = 1 / x
+    s = r * r
+    d += np.log(x) - 0.5 * r - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
+    t += r + s / 2 + s * r * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s * (1 / 30 - s * 5 / 66))))
+    u += -s - s * r - s * s * (0.5 - s * (1 / 6 - s * (1 / 6 - s * 0.3)))
+    return d, t, u
+
+
+def betas_of(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """beta_of() of each pair."""
+    q, f = np.maximum(q, 1e-10), np.clip(f, -40.0, 40.0)
+    la, lb = np.log((1 + np.exp(f)) / q), np.log((1 + np.exp(-f)) / q)
+    todo = np.arange(len(f))
+    for _ in range(60):
+        a, b = np.exp(la[todo]), np.exp(lb[todo])
+        da, ta, ua = polygammas_of(a)
+        db, tb, ub = polygammas_of(b)
+        r1, r2 = da - db - f[todo], (ta + tb) / q[todo] - 1
+        j11, j12, j21, j22 = a * ta, -b * tb, a * ua / q[todo], b * ub / q[todo]
+        with np.errstate(all="ignore"):
+            det = j11 * j22 - j12 * j21
+            step_a, step_b = (r1 * j22 - r2 * j12) / det, (j11 * r2 - j21 * r1) / det
+        go = ((np.abs(r1) >= 1e-10) | (np.abs(r2) >= 1e-10)) & (det != 0) & np.isfinite(det)
+        if not go.any():
+            break
+        todo, step_a, step_b = todo[go], step_a[go], step_b[go]
+        most = np.maximum(1.0, np.maximum(np.abs(step_a), np.abs(step_b)))
+        la[todo] -= step_a / most
+        lb[todo] -= step_b / most
+    return np.exp(la), np.exp(lb)
+
+
 @dataclass
 class Design:
     """A level, harmonics of given periods, and regressors; discounts of 1 keep the state static."""
@@ -151,50 +196,175 @@ def filtered(y: np.ndarray, n: np.ndarray, x: np.ndarray, design: Design, state:
     return p, m, v
 
 
+@dataclass
+class Series:
+    """One series: answers y of n, further trials with the same answer, regressors, and the state it begins from."""
+
+    y: np.ndarray
+    n: np.ndarray
+    x: np.ndarray
+    state: State
+    extra: np.ndarray | None = None
+
+
+def filtered_together(series: list[Series], design: Design) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """filtered() of each series, all at once: at a step, those that are that long. States are left as after the last rows."""
+    order = sorted(range(len(series)), key=lambda i: -len(series[i].y))
+    longest = [len(series[i].y) for i in order]
+    g, scale = design.evolution()
+    still = bool((g == np.eye(design.size)).all() and (scale == 1).all())
+    a, r = np.stack([series[i].state.a for i in order]), np.stack([series[i].state.r for i in order])
+    top = max(longest, default=0)
+    y, n, extra = np.full((3, len(order), top), np.nan)
+    vectors = np.zeros((len(order), top, design.size))
+    for k, i in enumerate(order):
+        own, size = series[i], longest[k]
+        y[k, :size], n[k, :size], vectors[k, :size] = own.y, own.n, design.vectors(own.x)
+        extra[k, :size] = 0 if own.extra is None else own.extra
+    p, m, v = np.empty((len(order), top)), np.empty((len(order), top, design.size)), np.empty((len(order), top, design.size))
+    alive = len(order)
+
+    def prior(at: np.ndarray, t: int):
+        f_vec = vectors[at, t]
+        rf = (r[at] @ f_vec[:, :, None])[:, :, 0]
+        f, q = (f_vec * a[at]).sum(axis=1), np.maximum((f_vec * rf).sum(axis=1), 1e-10)
+        return rf, f, q, *betas_of(f, q)
+
+    def learn(at: np.ndarray, found: tuple, hits: np.ndarray, trials: np.ndarray) -> None:
+        rf, f, q, alpha, beta = found
+        da, ta, _ = polygammas_of(alpha + hits)
+        db, tb, _ = polygammas_of(beta + trials - hits)
+        a[at] += rf * ((da - db - f) / q)[:, None]
+        r[at] -= rf[:, :, None] * rf[:, None, :] * ((1 - (ta + tb) / q) / q)[:, None, None]
+
+    for t in range(top):
+        while longest[alive - 1] <= t:
+            alive -= 1
+        every = np.arange(alive)
+        found = prior(every, t)
+        p[:alive, t] = found[3] / (found[3] + found[4])
+        at = np.flatnonzero((n[:alive, t] > 0) & ~np.isnan(y[:alive, t]))
+        if len(at):
+            learn(at, tuple(x[at] for x in found), y[at, t], np.maximum(n[at, t], y[at, t]))
+            at = at[extra[at, t] > 0]
+            if len(at):
+                learn(at, prior(at, t), extra[at, t] * y[at, t], extra[at, t])
+        m[:alive, t], v[:alive, t] = a[:alive], np.diagonal(r[:alive], axis1=1, axis2=2)
+        if not still:
+            a[:alive] = a[:alive] @ g.T
+            r[:alive] = g @ r[:alive] @ g.T / scale
+            r[:alive] = (r[:alive] + r[:alive].transpose(0, 2, 1)) / 2
+    out: list = [None] * len(order)
+    for k, i in enumerate(order):
+        series[i].state.a, series[i].state.r = a[k], r[k]
+        out[i] = p[k, : longest[k]], m[k, : longest[k]], v[k, : longest[k]]
+    return out
+
+
 def _kinds(df: DataFrame, names: list[str]) -> str:
     types = dict(df.dtypes)
     return ", ".join(f"{c} {types[c]}" for c in names)
 
 
-def group_models(rows: DataFrame, keys: list[str], features: list[str], per_day: int, daily: int = 1, weekly: int = 1, variance: float = 10.0, discounts: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """(keys, slot, p_hat, y, n, m, v): a dynamic model of y out of n for each key, in slot order."""
+def by_series(rows: DataFrame, keys: list[str], order: list[str], schema: str, fit: Callable[[list[pd.DataFrame]], list[pd.DataFrame]]) -> DataFrame:
+    """fit() over lists of whole series, each a frame of rows with equal keys in order; nulls are a key and come first in order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail, ready, size = None, [], 0
+        for frame in frames:
+            frame = frame if tail is None else pd.concat((tail, frame), ignore_index=True)
+            if frame.empty:
+                continue
+            number = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            parts = np.split(np.arange(len(frame)), np.flatnonzero(number[1:] != number[:-1]) + 1)
+            tail = frame.iloc[parts[-1]]
+            for part in parts[:-1]:
+                ready.append(frame.iloc[part])
+                size += len(part)
+                if len(ready) >= TOGETHER or size >= ROWS:
+                    yield pd.concat(fit(ready), ignore_index=True)
+                    ready, size = [], 0
+        if tail is not None:
+            yield pd.concat(fit([*ready, tail]), ignore_index=True)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _started(rows: DataFrame, keys: list[str], states: DataFrame | None) -> DataFrame:
+    """rows with _a and _r, and first in each series that states(keys, a, r) has, a row without a slot that holds them."""
+    own = rows.withColumns({c: F.lit(None).cast("array<double>") for c in ("_a", "_r")})
+    if states is None:
+        return own
+    return own.unionByName(states.select(*keys, F.col("a").alias("_a"), F.col("r").alias("_r")), allowMissingColumns=True)
+
+
+def _opened(frame: pd.DataFrame, size: int, variance: float) -> tuple[pd.DataFrame, State]:
+    """A series without its state row, and the state it begins from."""
+    if len(frame) and isinstance(first := frame["_a"].iloc[0], (list, np.ndarray)):
+        return frame.iloc[1:], State(np.array(first, float), np.array(frame["_r"].iloc[0], float).reshape(size, size))
+    return frame, State.prior(size, variance)
+
+
+def _closed(frame: pd.DataFrame, m: np.ndarray, v: np.ndarray, state: State) -> pd.DataFrame:
+    """frame with m and v, and at the last row a and r."""
+    last = [None] * max(0, len(frame) - 1)
+    return frame.assign(m=list(m), v=list(v), a=[*last, state.a][: len(frame)], r=[*last, state.r.ravel()][: len(frame)])
+
+
+_STATE = "m array<double>, v array<double>, a array<double>, r array<double>"
+
+
+def group_models(rows: DataFrame, keys: list[str], features: list[str], per_day: int, daily: int = 1, weekly: int = 1, variance: float = 10.0, discounts: tuple[float, float, float] = (1.0, 1.0, 1.0), states: DataFrame | None = None) -> DataFrame:
+    """(keys, slot, p_hat, y, n, m, v, a, r): a dynamic model of y out of n for each key, in slot order.
+
+    a and r, the state after the last row with its whole covariance, are null in all other rows.
+    states (keys, a, r), as last_states() gives them, are gone on from; other series begin from the prior.
+    """
     design = Design(len(features), True, [(per_day, daily), (7 * per_day, weekly)], *discounts)
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("slot")
-        y, n = frame["y"].to_numpy(float), frame["n"].to_numpy(float)
-        p, m, v = filtered(y, np.where(n > 0, np.maximum(n, y), 0), frame[features].to_numpy(float).reshape(len(frame), -1), design, State.prior(design.size, variance))
-        return frame[[*keys, "slot"]].assign(p_hat=p, y=y, n=n, m=list(m), v=list(v))
+    def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        opened = [_opened(f, design.size, variance) for f in frames]
+        series = []
+        for frame, state in opened:
+            y, n = frame["y"].to_numpy(float), frame["n"].to_numpy(float)
+            series.append(Series(y, np.where(n > 0, np.maximum(n, y), 0), frame[features].to_numpy(float).reshape(len(frame), -1), state))
+        out = []
+        for (frame, _), own, (p, m, v) in zip(opened, series, filtered_together(series, design), strict=True):
+            out.append(_closed(frame[[*keys, "slot"]].assign(p_hat=p, y=own.y, n=frame["n"].to_numpy(float)), m, v, own.state))
+        return out
 
-    schema = f"{_kinds(rows, keys)}, slot long, p_hat double, y double, n double, m array<double>, v array<double>"
-    return rows.select(*keys, "slot", "y", "n", *features).groupBy(*keys).applyInPandas(lambda f: fit(f), schema)
+    schema = f"{_kinds(rows, keys)}, slot long, p_hat double, y double, n double, {_STATE}"
+    return by_series(_started(rows.select(*keys, "slot", "y", "n", *features), keys, states), keys, ["slot"], schema, lambda f: fit(f))
 
 
-def agent_models(rows: DataFrame, keys: list[str], features: list[str], upweight: int | None = None, whole_weights: bool = False, variance: float = 50.0) -> DataFrame:
-    """(keys, od, slot, p_hat, y, m, v): a static sequential logistic model for each key over rows in (slot, od) order.
+def agent_models(rows: DataFrame, keys: list[str], features: list[str], upweight: int | None = None, whole_weights: bool = False, variance: float = 50.0, states: DataFrame | None = None) -> DataFrame:
+    """(keys, od, slot, p_hat, y, m, v, a, r): a static sequential logistic model for each key over rows in (slot, od) order.
 
     A row teaches if update is true. upweight names the rare answer: its rows count as weight
-    trials (rounded down with whole_weights).
+    trials (rounded down with whole_weights). a, r and states: as in group_models(); with states, rows
+    are the tail that an earlier run has not seen.
     """
     design = Design(len(features))
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["slot", "od"])
-        p, m, v = _agent_pass(frame, features, design, State.prior(design.size, variance), upweight, whole_weights)
-        return frame[[*keys, "od", "slot"]].assign(p_hat=p, y=frame["y"].to_numpy(float), m=list(m), v=list(v))
+    def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        opened = [_opened(f, design.size, variance) for f in frames]
+        series = [_agent_series(frame, features, state, upweight, whole_weights) for frame, state in opened]
+        made = zip(opened, series, filtered_together(series, design), strict=True)
+        return [_closed(frame[[*keys, "od", "slot"]].assign(p_hat=p, y=own.y), m, v, own.state) for (frame, _), own, (p, m, v) in made]
 
-    schema = f"{_kinds(rows, keys)}, od long, slot long, p_hat double, y double, m array<double>, v array<double>"
-    return rows.groupBy(*keys).applyInPandas(lambda f: fit(f), schema)
+    names = dict.fromkeys([*keys, "od", "slot", "y", "weight", "update", *features])
+    schema = f"{_kinds(rows, keys)}, od long, slot long, p_hat double, y double, {_STATE}"
+    return by_series(_started(rows.select(*names), keys, states), keys, ["slot", "od"], schema, lambda f: fit(f))
 
 
-def _agent_pass(frame: pd.DataFrame, features: list[str], design: Design, state: State, upweight: int | None, whole: bool):
+def _agent_series(frame: pd.DataFrame, features: list[str], state: State, upweight: int | None, whole: bool, update: np.ndarray | None = None) -> Series:
     y = frame["y"].to_numpy(float)
-    n = frame["update"].to_numpy(bool).astype(float)
+    n = (frame["update"].to_numpy(bool) if update is None else update).astype(float)
     extra = None
     if upweight is not None:
-        extra = np.where(y == upweight, np.maximum(0, frame["weight"].fillna(1).to_numpy(float) - 1), 0)
+        extra = np.where(y == upweight, np.maximum(0, frame["weight"].astype(float).fillna(1).to_numpy() - 1), 0)
         extra = np.floor(extra) if whole else extra
-    return filtered(y, n, frame[features].to_numpy(float).reshape(len(frame), -1), design, state, extra)
+    return Series(y, n, frame[features].to_numpy(float).reshape(len(frame), -1), state, extra)
 
 
 def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_features: list[str], end_of_training: int, upweight_pm: int | None = None, upweight_oam: int | None = None, variance: float = 50.0) -> DataFrame:
@@ -202,27 +372,31 @@ def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_fea
 
     PM learns from rows up to end_of_training, inclusive, and then only forecasts, from its own
     (frozen) features; OAM goes on from PM's state with its features. t is OAM's last mean over
-    its standard deviation. Both come from one task, so the state is never written in between.
+    its standard deviation.
     """
     design = Design(len(pm_features))
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["slot", "od"]).reset_index(drop=True)
-        after = (frame["slot"] > end_of_training).to_numpy()
-        frame["update"] = ~after
-        state = State.prior(design.size, variance)
-        p_pm, m, v = _agent_pass(frame, pm_features, design, state, upweight_pm, False)
-        p_oam, tail = p_pm.copy(), frame[after].assign(update=True)
-        if len(tail):
-            p_oam[after], m, v = _agent_pass(tail, oam_features, design, state, upweight_oam, True)
-        last = m[-1] / np.sqrt(np.maximum(v[-1], 1e-300))
-        return frame[[*keys, "od", "slot"]].assign(y=frame["y"].to_numpy(float), p_pm=p_pm, p_oam=p_oam, t=[last] * len(frame))
+    def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        after = [(f["slot"] > end_of_training).to_numpy() for f in frames]
+        first = [_agent_series(f, pm_features, State.prior(design.size, variance), upweight_pm, False, ~late) for f, late in zip(frames, after, strict=True)]
+        pm = filtered_together(first, design)
+        tails = [i for i, late in enumerate(after) if late.any()]
+        second = [_agent_series(frames[i][after[i]], oam_features, first[i].state, upweight_oam, True, np.ones(int(after[i].sum()), bool)) for i in tails]
+        oam = dict(zip(tails, filtered_together(second, design) if second else [], strict=True))
+        out = []
+        for i, (frame, (p_pm, m, v)) in enumerate(zip(frames, pm, strict=True)):
+            p_oam = p_pm.copy()
+            if i in oam:
+                p_oam[after[i]], m, v = oam[i]
+            last = m[-1] / np.sqrt(np.maximum(v[-1], 1e-300))
+            out.append(frame[[*keys, "od", "slot"]].assign(y=first[i].y, p_pm=p_pm, p_oam=p_oam, t=[last] * len(frame)))
+        return out
 
     schema = f"{_kinds(rows, keys)}, od long, slot long, y double, p_pm double, p_oam double, t array<double>"
     names = dict.fromkeys([*keys, "od", "slot", "y", "weight", *pm_features, *oam_features])
-    return rows.select(*names).groupBy(*keys).applyInPandas(lambda f: fit(f), schema)
+    return by_series(rows.select(*names), keys, ["slot", "od"], schema, lambda f: fit(f))
 
 
-def last_states(states: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, slot, m, v) of each series' last row: what a later run resumes from or a table keeps."""
-    return states.groupBy(*keys).agg(F.max_by(F.struct("slot", "m", "v"), F.col("slot")).alias("_l")).select(*keys, "_l.slot", "_l.m", "_l.v")
+def last_states(models: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, slot, m, v, a, r) of each series' last row: what a table keeps, and what `states` of a later run takes."""
+    return models.filter("r is not null").select(*keys, "slot", "m", "v", "a", "r")

@@ -107,13 +107,17 @@ def _haversine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _on_dimension(labelled: DataFrame, fn) -> DataFrame:
-    """fn over the whole labelled zone dimension (zone, lat, lon, label), which the grid bounds, in one task."""
+    """(zone, label, was, gap_m): fn over the whole labelled zone dimension (zone, lat, lon, label), which the grid bounds, in one task.
+
+    fn gives the labels, and what each cluster that joined another had as its distance: the merge plan.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("zone").reset_index(drop=True)
-        return pd.DataFrame({"zone": frame["zone"], "label": fn(frame)})
+        labels, gaps = fn(frame)
+        return pd.DataFrame({"zone": frame["zone"], "label": labels, "was": frame["label"], "gap_m": [gaps.get(x) for x in frame["label"]]})
 
-    return labelled.select("zone", "lat", "lon", "label").groupBy().applyInPandas(run, "zone long, label long")
+    return labelled.select("zone", "lat", "lon", "label").groupBy().applyInPandas(run, "zone long, label long, was long, gap_m double")
 
 
 def _cluster_gap(frame: pd.DataFrame, labels: np.ndarray, a, b) -> float:
@@ -122,14 +126,14 @@ def _cluster_gap(frame: pd.DataFrame, labels: np.ndarray, a, b) -> float:
 
 
 def merge_small(labelled: DataFrame, least: int = 3) -> DataFrame:
-    """(zone, label): each cluster of fewer than `least` zones joins the nearest large one, in order of label.
+    """(zone, label, was, gap_m): each cluster of fewer than `least` zones joins the nearest large one, in order of label.
 
     A cluster that grew counts with its new zones for those that follow. Without a large one the
     largest (ties: least label) is taken for one. There is no cap on size.
     """
 
-    def merge(frame: pd.DataFrame) -> np.ndarray:
-        labels = frame["label"].to_numpy().copy()
+    def merge(frame: pd.DataFrame) -> tuple[np.ndarray, dict]:
+        labels, joined = frame["label"].to_numpy().copy(), {}
         names, counts = np.unique(labels, return_counts=True)
         large = names[counts >= least]
         small = names[counts < least]
@@ -138,22 +142,23 @@ def merge_small(labelled: DataFrame, least: int = 3) -> DataFrame:
             small = names[names != large[0]]
         for s in small:
             gaps = [_cluster_gap(frame, labels, s, x) for x in large]
+            joined[s] = min(gaps)
             labels[labels == s] = large[int(np.argmin(gaps))]
-        return labels
+        return labels, joined
 
     return _on_dimension(labelled, merge)
 
 
 def two_stage_merge(labelled: DataFrame, most: int = 15, least: int = 3, far_m: float | None = None, small_far_m: float | None = None, by_size: bool = False) -> DataFrame:
-    """(zone, label): small clusters join their one nearest large cluster if it has room, else merge with each other.
+    """(zone, label, was, gap_m): small clusters join their one nearest large cluster if it has room, else merge with each other.
 
     Distances are those before any merge. Stage 1 goes by distance, then size (by_size: the other
     way round); a cluster whose nearest is full has no second choice. Stage 2 takes the nearest
     pairs of what is left while they fit in `most`. Labels are each cluster's least zone.
     """
 
-    def merge(frame: pd.DataFrame) -> np.ndarray:
-        start = frame["label"].to_numpy()
+    def merge(frame: pd.DataFrame) -> tuple[np.ndarray, dict]:
+        start, joined = frame["label"].to_numpy(), {}
         labels = start.copy()
         names, counts = np.unique(start, return_counts=True)
         size = dict(zip(names.tolist(), counts.tolist(), strict=True))
@@ -170,6 +175,7 @@ def two_stage_merge(labelled: DataFrame, most: int = 15, least: int = 3, far_m:
             if to is not None and (far_m is None or gap <= far_m) and room[to] >= size[s]:
                 labels[labels == s] = to
                 room[to] -= size[s]
+                joined[s] = gap
             else:
                 left.append(s)
         pairs = sorted((_cluster_gap(frame, start, a, b), a, b) for i, a in enumerate(left) for b in left[i + 1 :])
@@ -177,11 +183,12 @@ def two_stage_merge(labelled: DataFrame, most: int = 15, least: int = 3, far_m:
         for gap, a, b in pairs:
             if a in alive and b in alive and grown[a] + grown[b] <= most and (small_far_m is None or gap <= small_far_m):
                 labels[labels == b] = a
+                joined[b] = gap
                 grown[a] += grown[b]
                 alive.discard(b)
         zones = frame["zone"].to_numpy()
         firsts = {x: zones[labels == x].min() for x in np.unique(labels)}
-        return np.array([firsts[x] for x in labels.tolist()], np.int64)
+        return np.array([firsts[x] for x in labels.tolist()], np.int64), joined
 
     return _on_dimension(labelled, merge)
 
@@ -303,11 +310,12 @@ def agglomerated(distance: np.ndarray, cut: float | None = None, clusters: int |
     return np.unique(labels, return_inverse=True)[1]
 
 
-def position_clusters(positions: DataFrame, keys: list[str], cut_m: float = 50.0, method: str = "average") -> DataFrame:
+def position_clusters(positions: DataFrame, keys: list[str], cut_m: float = 50.0, method: str = "average", most_points: int = 8_000) -> DataFrame:
     """positions (keys, lat, lon, ...) and cluster_id, by hierarchical clustering of each key's distinct points.
 
-    Only an agent's distinct points come together in a task; 'single' at a cut is the same as
-    components under it, so large agents should use radius_edges() and components().
+    Only an agent's distinct points come together in a task, as a matrix; with more than most_points it
+    raises. 'single' at a cut is the same as components under it, so such agents should use radius_edges()
+    and components().
     """
     points = positions.select(*keys, "lat", "lon").distinct()
     kinds = ", ".join(f"{k} {dict(positions.dtypes)[k]}" for k in keys)
@@ -315,6 +323,8 @@ def position_clusters(positions: DataFrame, keys: list[str], cut_m: float = 50.0
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["lat", "lon"]).reset_index(drop=True)
         xy = frame[["lat", "lon"]].to_numpy()
+        if len(xy) > most_points:
+            raise ValueError(f"{len(xy)} distinct points of one key; a matrix of at most {most_points} is made")
         return frame.assign(cluster_id=agglomerated(_haversine(xy, xy), cut_m, None, method).astype("int64"))
 
     made = points.groupBy(*keys).applyInPandas(lambda f: cluster(f), f"{kinds}, lat double, lon double, cluster_id long")
@@ -354,6 +364,6 @@ def passing_zones(visited: DataFrame, staying: DataFrame) -> DataFrame:
     return visited.select("zone").distinct().join(staying.select("zone").distinct(), "zone", "left_anti")
 
 
-def passing_ids(labels: DataFrame) -> DataFrame:
-    """Labels of passing clusters as negative numbers from -2 on, so that -1 stays the mark of 'none'."""
-    return labels.withColumn("label", -(F.col("label") + 2))
+def passing_ids(labels: DataFrame, compat: bool = False) -> DataFrame:
+    """Labels of passing clusters as negative numbers from -2 on, so that -1 stays the mark of 'none'; compat: from -1 on."""
+    return labels.withColumn("label", -(F.col("label") + (1 if compat else 2)))

@@ -15,8 +15,9 @@ from wayfold.session import ensure_checkpoint
 
 
 def draw(seed: int, *columns: Column) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1): the first 40 bits of the MD5 of seed and columns, joined by '|'; any SQL engine can draw it too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("double") / F.lit(float(1 << 40))
 
 
 def chosen_shifts(panel: DataFrame, keys: list[str], per_day: int, first: int, last: int, min_stay: int = 12, max_shift: int = 60, pick: str = "random", k: int = 0, mode: str = "random", seed: int = 0, attempts: tuple[int, int] | None = None) -> DataFrame:

@@ -57,6 +57,39 @@ def chained(left: DataFrame, right: DataFrame, steps: int) -> DataFrame:
     return a.join(b, ["_mid", "slot"]).groupBy("origin", "dest", "slot").agg(F.sum(F.col("_a") * F.col("_b")).alias("p"))
 
 
+def sparse_cube(partial: DataFrame, zones: int, eps: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """full_transition() kept sparse: the cells above eps, and (origin, slot, fill), the value of all other cells of a row.
+
+    zones is their number. Nothing is made for the other cells.
+    """
+    cells = partial.filter(F.col("p") > eps).select("origin", "dest", "slot", "p")
+    rows = partial.groupBy("origin", "slot").agg((1 - F.coalesce(F.sum(F.when(F.col("p") > eps, F.col("p"))), F.lit(0.0))).alias("_rest"), F.count_if(F.col("p") > eps).alias("_some"))
+    return cells, rows.select("origin", "slot", F.coalesce(F.try_divide(F.col("_rest"), zones - F.col("_some")), F.lit(0.0)).alias("fill"))
+
+
+def sparse_two_step(cells: DataFrame, fills: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (origin, dest, slot, ...) and p: the probability of dest at slot + 1 from origin before slot, of a sparse_cube().
+
+    With P = f + D, where f is a row's fill and D what its cells are above it, row o of P(t) P(t + 1) is
+    f_o (sum of all fills + column sums of D) + D_o fills + D_o D: sparse joins and sums, no N by N by T rows.
+    Rows that the cube lacks count as zeros.
+    """
+    above = cells.join(fills, ["origin", "slot"]).select("origin", "dest", "slot", (F.col("p") - F.col("fill")).alias("_d"))
+    after = above.select(F.col("origin").alias("_mid"), "dest", (F.col("slot") - 1).alias("slot"), F.col("_d").alias("_e"))
+    filled = fills.select(F.col("origin").alias("_mid"), (F.col("slot") - 1).alias("slot"), F.col("fill").alias("_g"))
+    all_fills = filled.groupBy("slot").agg(F.sum("_g").alias("_all"))
+    columns = after.groupBy("dest", "slot").agg(F.sum("_e").alias("_column"))
+    own = above.withColumnRenamed("dest", "_mid")
+    through = own.join(filled, ["_mid", "slot"]).groupBy("origin", "slot").agg(F.sum(F.col("_d") * F.col("_g")).alias("_row"))
+    wanted = asked.select("origin", "dest", "slot").distinct()
+    product = own.join(after, ["_mid", "slot"]).join(wanted, ["origin", "dest", "slot"], "left_semi").groupBy("origin", "dest", "slot").agg(F.sum(F.col("_d") * F.col("_e")).alias("_product"))
+    made = asked.join(fills, ["origin", "slot"], "left").join(all_fills, "slot", "left").join(columns, ["dest", "slot"], "left")
+    made = made.join(through, ["origin", "slot"], "left").join(product, ["origin", "dest", "slot"], "left")
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("fill", "_all", "_column", "_row", "_product")}
+    p = zero["fill"] * (zero["_all"] + zero["_column"]) + zero["_row"] + zero["_product"]
+    return made.select(*asked.columns, p.alias("p"))
+
+
 def multistep(cube: DataFrame, steps: int) -> dict[int, DataFrame]:
     """k -> cells of P(slot) ... P(slot + k - 1), for k from 1 to steps."""
     out = {1: cube}

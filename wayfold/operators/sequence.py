@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,11 +111,14 @@ def run_length(series: DataFrame, keys: list[str], identifier: int = 1, value: s
     return own.withColumn("run_len", F.when(F.col(value) == identifier, F.col("_len")).when(F.col(value).isNotNull(), before).cast("long")).drop("_len", "run_id")
 
 
-#: decay ** FRAME is beyond double precision for decays up to 0.8; larger decays need a longer frame.
-FRAME = 170
+def frame_of(decay: float) -> int:
+    """Values after which decay to the power of their age is below what a double's sum keeps."""
+    if not 0 <= decay < 1:
+        raise ValueError("decay must be from 0 to below 1")
+    return 1 if decay == 0 else math.ceil(math.log(1e-17) / math.log(decay))
 
 
-def decayed_mean_stay(series: DataFrame, keys: list[str], identifier: int = 1, decay: float = 0.8, value: str = "y", frame: int = FRAME) -> DataFrame:
+def decayed_mean_stay(series: DataFrame, keys: list[str], identifier: int = 1, decay: float = 0.8, value: str = "y") -> DataFrame:
     """run_length() and mean_stay: mean of run lengths completed so far, older ones weighted by decay; null before the first."""
     own = run_length(series, keys, identifier, value)
     ended = own.withColumn("_done", F.when((F.col(value) != identifier) & (F.col("run_len") > 0), F.col("run_len").cast("double")))
@@ -121,7 +126,7 @@ def decayed_mean_stay(series: DataFrame, keys: list[str], identifier: int = 1, d
     number = F.sum(F.when(F.col("_done").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ended = ended.withColumn("_k", number)
     done = ended.filter("_done is not null").select(*keys, "_k", "_done")
-    recent = F.collect_list("_done").over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(-(frame - 1), 0))
+    recent = F.collect_list("_done").over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(-(frame_of(decay) - 1), 0))
     total = F.aggregate("_l", F.lit(0.0), lambda a, x: a * decay + x)
     weight = F.aggregate("_l", F.lit(0.0), lambda a, x: a * decay + 1.0)
     means = done.withColumn("_l", recent).select(*keys, "_k", (total / weight).alias("mean_stay"))
@@ -165,6 +170,22 @@ def dwell(series: DataFrame, keys: list[str]) -> DataFrame:
     return own.withColumn("dwell_len", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run_id"))).drop("run_id")
 
 
+def dwell_positions(positions: DataFrame, keys: list[str], order: list[str], tolerance: float = 1e-6, least: int = 5) -> DataFrame:
+    """positions with dwell_len and staying: the length of the run of positions that each differ from the one before by up to
+    tolerance degrees (and 1e-5 of it) in both coordinates, and whether that is at least `least`. A null position is a run of its own.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+
+    def close(c: str) -> Column:
+        before = F.lag(c).over(w)
+        return F.coalesce(F.abs(F.col(c) - before) <= tolerance + 1e-5 * F.abs(before), F.lit(False))
+
+    own = positions.withColumn("_c", (~(close("lat") & close("lon"))).cast("long"))
+    own = own.withColumn("_run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    length = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run"))
+    return own.withColumn("dwell_len", length).withColumn("staying", F.col("dwell_len") >= least).drop("_c", "_run")
+
+
 def step_lengths(positions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """positions and step_m: great-circle metres from the position before; 0 for the first."""
     w = Window.partitionBy(*keys).orderBy(*order)

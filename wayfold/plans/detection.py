@@ -16,7 +16,7 @@ from wayfold.operators import counts, detect, dglm, inject, kernel, probability,
 from wayfold.session import ensure_checkpoint
 
 FEATURES = ["kernel_prob", "lag1", "lag2", "gate"]
-GROUP_FEATURES = ["x", "day"]
+GROUP_FEATURES = ["x", "crowd", "day", "weekday"]
 
 
 @dataclass(frozen=True)
@@ -54,10 +54,11 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def group_rows(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """(origin, dest, rank, slot, y, n, x, day): rows of the group model, whose features at a slot know nothing of it.
+    """(origin, dest, rank, slot, y, n, x, crowd, day, weekday): rows of the group model, whose features at a slot know nothing of it.
 
     Pairs and ranks are those of the training slots, and x is smoothed for slots with n = 0 too, as
-    n tells what earlier ranks took in the slot.
+    n tells what earlier ranks took in the slot. crowd is the occupancy change of the slot before, as
+    occupancy at a slot counts the slot's own moves.
     """
     pair = ["origin", "dest"]
     od = counts.od_counts(panel)
@@ -66,8 +67,20 @@ def group_rows(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
     series = sizes.join(od, [*pair, "slot"], "left").select(*pair, "slot", F.coalesce("n", F.lit(0)).alias("y"), F.col("size").alias("n"))
     series = _kept(series.join(ranked.select(*pair, "rank"), pair))
     smooth = kernel.binomial_forecast(series, pair, setup.per_day, 120, 240, every=True)
-    own = series.join(smooth, [*pair, "slot"]).withColumn("x", logit(F.col("value"))).drop("value")
-    return own.withColumn("day", (F.pmod("slot", F.lit(setup.per_day)) * 24 >= 11 * setup.per_day).cast("double"))
+    own = _kept(series.join(smooth, [*pair, "slot"]))
+    return with_features(own, panel, setup, 1).drop("value")
+
+
+def with_features(own: DataFrame, panel: DataFrame, setup: Setup, before: int) -> DataFrame:
+    """own (origin, dest, rank, slot, value) and GROUP_FEATURES: the smoothed probability's logit, occupancy change `before` slots ago, day and weekday."""
+    occupied = counts.dense(counts.occupancy(panel), ["zone"], 0, setup.slots - 1)
+    smooth = kernel.count_forecast(occupied, ["zone"], setup.per_day, 120, 240)
+    shares = probability.stick_to_multinomial(own.select("origin", "dest", "rank", "slot", F.col("value").alias("p")), ["origin"])
+    crowd = probability.occupancy_change(occupied, smooth, shares).select("origin", "dest", (F.col("slot") + before).alias("slot"), F.col("value").alias("crowd"))
+    made = own.join(crowd, ["origin", "dest", "slot"], "left").withColumn("crowd", F.coalesce("crowd", F.lit(0.0))).withColumn("x", logit(F.col("value")))
+    day = (F.pmod("slot", F.lit(setup.per_day)) * 24 >= 11 * setup.per_day).cast("double")
+    weekday = (F.pmod(F.floor(F.col("slot") / setup.per_day), F.lit(7)) < 5).cast("double")  # the axis begins on a Monday
+    return made.withColumn("day", day).withColumn("weekday", weekday)
 
 
 def forecast_cube(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
@@ -89,34 +102,48 @@ def forecast_cube(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
     return probability.full_transition(made.unionByName(bare), zones)
 
 
-def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
-    """(rows, cells): valid pairs' asked cells with kind, features and their frozen forms; and all cells of the indicator."""
+def asked_rows(panel: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
+    """(rows, cells): valid pairs' asked cells with their kind, and all cells of the indicator."""
     end, pair = setup.end_of_training, ["agent", "origin", "dest"]
-    panel, cube = _kept(panel), _kept(cube)
     cells = _kept(counts.indicator(counts.transitions(panel)))
     asked = counts.onehot_to_cascade(cells)
     types = sequence.classify_zones(panel.filter(F.col("slot") <= end), ["agent"], setup.min_stay)
     valid = counts.by_zone_type(counts.valid_pairs(asked, end, setup.min_taken).filter("valid"), types).select(*pair, "kind")
-    own = asked.join(valid, pair)
-    for k, steps in probability.multistep(cube, 2).items():
-        made = probability.kstep_feature(own.withColumn("feature", F.lit(None)).drop("feature"), panel, steps, k)
-        made = probability.multinomial_to_cascade(made.withColumnRenamed("feature", f"lag{k}"), ["agent", "origin"], f"lag{k}")
-        own = made
+    return asked.join(valid, pair), cells
+
+
+def with_empirical(own: DataFrame, setup: Setup = Setup()) -> DataFrame:
+    """own with gate and kernel_prob, which know nothing of the slot's answer."""
+    pair = ["agent", "origin", "dest"]
     own = _kept(own)
     stays = sequence.signed_leave_gate(own.filter("kind = 'staying_to_self'").select(*pair, "slot", "y"), ["agent"], setup.decay, setup.gate_threshold)
     before = F.lag("gate").over(Window.partitionBy(*pair).orderBy("slot"))  # the gate of a slot must not know the slot's answer
-    own = own.join(stays.select(*pair, "slot", before.alias("gate")), [*pair, "slot"], "left").withColumn("gate", F.coalesce("gate", F.lit(0.0)))
+    made = own.join(stays.select(*pair, "slot", before.alias("gate")), [*pair, "slot"], "left").withColumn("gate", F.coalesce("gate", F.lit(0.0)))
     smooth = kernel.empirical_probability(own.select(*pair, "kind", "slot", "y"), pair, setup.per_day).select(*pair, "slot", F.col("value").alias("kernel_prob"))
-    own = _kept(own.join(smooth, [*pair, "slot"], "left").withColumn("kernel_prob", F.coalesce("kernel_prob", F.lit(0.5))))
-    last = own.filter((F.col("slot") > end - setup.per_day) & (F.col("slot") <= end)).select(*pair, F.pmod("slot", F.lit(setup.per_day)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in FEATURES])
+    return _kept(made.join(smooth, [*pair, "slot"], "left").withColumn("kernel_prob", F.coalesce("kernel_prob", F.lit(0.5))))
+
+
+def numbered_rows(own: DataFrame, features: list[str], setup: Setup = Setup()) -> DataFrame:
+    """xy_rows() of own's features and their frozen forms pm_...: after training, those of the last training day's slot."""
+    end, pair = setup.end_of_training, ["agent", "origin", "dest"]
+    last = own.filter((F.col("slot") > end - setup.per_day) & (F.col("slot") <= end)).select(*pair, F.pmod("slot", F.lit(setup.per_day)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in features])
     own = own.withColumn("_s", F.pmod("slot", F.lit(setup.per_day))).join(last, [*pair, "_s"], "left")
     default = {"kernel_prob": 0.5, "lag1": 0.5, "lag2": 0.5, "gate": 0.0}
-    for c in FEATURES:
+    for c in features:
         own = own.withColumn(f"pm_{c}", F.when(F.col("slot") > end, F.coalesce(f"_{c}", F.lit(default[c]))).otherwise(F.col(c)))
     own = own.withColumn("od", F.dense_rank().over(Window.partitionBy("agent", "kind").orderBy("origin", "dest")).cast("long"))
-    names = [*FEATURES, *(f"pm_{c}" for c in FEATURES)]
-    rows = counts.xy_rows(own, [*pair, "kind"], names, [c for c in names if not c.endswith("gate")], setup.max_streak)
-    return rows, cells
+    names = [*features, *(f"pm_{c}" for c in features)]
+    return counts.xy_rows(own, [*pair, "kind"], names, [c for c in names if not c.endswith("gate")], setup.max_streak)
+
+
+def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
+    """(rows, cells): valid pairs' asked cells with kind, features and their frozen forms; and all cells of the indicator."""
+    panel, cube = _kept(panel), _kept(cube)
+    own, cells = asked_rows(panel, setup)
+    for k, steps in probability.multistep(cube, 2).items():
+        own = probability.kstep_feature(own, panel, steps, k)
+        own = probability.multinomial_to_cascade(own.withColumnRenamed("feature", f"lag{k}"), ["agent", "origin"], f"lag{k}")
+    return numbered_rows(with_empirical(own, setup), FEATURES, setup), cells
 
 
 def forecasts(rows: DataFrame, setup: Setup = Setup()) -> DataFrame:
@@ -173,3 +200,9 @@ def calibrated(panel: DataFrame, cube: DataFrame, setup: Setup = Setup(), repeti
     scores = _kept(scores)
     curves = detect.threshold_curves(scores.select("agent", "score", "positive"), ["agent"])
     return scores, detect.threshold_by_recall(curves, ["agent"], max_fpr)
+
+
+def result_table(made: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """verdicts() with each agent's threshold (null without one) and whether its factor is at or below it: files.write_results() keeps such tables."""
+    own = made.join(thresholds.select("agent", "tau", "recall", "fpr"), "agent", "left")
+    return own.withColumn("flagged", F.coalesce(F.col("log_l") <= F.col("tau"), F.lit(False)))

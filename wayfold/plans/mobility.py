@@ -213,7 +213,7 @@ def zone_value_counts(spark, sf_dir):
     return own.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("agent")), 6))
 
 
-@query()
+@query(B + "SELECT agent, event_id, slot, zone FROM (SELECT agent, event_id, slot, zone, row_number() OVER (PARTITION BY agent ORDER BY md5(concat_ws('|', '42', event_id)), event_id) AS k FROM pings) WHERE k <= 20")
 def stratified_sample(spark, sf_dir):
     from wayfold.sources.files import stratified_sample as sample
 
@@ -270,14 +270,14 @@ def time_indicators(spark, sf_dir):
     return slots.select("slot", *[c.alias(n) for n, c in flags(ts, 11 * 60, 0).items()])
 
 
-MAPPED = ", staying AS (SELECT DISTINCT zone FROM zone_class WHERE staying), zmap AS (SELECT zone, 1000 + zone // 7 AS cluster_id FROM staying WHERE zone % 3 <> 0)"
+MAPPED = ", staying AS (SELECT DISTINCT zone FROM zone_class WHERE staying), zmap AS (SELECT zone, 1000 + zone // 7 AS cluster_id FROM staying)"
 
 
 @query(B + MAPPED + " SELECT p.agent, p.slot, CASE WHEN s.zone IS NULL THEN -1 ELSE coalesce(m.cluster_id, p.zone) END AS cluster FROM panel p LEFT JOIN staying s ON s.zone = p.zone LEFT JOIN zmap m ON m.zone = p.zone")
 def zone_recode(spark, sf_dir):
     panel = fine(spark, sf_dir)
     staying = sequence.classify_zones(panel, ["agent"]).filter("staying").select("zone").distinct()
-    mapping = staying.filter("zone % 3 != 0").withColumn("cluster_id", (F.floor(F.col("zone") / 7) + 1000).cast("long"))
+    mapping = staying.withColumn("cluster_id", (F.floor(F.col("zone") / 7) + 1000).cast("long"))
     return counts.recoded(panel, mapping, staying)
 
 
@@ -361,13 +361,13 @@ def streak_prune(spark, sf_dir):
     return sequence.drop_beyond_streak(stay_series(coarse(spark, sf_dir)), ["agent"], ["slot"], 2).select("agent", "slot", "y")
 
 
-def gate_sql(n: int, same: str, ident: int, sign: float) -> str:
+def gate_sql(n: int, same: str, ident: int, sign: float, threshold: float = 2.0, cells: str = "cind") -> str:
     """Signed leave gates of the asked cells whose origin and destination are `same` (= or <>)."""
-    return f""", gr{n} AS (SELECT *, CASE WHEN y = {ident} THEN row_number() OVER (PARTITION BY agent, origin, dest, y, g ORDER BY slot) END AS own FROM (SELECT *, slot - row_number() OVER (PARTITION BY agent, origin, dest, y ORDER BY slot) AS g FROM cind WHERE origin {same} dest)),
+    return f""", gr{n} AS (SELECT *, CASE WHEN y = {ident} THEN row_number() OVER (PARTITION BY agent, origin, dest, y, g ORDER BY slot) END AS own FROM (SELECT *, slot - row_number() OVER (PARTITION BY agent, origin, dest, y ORDER BY slot) AS g FROM {cells} WHERE origin {same} dest)),
 gl{n} AS (SELECT *, CASE WHEN y = {ident} THEN own WHEN lag(slot) OVER w = slot - 1 THEN coalesce(lag(own) OVER w, 0) ELSE 0 END AS len FROM gr{n} WINDOW w AS (PARTITION BY agent, origin, dest ORDER BY slot)),
 gd{n} AS (SELECT agent, origin, dest, slot, len, row_number() OVER (PARTITION BY agent, origin, dest ORDER BY slot) AS k FROM gl{n} WHERE y <> {ident} AND len > 0),
 gm{n} AS (SELECT a.agent, a.origin, a.dest, a.slot, sum(pow(0.8, a.k - b.k) * b.len) / sum(pow(0.8, a.k - b.k)) AS m FROM gd{n} a JOIN gd{n} b ON a.agent = b.agent AND a.origin = b.origin AND a.dest = b.dest AND b.k <= a.k GROUP BY ALL),
-gate{n} AS (SELECT agent, origin, dest, slot, CASE WHEN mean IS NOT NULL THEN {sign} * CAST(round(len - (mean - 2.0), 9) > 0 AS INT) END AS gate FROM (SELECT l.*, last_value(m IGNORE NULLS) OVER (PARTITION BY l.agent, l.origin, l.dest ORDER BY l.slot ROWS UNBOUNDED PRECEDING) AS mean FROM gl{n} l LEFT JOIN gm{n} m ON m.agent = l.agent AND m.origin = l.origin AND m.dest = l.dest AND m.slot = l.slot))"""
+gate{n} AS (SELECT agent, origin, dest, slot, CASE WHEN mean IS NOT NULL THEN {sign} * CAST(round(len - (mean - {threshold}), 9) > 0 AS INT) END AS gate FROM (SELECT l.*, last_value(m IGNORE NULLS) OVER (PARTITION BY l.agent, l.origin, l.dest ORDER BY l.slot ROWS UNBOUNDED PRECEDING) AS mean FROM gl{n} l LEFT JOIN gm{n} m ON m.agent = l.agent AND m.origin = l.origin AND m.dest = l.dest AND m.slot = l.slot))"""
 
 
 GATES = gate_sql(1, "=", 1, -1.0) + gate_sql(2, "<>", 0, 1.0) + ", gates AS (SELECT * FROM gate1 UNION ALL SELECT * FROM gate2)"
@@ -389,6 +389,12 @@ def dwell_points(spark, sf_dir):
     return sequence.dwell(fine(spark, sf_dir), ["agent"]).select("agent", "slot", "zone", "dwell_len")
 
 
+@query(B + ", st AS (SELECT *, coalesce(abs(lat - lag(lat) OVER w) <= 0.02 + 1e-5 * abs(lag(lat) OVER w) AND abs(lon - lag(lon) OVER w) <= 0.02 + 1e-5 * abs(lag(lon) OVER w), false) AS same FROM pings WHERE zone IS NOT NULL WINDOW w AS (PARTITION BY agent ORDER BY ts, event_id)), g AS (SELECT *, sum(CAST(NOT same AS INT)) OVER (PARTITION BY agent ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM st) SELECT event_id, count(*) OVER (PARTITION BY agent, run) AS dwell_len, count(*) OVER (PARTITION BY agent, run) >= 2 AS staying FROM g")
+def dwell_runs(spark, sf_dir):
+    """Runs of positions within a tolerance of the one before."""
+    return sequence.dwell_positions(located(spark, sf_dir), ["agent"], ["ts", "event_id"], 0.02, 2).select("event_id", "dwell_len", "staying")
+
+
 # kernels
 
 
@@ -548,6 +554,18 @@ def sparsify(spark, sf_dir):
 KSTEP = ", k AS (SELECT i.agent, i.origin, i.dest, i.slot, coalesce(t.p, 0) AS f FROM cind i LEFT JOIN panel w ON w.agent = i.agent AND w.slot = i.slot - 2 LEFT JOIN panel e ON e.agent = i.agent AND e.slot = i.slot LEFT JOIN two t ON t.origin = w.zone AND t.dest = {dest} AND t.slot = i.slot - 1) SELECT agent, origin, dest, count(*) AS cells, round(sum(f), 6) AS total, round(sum(f * slot) + 0.000017, 3) AS moment FROM k GROUP BY ALL"
 
 
+SPARSE = ", sp AS (SELECT origin, dest, slot, CAST(0.9 AS DOUBLE) * n / sum(n) OVER (PARTITION BY origin, slot) AS p FROM od), zs AS (SELECT DISTINCT zone FROM panel), fl AS (SELECT origin, slot, coalesce((1 - sum(p)) / nullif((SELECT count(*) FROM zs) - count(*), 0), 0) AS f FROM sp GROUP BY ALL), ak AS (SELECT DISTINCT origin, dest, slot - 1 AS slot FROM (SELECT slot, lag(zone, 2) OVER (PARTITION BY agent ORDER BY slot) AS origin, zone AS dest FROM panel) WHERE origin IS NOT NULL) SELECT a.origin, a.dest, a.slot, round(sum(coalesce(x.p, f.f) * coalesce(y.p, g.f)), 6) AS p FROM ak a JOIN fl f ON f.origin = a.origin AND f.slot = a.slot JOIN fl g ON g.slot = a.slot + 1 LEFT JOIN sp x ON x.origin = a.origin AND x.slot = a.slot AND x.dest = g.origin LEFT JOIN sp y ON y.origin = g.origin AND y.slot = g.slot AND y.dest = a.dest GROUP BY a.origin, a.dest, a.slot"
+
+
+@query(B + SPARSE)
+def two_step_fine(spark, sf_dir):
+    """On the fine zones, what two steps give to each pair that agents really went between: nine tenths by counts, a tenth spread over the other zones."""
+    panel = fine(spark, sf_dir)
+    cells, fills = probability.sparse_cube(shares(panel).withColumn("p", 0.9 * F.col("p")), panel.select("zone").distinct().count())
+    asked = counts.od_counts(panel, 2).select("origin", "dest", (F.col("slot") - 1).alias("slot"))
+    return probability.sparse_two_step(cells, fills, asked).select("origin", "dest", "slot", *r6("p"))
+
+
 def _kstep(panel: DataFrame, compat: bool) -> DataFrame:
     two = probability.multistep(cube_of(panel), 2)[2]
     own = probability.kstep_feature(cascade_cells(panel).select("agent", "origin", "dest", "slot"), panel, two, 2, compat)
@@ -578,17 +596,20 @@ def rare_assemble(spark, sf_dir):
     return assembled(coarse(spark, sf_dir)).select("origin", "dest", "slot", *r6("p"))
 
 
-@query(C + FULL + RARE + " SELECT origin, dest, slot, round(p, 6) AS p FROM asm WHERE origin % 2 = 0 UNION ALL SELECT m.origin, m.dest, m.slot, round(c.p, 6) AS p FROM mult m LEFT JOIN cube c ON c.origin = m.origin AND c.dest = m.dest AND c.slot = m.slot % 168 WHERE m.origin % 2 <> 0")
+@query(C + FULL + RARE + ", often AS (SELECT origin FROM (SELECT origin, sum(n) AS n FROM od WHERE origin <> dest GROUP BY ALL) QUALIFY n >= avg(n) OVER ()) SELECT origin, dest, slot, round(p, 6) AS p FROM asm WHERE origin IN (SELECT origin FROM often) UNION ALL SELECT m.origin, m.dest, m.slot, round(c.p, 6) AS p FROM mult m LEFT JOIN cube c ON c.origin = m.origin AND c.dest = m.dest AND c.slot = m.slot % 168 WHERE m.origin NOT IN (SELECT origin FROM often)")
 def rare_append(spark, sf_dir):
+    """Origins with as many moves away as the average are modelled; the others get the group's probabilities."""
     panel = coarse(spark, sf_dir)
-    fitted = assembled(panel).filter("origin % 2 = 0")
+    away = counts.od_counts(panel).filter("origin <> dest").groupBy("origin").agg(F.sum("n").alias("n"))
+    often = away.join(F.broadcast(away.agg(F.avg("n").alias("usual")))).filter("n >= usual").select("origin")
+    fitted = assembled(panel).join(often, "origin", "left_semi")
     return probability.append_unmodelled(fitted, multinomial(panel), cube_of(panel), [], 168).select("origin", "dest", "slot", *r6("p"))
 
 
-@query(C + ", " + sql.kernel("SELECT origin, dest, slot, n AS y, size AS n FROM sizes WHERE size > 0", ["origin", "dest"], 2, 4, 5.0, ["y", "n"]) + ", fc AS (SELECT origin, dest, slot, (1 + y) / (2 + n) AS p FROM ksums WHERE slot % 6 = 0) SELECT d.origin, d.dest, d.slot, round(last_value(f.p IGNORE NULLS) OVER (PARTITION BY d.origin, d.dest ORDER BY d.slot ROWS UNBOUNDED PRECEDING), 6) AS p FROM od_dense d LEFT JOIN fc f ON f.origin = d.origin AND f.dest = d.dest AND f.slot = d.slot")
+@query(C + ", " + sql.kernel("SELECT origin, dest, slot, n AS y, size AS n FROM sizes WHERE size > 0", ["origin", "dest"], 2, 4, 5.0, ["y", "n"]) + ", fc AS (SELECT origin, dest, slot, (1 + y) / (2 + n) AS p FROM ksums) SELECT d.origin, d.dest, d.slot, round(last_value(f.p IGNORE NULLS) OVER (PARTITION BY d.origin, d.dest ORDER BY d.slot ROWS UNBOUNDED PRECEDING), 6) AS p FROM od_dense d LEFT JOIN fc f ON f.origin = d.origin AND f.dest = d.dest AND f.slot = d.slot")
 def prob_ffill(spark, sf_dir):
     panel = coarse(spark, sf_dir)
-    made = kernel.binomial_forecast(od_series(panel), ["origin", "dest"], PER_DAY, 120, 240).withColumnRenamed("value", "p").filter("slot % 6 = 0")
+    made = kernel.binomial_forecast(od_series(panel), ["origin", "dest"], PER_DAY, 120, 240).withColumnRenamed("value", "p")
     grid = sizes(panel).select("origin", "dest", "slot")
     return probability.filled_forward(grid, made, ["origin", "dest"]).select("origin", "dest", "slot", *r6("p"))
 
@@ -609,11 +630,14 @@ BAYES = ", ss AS (SELECT agent, slot, h, sum(h) OVER w AS s, row_number() OVER w
 
 
 def step_factors(panel: DataFrame) -> DataFrame:
-    moves = counts.transitions(panel)
     pooled = counts.pooled_probability(counts.od_counts(panel))
-    null = moves.join(pooled, ["origin", "dest"]).select("agent", "origin", "dest", "slot", "p")
-    open_ = moves.join(multinomial(panel), ["origin", "dest", "slot"]).select("agent", "origin", "dest", "slot", "p")
-    return detect.step_log_factor(moves, null, open_, ["agent"])
+    return detect.step_log_factor(counts.transitions(panel), pooled, shares(panel), ["agent"])
+
+
+def shares(panel: DataFrame) -> DataFrame:
+    """(origin, dest, slot, p): the moves' shares of their origin and slot; cells without a move are absent."""
+    own = counts.od_counts(panel)
+    return own.join(own.groupBy("origin", "slot").agg(F.sum("n").alias("_t")), ["origin", "slot"]).select("origin", "dest", "slot", (F.col("n") / F.col("_t")).alias("p"))
 
 
 @query(C + HSTEP + BAYES + " SELECT agent, slot, round(s - greatest(0, coalesce(m, 0)), 5) AS log_l FROM mx")
@@ -636,20 +660,16 @@ def bayes_factor_runs(spark, sf_dir):
 ARG = ", am AS (SELECT m.agent, m.slot, m.origin, q.dest, q.p, m.dest AS real_dest, row_number() OVER (PARTITION BY m.agent, m.slot ORDER BY q.p DESC, q.dest) AS k FROM moves m JOIN mult q ON q.origin = m.origin AND q.slot = m.slot)"
 
 
-def multinomial_by_agent(panel: DataFrame) -> DataFrame:
-    return counts.transitions(panel).select("agent", "origin", "slot").join(multinomial(panel).drop("rank"), ["origin", "slot"])
-
-
 @query(C + ARG + " SELECT agent, slot, origin, dest, round(p, 6) AS p, real_dest FROM am WHERE k = 1")
 def argmax_dest(spark, sf_dir):
     panel = coarse(spark, sf_dir)
-    return detect.argmax_destination(multinomial_by_agent(panel), counts.transitions(panel), ["agent"]).select("agent", "slot", "origin", "dest", *r6("p"), "real_dest")
+    return detect.argmax_destination(shares(panel), counts.transitions(panel), ["agent"]).select("agent", "slot", "origin", "dest", *r6("p"), "real_dest")
 
 
 @query(C + ARG + " SELECT agent, count(*) AS n, round(avg(CAST(dest = real_dest AS INT)), 6) AS accuracy, count(*) FILTER (origin <> real_dest) AS moves, round(avg(CAST(dest = real_dest AS INT)) FILTER (origin <> real_dest), 6) AS move_accuracy FROM am WHERE k = 1 GROUP BY agent")
 def accuracy(spark, sf_dir):
     panel = coarse(spark, sf_dir)
-    own = detect.argmax_destination(multinomial_by_agent(panel), counts.transitions(panel), ["agent"])
+    own = detect.argmax_destination(shares(panel), counts.transitions(panel), ["agent"])
     return detect.accuracies(own, ["agent"]).select("agent", "n", *r6("accuracy"), "moves", *r6("move_accuracy"))
 
 
@@ -664,7 +684,7 @@ def binary_metrics(spark, sf_dir):
     return own.select("agent", "tn", "fp", "fn", "tp", *r6("accuracy", "precision", "recall", "f1", "mcc"))
 
 
-CURVES = "WITH s AS (SELECT event_type AS run, round(value, 1) AS score, user_id % 4 = 0 OR value < 20 AS positive FROM events), t AS (SELECT DISTINCT run, CAST(score AS DOUBLE) AS tau FROM s UNION ALL SELECT DISTINCT run, CAST('inf' AS DOUBLE) FROM s UNION ALL SELECT DISTINCT run, CAST('-inf' AS DOUBLE) FROM s), c AS (SELECT t.run, tau, count(*) FILTER (positive AND score <= tau) AS tp, count(*) FILTER (NOT positive AND score <= tau) AS fp, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM t JOIN s ON s.run = t.run GROUP BY ALL), r AS (SELECT run, tau, tp, fp, coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) AS precision, coalesce(tp / CAST(nullif(p, 0) AS DOUBLE), 0) AS recall, coalesce(fp / CAST(nullif(n, 0) AS DOUBLE), 0) AS fpr FROM c)"
+CURVES = "WITH s AS (SELECT event_type AS run, round(value, 1) AS score, user_id % 4 = 0 OR value < 20 AS positive FROM events), t AS (SELECT DISTINCT run, CAST(score AS DOUBLE) AS tau FROM s UNION ALL SELECT DISTINCT run, CAST('inf' AS DOUBLE) FROM s UNION ALL SELECT DISTINCT run, CAST('-inf' AS DOUBLE) FROM s), c AS (SELECT t.run, tau, count(*) FILTER (positive AND score <= tau) AS tp, count(*) FILTER (NOT positive AND score <= tau) AS fp, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM t JOIN s ON s.run = t.run GROUP BY ALL), r AS (SELECT run, tau, tp, fp, p AS n_pos, n AS n_neg, coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) AS precision, coalesce(tp / CAST(nullif(p, 0) AS DOUBLE), 0) AS recall, coalesce(fp / CAST(nullif(n, 0) AS DOUBLE), 0) AS fpr FROM c)"
 
 
 def curves(spark, sf_dir) -> DataFrame:
@@ -678,14 +698,14 @@ def threshold_curves(spark, sf_dir):
     return curves(spark, sf_dir).select("run", name.alias("tau10"), "tp", "fp", *r6("precision", "recall", "fpr"))
 
 
-@query(CURVES + ", b AS (SELECT *, coalesce(1.25 * precision * recall / nullif(0.25 * precision + recall, 0), 0) AS f FROM r WHERE fpr <= 0.1), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(f, 12) DESC, tau DESC) AS q FROM b) SELECT run, round(tau, 1) AS tau, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fpr, 6) AS fpr FROM k WHERE q = 1")
+@query(CURVES + ", b AS (SELECT *, coalesce(1.25 * precision * recall / nullif(0.25 * precision + recall, 0), 0) AS f FROM r WHERE fpr <= 0.1), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(f, 12) DESC, tau DESC) AS q FROM b) SELECT run, round(tau, 1) AS tau, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fpr, 6) AS fpr, true AS feasible, n_pos, n_neg FROM k WHERE q = 1")
 def threshold_fbeta(spark, sf_dir):
-    return detect.threshold_by_fbeta(curves(spark, sf_dir), ["run"], 0.1).select("run", F.round("tau", 1).alias("tau"), *r6("precision", "recall", "fpr"))
+    return detect.threshold_by_fbeta(curves(spark, sf_dir), ["run"], 0.1).select("run", F.round("tau", 1).alias("tau"), *r6("precision", "recall", "fpr"), "feasible", "n_pos", "n_neg")
 
 
-@query(CURVES + ", k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(recall, 12) DESC, round(fpr, 12), round(precision, 12) DESC, tau DESC) AS q FROM r WHERE fpr <= 0.1) SELECT run, round(tau, 1) AS tau, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fpr, 6) AS fpr FROM k WHERE q = 1")
+@query(CURVES + ", k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(recall, 12) DESC, round(fpr, 12), round(precision, 12) DESC, tau DESC) AS q FROM r WHERE fpr <= 0.1) SELECT run, round(tau, 1) AS tau, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fpr, 6) AS fpr, true AS feasible, n_pos, n_neg FROM k WHERE q = 1")
 def threshold_recall(spark, sf_dir):
-    return detect.threshold_by_recall(curves(spark, sf_dir), ["run"], 0.1).select("run", F.round("tau", 1).alias("tau"), *r6("precision", "recall", "fpr"))
+    return detect.threshold_by_recall(curves(spark, sf_dir), ["run"], 0.1).select("run", F.round("tau", 1).alias("tau"), *r6("precision", "recall", "fpr"), "feasible", "n_pos", "n_neg")
 
 
 @query(C + ", f AS (SELECT agent, slot + 24 AS slot, zone FROM panel) SELECT coalesce(a.agent, b.agent) AS agent, round(avg(CAST(a.zone IS DISTINCT FROM b.zone AS INT)), 6) AS changed FROM (SELECT * FROM panel WHERE slot >= 504 AND slot < 672) a FULL JOIN (SELECT * FROM f WHERE slot >= 504 AND slot < 672) b ON a.agent = b.agent AND a.slot = b.slot GROUP BY 1")

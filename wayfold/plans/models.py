@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import centre
-from wayfold.functions.numeric import logit
 from wayfold.operators import counts, detect, dglm, graph, inject, kernel, sequence
 from wayfold.plans import detection, sql
-from wayfold.plans.mobility import PER_DAY, QUERIES, SLOTS, coarse, fine, located, od_series, pings, query, r6
+from wayfold.plans.mobility import KIND, PER_DAY, QUERIES, SLOTS, SPS, coarse, fine, gate_sql, located, od_series, pings, query, r6
 
 B, C = sql.base("zone"), sql.base("coarse")
 
@@ -104,25 +103,38 @@ def flow_clusters(spark, sf_dir):
 
 
 def _group_rows(spark, sf_dir):
+    """Rows of the group model with the four features: kernel logit, occupancy change, day and weekday."""
     panel = coarse(spark, sf_dir)
-    series = od_series(panel)
+    series = od_series(panel).join(counts.od_ranked(counts.od_counts(panel)).select("origin", "dest", "rank"), ["origin", "dest"])
     smooth = kernel.binomial_forecast(series, ["origin", "dest"], PER_DAY, 120, 240)
-    own = series.join(smooth, ["origin", "dest", "slot"], "left").withColumn("x", logit(F.coalesce("value", F.lit(0.5))))
-    return own.withColumn("day", ((F.pmod("slot", F.lit(24)) >= 11)).cast("double")).select("origin", "dest", "slot", "y", "n", "x", "day")
+    own = series.join(smooth, ["origin", "dest", "slot"], "left").withColumn("value", F.coalesce("value", F.lit(0.5)))
+    return detection.with_features(own, panel, detection.Setup(), 0).select("origin", "dest", "slot", "y", "n", *detection.GROUP_FEATURES)
+
+
+def _shown(made):
+    return made.select("origin", "dest", "slot", "p_hat", "y", "n", F.element_at("m", 1).alias("level"), F.element_at("v", 1).alias("level_var"))
 
 
 @query()
 def group_dglm(spark, sf_dir):
-    made = dglm.group_models(_group_rows(spark, sf_dir), ["origin", "dest"], ["x", "day"], PER_DAY)
-    return made.select("origin", "dest", "slot", "p_hat", "y", "n", F.element_at("m", 1).alias("level"), F.element_at("v", 1).alias("level_var"))
+    return _shown(dglm.group_models(_group_rows(spark, sf_dir), ["origin", "dest"], detection.GROUP_FEATURES, PER_DAY))
 
 
 @query()
 def group_dglm_states(spark, sf_dir):
-    made = dglm.group_models(_group_rows(spark, sf_dir), ["origin", "dest"], ["x", "day"], PER_DAY)
+    made = dglm.group_models(_group_rows(spark, sf_dir), ["origin", "dest"], detection.GROUP_FEATURES, PER_DAY)
     return dglm.last_states(made, ["origin", "dest"])
 
 
+@query()
+def group_dglm_resume(spark, sf_dir):
+    """The last week's rows, filtered from the states that a run up to there left."""
+    rows, keys = _group_rows(spark, sf_dir), ["origin", "dest"]
+    split = SLOTS - 7 * PER_DAY
+    states = dglm.last_states(dglm.group_models(rows.filter(F.col("slot") < split), keys, detection.GROUP_FEATURES, PER_DAY), keys)
+    return _shown(dglm.group_models(rows.filter(F.col("slot") >= split), keys, detection.GROUP_FEATURES, PER_DAY, states=states))
+
+
 def _prepared(spark, sf_dir):
     panel = coarse(spark, sf_dir)
     cube = detection.forecast_cube(panel)
@@ -135,6 +147,15 @@ def agent_dglm(spark, sf_dir):
     return dglm.agent_models(rows, ["agent", "kind"], detection.FEATURES, upweight=1).select("agent", "kind", "od", "slot", "p_hat", "y")
 
 
+@query()
+def agent_dglm_resume(spark, sf_dir):
+    """The rows after training, filtered from the states that training left; rare answers count as whole trials."""
+    rows, keys, end = _prepared(spark, sf_dir)[2].withColumn("update", F.lit(True)), ["agent", "kind"], detection.Setup().end_of_training
+    states = dglm.last_states(dglm.agent_models(rows.filter(F.col("slot") <= end), keys, detection.FEATURES, upweight=1), keys)
+    made = dglm.agent_models(rows.filter(F.col("slot") > end), keys, detection.FEATURES, 1, True, states=states)
+    return made.select("agent", "kind", "od", "slot", "p_hat", "y")
+
+
 @query()
 def oam_pm(spark, sf_dir):
     return detection.forecasts(_prepared(spark, sf_dir)[2]).select("agent", "kind", "origin", "dest", "slot", "y", "p_pm", "p_oam", "t")
@@ -146,15 +167,43 @@ def oam_pm_summary(spark, sf_dir):
     return detect.binary_summary(made, ["agent", "kind"])
 
 
-@query()
+END = detection.Setup().end_of_training
+LOGIT = "round(greatest(-10.0, least(10.0, ln(greatest(1e-9, least(1 - 1e-9, {x})) / (1 - greatest(1e-9, least(1 - 1e-9, {x})))))), 6)"
+OWN = f""", truns AS (SELECT agent, zone, count(*) AS len FROM (SELECT *, slot - row_number() OVER (PARTITION BY agent, zone ORDER BY slot) AS g FROM panel WHERE slot <= {END}) GROUP BY agent, zone, g),
+tclass AS (SELECT agent, zone, max(len) >= 6 AS staying FROM truns GROUP BY ALL),
+taken AS (SELECT agent, origin, dest FROM cind GROUP BY ALL HAVING coalesce(sum(CASE WHEN slot < {END} THEN y END), 0) > 5),
+own AS (SELECT c.agent, c.origin, c.dest, {KIND.replace('v.', 'c.')}, c.slot, c.y FROM cind c JOIN taken t ON t.agent = c.agent AND t.origin = c.origin AND t.dest = c.dest JOIN tclass z ON z.agent = c.agent AND z.zone = c.origin),
+selfs AS (SELECT agent, origin, dest, slot, y FROM own WHERE kind = 'staying_to_self'), """
+OTHERS = """, oc AS (SELECT *, slot // 24 AS day, slot % 24 AS s FROM own WHERE kind <> 'staying_to_self'), od1 AS (SELECT agent, origin, dest, day, t.s, max(y) AS one FROM oc a JOIN (SELECT unnest(range(0, 24)) AS s) t ON least(abs(a.s - t.s), 24 - abs(a.s - t.s)) <= 1 GROUP BY ALL),
+kp AS (SELECT agent, origin, dest, slot, (0.5 + y) / (1 + n) AS value FROM ksums UNION ALL SELECT a.agent, a.origin, a.dest, a.slot, (0.5 + coalesce(sum(d.one), 0)) / (1 + count(d.one)) FROM oc a LEFT JOIN od1 d ON d.agent = a.agent AND d.origin = a.origin AND d.dest = a.dest AND d.s = a.s AND d.day < a.day GROUP BY a.agent, a.origin, a.dest, a.slot)"""
+FROZEN = f""", lg AS (SELECT agent, origin, dest, slot, lag(gate) OVER (PARTITION BY agent, origin, dest ORDER BY slot) AS gate FROM gate1),
+ft AS (SELECT o.agent, o.kind, o.origin, o.dest, o.slot, coalesce(k.value, 0.5) AS k, CAST(coalesce(g.gate, 0) AS DOUBLE) AS gate FROM own o LEFT JOIN kp k ON k.agent = o.agent AND k.origin = o.origin AND k.dest = o.dest AND k.slot = o.slot LEFT JOIN lg g ON g.agent = o.agent AND g.origin = o.origin AND g.dest = o.dest AND g.slot = o.slot),
+fz AS (SELECT f.*, CASE WHEN f.slot > {END} THEN coalesce(l.k, 0.5) ELSE f.k END AS pk, CASE WHEN f.slot > {END} THEN coalesce(l.gate, 0.0) ELSE f.gate END AS pg FROM ft f LEFT JOIN ft l ON l.slot > {END} - 24 AND l.slot <= {END} AND l.agent = f.agent AND l.origin = f.origin AND l.dest = f.dest AND l.slot % 24 = f.slot % 24)
+SELECT agent, kind, origin, dest, slot, {LOGIT.format(x='k')} AS kernel_prob, {LOGIT.format(x='pk')} AS pm_kernel_prob, CAST(gate AS DOUBLE) AS gate, CAST(pg AS DOUBLE) AS pm_gate FROM fz"""
+
+
+@query(C + OWN + sql.kernel("SELECT agent, origin, dest, slot, y, 1 AS n FROM selfs", ["agent", "origin", "dest"], 1, 2, 14.0, ["y", "n"], False) + OTHERS + gate_sql(1, "=", 1, -1.0, 18.0, "selfs") + FROZEN)
 def empirical_prob(spark, sf_dir):
-    return _prepared(spark, sf_dir)[2].select("agent", "kind", "origin", "dest", "slot", "kernel_prob", "pm_kernel_prob", "gate", "pm_gate")
+    rows = detection.with_empirical(detection.asked_rows(coarse(spark, sf_dir))[0])
+    made = detection.numbered_rows(rows, ["kernel_prob", "gate"])
+    return made.select("agent", "kind", "origin", "dest", "slot", *r6("kernel_prob", "pm_kernel_prob"), "gate", "pm_gate")
 
 
 # injection and detection
 
 
-@query()
+def _draw(seed: int, *columns: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(columns)})), 1, 10) AS BIGINT) / CAST(1099511627776 AS DOUBLE))"
+
+
+SHIFTS = f""", tr AS (SELECT a.agent, a.day, a.s AS s1, a.e, b.s AS s2, b.e AS e2, a.zone AS z1, b.zone AS z2, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY a.agent, a.day) AS n FROM st a JOIN st b ON a.agent = b.agent AND a.day = b.day AND b.s = (SELECT min(c.s) FROM st c WHERE c.agent = a.agent AND c.day = a.day AND c.s > a.e) WINDOW w AS (PARTITION BY a.agent, a.day ORDER BY a.s)),
+ch AS (SELECT *, {_draw(1, 'agent', 'day', "'2'")} < CAST(0.5 AS DOUBLE) AS early FROM tr WHERE day >= 22 AND k = floor({_draw(1, 'agent', 'day', "'1'")} * n)),
+mo AS (SELECT *, least(6, CASE WHEN early THEN e - s1 ELSE e2 - s2 END) AS most FROM ch),
+lo AS (SELECT *, CASE WHEN early THEN 1 ELSE floor(most * CAST(0.7 AS DOUBLE)) END AS low FROM mo),
+one AS (SELECT *, CAST(low + floor({_draw(1, 'agent', 'day', "'3'")} * (most - low + 1)) AS BIGINT) AS d FROM lo)"""
+
+
+@query(C + SPS + SHIFTS + " SELECT p.agent, p.slot, CASE WHEN o.early AND p.slot + d >= e AND p.slot + d < s2 THEN n.zone WHEN NOT o.early AND p.slot - d >= e AND p.slot - d < s2 THEN m.zone WHEN o.early AND p.slot >= s2 - d AND p.slot < s2 THEN z2 WHEN NOT o.early AND p.slot >= e AND p.slot < e + d THEN z1 ELSE p.zone END AS zone FROM panel p LEFT JOIN (SELECT * FROM one WHERE d > 0) o ON o.agent = p.agent AND o.day = p.slot // 24 LEFT JOIN panel n ON n.agent = p.agent AND n.slot = p.slot + d LEFT JOIN panel m ON m.agent = p.agent AND m.slot = p.slot - d")
 def inject_sps(spark, sf_dir):
     panel = coarse(spark, sf_dir)
     shifts = inject.chosen_shifts(panel, ["agent"], PER_DAY, 22 * 24, SLOTS, 3, 6, seed=1)
@@ -166,7 +215,10 @@ def inject_anomaly(spark, sf_dir):
     return inject.inject_until(coarse(spark, sf_dir), ["agent"], PER_DAY, 22 * 24, SLOTS, seed=1, min_stay=3, max_shift=6)[1]
 
 
-@query()
+SWAPS = f", drawn AS (SELECT agent, e, row_number() OVER (PARTITION BY agent ORDER BY {_draw(2, 'agent', 'e')}, e) AS k FROM (SELECT DISTINCT agent FROM panel), (SELECT unnest(range(0, 23)) AS e)), swaps AS (SELECT agent, 22 + k AS day, e AS from_day FROM drawn WHERE k <= 7 UNION ALL SELECT agent, e, 22 + k FROM drawn WHERE k <= 7)"
+
+
+@query(C + SWAPS + " SELECT p.agent, coalesce(s.day * 24 + p.slot % 24, p.slot) AS slot, p.zone FROM panel p LEFT JOIN swaps s ON s.agent = p.agent AND s.from_day = p.slot // 24")
 def swap_days(spark, sf_dir):
     panel = coarse(spark, sf_dir)
     return inject.swapped(panel, inject.day_swaps(panel, ["agent"], PER_DAY, 23 * 24, SLOTS, 2), ["agent"], PER_DAY)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,10 +27,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint(spark: SparkSession) -> None:
-    """Use the checkpoint folder that the session names; make one only where none is named, as in tests."""
+    """Use the checkpoint folder that the session names; make one only for a session in one process, as in tests."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayfold-"))
+    if context.getCheckpointDir():
+        return
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-"))
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:

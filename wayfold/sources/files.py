@@ -24,6 +24,21 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_results(results: DataFrame, path: str, key: str = "agent", buckets: int = 64, mode: str = "errorifexists") -> None:
+    """Results (a row for each agent and run) as a table partitioned by a hash of the key, in place of a file for each task's agent."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    results.withColumn("bucket", bucket).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, keys: list[int] | None = None, key: str = "agent", buckets: int = 64) -> DataFrame:
+    """What write_results() wrote; for given keys only their buckets are read."""
+    rows = spark.read.parquet(path)
+    if keys is not None:
+        wanted = spark.createDataFrame([(k,) for k in keys], f"{key} long").select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("b"))
+        rows = rows.filter(F.col("bucket").isin(sorted({r["b"] for r in wanted.collect()})) & F.col(key).isin(list(keys)))
+    return rows.drop("bucket")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
@@ -54,8 +69,9 @@ def to_long(wide: DataFrame) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, group: list[str], order: list[str], most: int = 20, seed: int = 42) -> DataFrame:
-    """At most `most` rows of each group, in an order that the seed fixes."""
+    """At most `most` rows of each group, in an order that the seed fixes: that of the MD5 of seed and order, joined by '|'."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(*order, F.lit(seed)), *order))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.md5(text), *order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
