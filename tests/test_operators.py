@@ -179,6 +179,180 @@ def test_model_resumes_from_its_state():
     assert np.allclose(p, np.concatenate((first, second)))
 
 
+def test_series_together_equal_series_alone():
+    """Against the plain filter, series by series: unlike lengths, gaps, extra trials, seasons and discounts."""
+    rng = np.random.default_rng(6)
+    for design in (dglm.Design(2), dglm.Design(1, True, [(8, 2)], 0.98, 0.99, 0.97)):
+        series, plain = [], []
+        for size in (1, 40, 7, 0, 23):
+            n = rng.integers(0, 4, size).astype(float)
+            y = np.where(rng.random(size) < 0.1, np.nan, np.minimum(n, rng.integers(0, 3, size)))
+            x, extra = rng.normal(size=(size, design.regressors)), rng.integers(0, 3, size).astype(float)
+            series.append(dglm.Series(y, n, x, dglm.State.prior(design.size, 10.0), extra))
+            plain.append((y, n, x, dglm.State.prior(design.size, 10.0), extra))
+        made = dglm.filtered_together(series, design)
+        for own, (p, m, v), (y, n, x, state, extra) in zip(series, made, plain, strict=True):
+            expected = dglm.filtered(y, n, x, design, state, extra)
+            assert all(np.allclose(a, b, atol=1e-8) for a, b in zip((p, m, v), expected, strict=True))
+            assert np.allclose(own.state.a, state.a, atol=1e-8) and np.allclose(own.state.r, state.r, atol=1e-8)
+
+
+def model_frame(spark, keys=7, slots=60):
+    rng = np.random.default_rng(12)
+    rows = [(k if k else None, 0, t, int(rng.random() < 0.4), 3, float(rng.normal()), 2.5, t % 9 != 4) for k in range(keys) for t in range(slots - 5 * k)]
+    return spark.createDataFrame(rows, "k long, od long, slot long, y int, n int, x double, weight double, update boolean").repartition(5)
+
+
+@pytest.mark.parametrize("kind", ["group", "agent"])
+def test_stopping_and_resuming_equals_one_pass(spark, monkeypatch, kind):
+    monkeypatch.setattr(dglm, "TOGETHER", 3)
+    rows = model_frame(spark)
+
+    def fit(part, states=None):
+        if kind == "group":
+            return dglm.group_models(part, ["k"], ["x"], 8, discounts=(0.98, 0.99, 1.0), states=states)
+        return dglm.agent_models(part, ["k"], ["x"], 1, True, states=states)
+
+    whole = {(r["k"], r["slot"]): r for r in fit(rows).collect()}
+    assert len(whole) == rows.count() and sum(r["r"] is not None for r in whole.values()) == 7
+    states = dglm.last_states(fit(rows.filter("slot < 28")), ["k"])
+    tail = fit(rows.filter("slot >= 28"), states).collect()
+    assert len(tail) == rows.filter("slot >= 28").count()
+    for r in tail:
+        own = whole[r["k"], r["slot"]]
+        assert abs(r["p_hat"] - own["p_hat"]) < 1e-9 and np.allclose(r["m"], own["m"], atol=1e-8)
+        assert (r["r"] is None) == (own["r"] is None) and (r["r"] is None or np.allclose(r["r"], own["r"], atol=1e-8))
+
+
+def metres(a, b):
+    """Great circle by the haversine formula."""
+    p, q = (math.radians(x[0]) for x in (a, b))
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * geo.EARTH_RADIUS_M * math.asin(math.sqrt(h))
+
+
+def scattered(spark, seed, n=40, groups=14):
+    rng = np.random.default_rng(seed)
+    at = {z: (36 + rng.random() * 0.2, -84 + rng.random() * 0.2) for z in range(n)}
+    label = {z: int(rng.integers(0, groups)) for z in range(n)}
+    label = {z: min(y for y in label if label[y] == c) for z, c in label.items()}  # named by their least zone
+    return at, label, spark.createDataFrame([(z, *at[z], label[z]) for z in at], "zone long, lat double, lon double, label long")
+
+
+def gap(at, xs, ys):
+    return min(metres(at[x], at[y]) for x in xs for y in ys)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merge_small_equals_plain_steps(spark, seed):
+    at, label, frame = scattered(spark, seed)
+    members = lambda c: [z for z in label if label[z] == c]
+    start = dict(label)
+    sizes = {c: len(members(c)) for c in set(label.values())}
+    large = sorted(c for c in sizes if sizes[c] >= 3)
+    plan = {}
+    for c in sorted(c for c in sizes if sizes[c] < 3):
+        own = members(c)
+        found = min((gap(at, own, members(x)), x) for x in large)
+        plan[c] = found[0]
+        label.update(dict.fromkeys(own, found[1]))
+    made = graph.merge_small(frame, 3).collect()
+    assert {r["zone"]: r["label"] for r in made} == label
+    assert all(r["was"] == start[r["zone"]] and (r["gap_m"] is None) == (r["was"] not in plan) for r in made)
+    assert all(abs(r["gap_m"] - plan[r["was"]]) < 1e-6 for r in made if r["was"] in plan)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("by_size", [False, True])
+def test_two_stage_merge_equals_plain_steps(spark, seed, by_size):
+    at, start, frame = scattered(spark, seed)
+    most, least, far = 6, 3, 9000.0
+    first = {c: [z for z in start if start[z] == c] for c in set(start.values())}
+    now = {c: list(z) for c, z in first.items()}
+    roomy = [c for c in first if least <= len(first[c]) < most]
+    asked = []
+    for c in (c for c in first if len(first[c]) < least):
+        d, to = min((gap(at, first[c], first[x]), x) for x in roomy)
+        asked.append(((-len(first[c]), d, c) if by_size else (d, -len(first[c]), c), c, d, to))
+    lonely = []
+    for _, c, d, to in sorted(asked):
+        if d <= far and len(now[to]) + len(first[c]) <= most:
+            now[to] += now.pop(c)
+        else:
+            lonely.append(c)
+    joined = {c: c for c in lonely}
+    for d, a, b in sorted((gap(at, first[a], first[b]), a, b) for i, a in enumerate(lonely) for b in lonely[i + 1 :]):
+        if joined[a] == a and joined[b] == b and len(now[a]) + len(now[b]) <= most and d <= far:
+            now[a] += now.pop(b)
+            joined[b] = a
+    expected = {z: min(own) for own in now.values() for z in own}
+    made = graph.two_stage_merge(frame, most, least, far, far, by_size).collect()
+    assert {r["zone"]: r["label"] for r in made} == expected and any(r["gap_m"] for r in made)
+
+
+def forest(nodes, edges):
+    """Components' least members."""
+    out = {}
+    for n in sorted(nodes):
+        todo = [n]
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = n
+                todo += [b for a, b, *_ in edges if a == x] + [a for a, b, *_ in edges if b == x]
+    return out
+
+
+def test_skater_equals_plain_steps(spark):
+    """The spanning forest by taking edges away from the heaviest on, as long as they lie on a cycle; then the cuts one by one."""
+    own = grid_zones(spark, 5)
+    rng = np.random.default_rng(1)
+    costs = [(r["src"], r["dst"], float(rng.permutation(200)[0])) for r in graph.radius_edges(own, 1250.0).filter("src < dst").orderBy("src", "dst").collect()]
+    costs = [(a, b, c + i / 1000) for i, (a, b, c) in enumerate(costs)]
+    nodes = [r["zone"] for r in own.collect()]
+    tree = list(costs)
+    for e in sorted(costs, key=lambda e: -e[2]):
+        rest = [x for x in tree if x != e]
+        if forest(nodes, rest) == forest(nodes, tree):
+            tree = rest
+    while True:
+        label = forest(nodes, tree)
+        sizes = {c: sum(v == c for v in label.values()) for c in set(label.values())}
+        heaviest = [max((e for e in tree if label[e[0]] == c), key=lambda e: e[2]) for c in sizes if sizes[c] > 9]
+        if not heaviest:
+            break
+        tree = [e for e in tree if e not in heaviest]
+    while len(set(forest(nodes, tree).values())) < 7:
+        tree.remove(max(tree, key=lambda e: e[2]))
+    made = graph.skater(own, spark.createDataFrame(costs, "src long, dst long, cost double"), 7, 9)
+    assert {r["zone"]: r["label"] for r in made.collect()} == forest(nodes, tree)
+
+
+def test_flow_clusters_equal_plain_ward(spark):
+    """Ward by its definition on pairwise squared distances, without the update formula's order."""
+    rng = np.random.default_rng(2)
+    zones, n = grid_zones(spark, 3), 9
+    names = sorted(r["zone"] for r in zones.collect())
+    flow = rng.permutation(n * n).reshape(n, n).astype(float) + 1
+    flows = spark.createDataFrame([(names[i], names[j], int(flow[i, j])) for i in range(n) for j in range(n)], "origin long, dest long, n long")
+    gaps = {(r["src"], r["dst"]): r["dist_m"] for r in graph.distance_matrix(zones).collect()}
+    d = np.maximum(flow, flow.T)
+    d[np.array([[gaps[a, b] > 2000 for b in names] for a in names])] = 2 * d.max()
+    groups = {i: [i] for i in range(n)}
+    square = {(i, j): d[i, j] ** 2 for i in range(n) for j in range(n) if i < j}
+    while len(groups) > 4:
+        i, j = min(square, key=lambda p: (square[p], p))
+        a, b = len(groups[i]), len(groups[j])
+        for k in [k for k in groups if k not in (i, j)]:
+            ik, jk, c = tuple(sorted((i, k))), tuple(sorted((j, k))), len(groups[k])
+            square[ik] = ((a + c) * square[ik] + (b + c) * square.pop(jk) - c * square[i, j]) / (a + b + c)
+        groups[i] += groups.pop(j)
+        square = {p: v for p, v in square.items() if j not in p}
+    made = {r["zone"]: r["label"] for r in graph.flow_clusters(flows, graph.distance_matrix(zones), 2000.0, 4).collect()}
+    expected = {names[i]: c for c, own in groups.items() for i in own}
+    assert all((made[a] == made[b]) == (expected[a] == expected[b]) for a in names for b in names)
+
+
 def grid_zones(spark, n=6):
     return spark.createDataFrame([(r * 10 + c, 36.0 + r * 0.01, -84.0 + c * 0.01) for r in range(n) for c in range(n)], "zone long, lat double, lon double")
 
@@ -269,7 +443,11 @@ def test_threshold_curves_equal_a_sweep(spark):
         tp = sum(1 for x in rows if x[1] <= r["tau"] and x[2])
         fp = sum(1 for x in rows if x[1] <= r["tau"] and not x[2])
         assert (r["tp"], r["fp"]) == (tp, fp) and abs(r["recall"] - tp / p) < 1e-12
+    assert {(r["n_pos"], r["n_neg"]) for r in curves.collect()} == {(p, 60 - p)}
+    none = detect.threshold_by_recall(curves.filter("tau > 2"), ["k"], 0.0).first()
+    assert not none["feasible"] and none["fpr"] == min(r["fpr"] for r in curves.filter("tau > 2").collect())
     best = detect.threshold_by_recall(curves, ["k"], 0.2).first()
+    assert best["feasible"]
     assert best["fpr"] <= 0.2 and best["recall"] == max(r["recall"] for r in curves.collect() if r["fpr"] <= 0.2)
 
 
@@ -329,3 +507,49 @@ def test_injection_goes_on_until_it_passes(spark):
     assert all(abs(r["changed"] - share[r["agent"], r["attempt"]]) < 1e-12 and r["success"] == (r["changed"] >= threshold) for r in log.collect())
     wanted = [(r["agent"], r["slot"], r["zone"]) for r in every.collect() if r["attempt"] == first[r["agent"]]]
     assert got(made, "agent", "slot", "zone") == sorted(wanted)
+
+
+def test_decay_has_no_fixed_frame(spark):
+    """At 0.99 a run 300 runs ago still weighs 0.05."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(2500) < 0.5).astype(int).tolist()
+    made = sequence.decayed_mean_stay(spark.createDataFrame(list(enumerate(y)), "slot long, y int").selectExpr("0 as k", "*"), ["k"], decay=0.99).orderBy("slot").collect()
+    run, weight, total = 0, 0.0, 0.0
+    for v, r in zip(y, made, strict=True):
+        if v == 0 and run:
+            weight, total = 0.99 * weight + 1, 0.99 * total + run
+        run = run + 1 if v else 0
+        assert (r["mean_stay"] is None) == (weight == 0) and (not weight or abs(r["mean_stay"] - total / weight) < 1e-9)
+
+
+def test_dwell_runs_follow_the_tolerance(spark):
+    rows = [(0, t, 36.0 + d, -84.0) for t, d in enumerate([0, 1e-7, 2e-7, 0.5, 0.5, 0.9])] + [(0, 6, None, None), (0, 7, None, None)]
+    made = sequence.dwell_positions(spark.createDataFrame(rows, "k long, slot long, lat double, lon double"), ["k"], ["slot"], least=3).orderBy("slot").collect()
+    assert [(r["dwell_len"], r["staying"]) for r in made] == [(3, True)] * 3 + [(2, False)] * 2 + [(1, False)] * 3
+
+
+def test_passing_ids_and_their_first_form(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 3)], "zone long, label long")
+    assert got(graph.passing_ids(labels), "zone", "label") == [(1, -2), (2, -5)] and got(graph.passing_ids(labels, compat=True), "zone", "label") == [(1, -1), (2, -4)]
+
+
+def test_sparse_product_equals_dense(spark):
+    rng = np.random.default_rng(7)
+    part = [(o, d, t, float(p)) for o in range(6) for t in range(4) if rng.random() < 0.8 for d, p in zip(rng.permutation(6)[:3].tolist(), rng.dirichlet([1] * 3) * rng.choice([0.7, 1.0]), strict=True)]
+    partial, zones = spark.createDataFrame(part, "origin long, dest long, slot long, p double"), spark.range(6).withColumnRenamed("id", "zone")
+    dense = probability.multistep(probability.full_transition(partial, zones), 2)[2]
+    expected = {(r["origin"], r["dest"], r["slot"]): r["p"] for r in dense.collect()}
+    asked = spark.createDataFrame([(o, d, t) for o in range(6) for d in range(6) for t in range(3)], "origin long, dest long, slot long")
+    made = probability.sparse_two_step(*probability.sparse_cube(partial, 6), asked).collect()
+    assert len(made) == 108 and all(abs(r["p"] - expected.get((r["origin"], r["dest"], r["slot"]), 0.0)) < 1e-9 for r in made)
+
+
+def test_results_are_kept_by_agent(spark, tmp_path):
+    from wayfold.plans.detection import result_table
+
+    made = spark.createDataFrame([(a, -float(a), 1, 0.5, 0.5) for a in range(9)], "agent long, log_l double, run_len long, accuracy double, move_accuracy double")
+    thresholds = spark.createDataFrame([(a, -4.0, 0.9, 0.1) for a in range(8)], "agent long, tau double, recall double, fpr double")
+    table = result_table(made, thresholds)
+    files.write_results(table, f"{tmp_path}/r")
+    assert got(files.read_results(spark, f"{tmp_path}/r", [3, 5, 8]), "agent", "flagged") == [(3, False), (5, True), (8, False)]
+    assert files.read_results(spark, f"{tmp_path}/r").count() == 9

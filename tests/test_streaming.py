@@ -44,10 +44,22 @@ def test_model_monitor_equals_batch(run):
     assert np.allclose([made[t] for t in range(30)], p)
 
 
+def moves(run, rows, parts=2):
+    made = run(rows, "agent long, at string, zone long", lambda s: monitors.transition_stream(s.selectExpr("agent", "to_timestamp(at) as ts", "zone"), "3 hours"), parts)
+    return sorted((r["agent"], str(r["ts"])[11:13], r["origin"], r["dest"]) for r in made)
+
+
+END = [(9, "2024-01-03 00:00:00", 0)]  # moves the watermark on
+
+
 def test_transitions_across_batches(run):
     rows = [(1, f"2024-01-01 0{t}:00:00", z) for t, z in enumerate([5, 5, 6, 7])]
-    made = run(rows, "agent long, at string, zone long", lambda s: monitors.transition_stream(s.selectExpr("agent", "to_timestamp(at) as ts", "zone")))
-    assert sorted((r["origin"], r["dest"]) for r in made) == [(5, 5), (5, 6), (6, 7)]
+    assert moves(run, rows + END) == [(1, "01", 5, 5), (1, "02", 5, 6), (1, "03", 6, 7)]
+
+
+def test_a_position_that_comes_a_batch_late_takes_its_place(run):
+    rows = [(1, "2024-01-01 00:00:00", 5), (1, "2024-01-01 02:00:00", 7), (2, "2024-01-01 02:30:00", 1), (1, "2024-01-01 01:00:00", 6)]
+    assert moves(run, rows + END, 3) == [(1, "01", 5, 6), (1, "02", 6, 7)]
 
 
 def test_windows_and_sessions(spark, run):
@@ -55,4 +67,10 @@ def test_windows_and_sessions(spark, run):
     made = run(rows, "agent long, at string, zone long", lambda s: monitors.stay_stream(s.selectExpr("agent", "to_timestamp(at) as ts", "zone")), 1)
     assert sorted(r["n"] for r in made if r["zone"] == 5) == [2, 3]
     batch = spark.createDataFrame(rows, "agent long, at string, zone long").selectExpr("agent", "to_timestamp(at) as ts", "zone")
-    assert monitors.event_count_stream(batch).count() == 6 and monitors.occupancy_stream(batch).count() == 6
+    assert monitors.event_count_stream(batch).count() == 6
+
+
+def test_occupancy_counts_each_agent_once(run):
+    rows = [(a, f"2024-01-01 0{h}:{m:02d}:00", 5 + a % 2) for h in (0, 1) for m in (0, 20, 59) for a in range(5) if a < 4 or h] + END
+    made = run(rows, "agent long, at string, zone long", lambda s: monitors.occupancy_stream(s.selectExpr("agent", "to_timestamp(at) as ts", "zone")), 3)
+    assert sorted((str(r["start"])[11:13], r["zone"], r["n"]) for r in made) == [("00", 5, 2), ("00", 6, 2), ("01", 5, 3), ("01", 6, 2)]

@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def occupancy_stream(positions: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, zone, n): distinct agents (approximately) in each zone and tumbling window."""
-    own = positions.withWatermark("ts", late).groupBy(F.window("ts", length), "zone").agg(F.approx_count_distinct("agent").alias("n"))
+    """(start, zone, n): distinct agents in each zone and tumbling window, counted exactly: first by agent, then agents."""
+    seen = positions.withWatermark("ts", late).groupBy(F.window("ts", length), "zone", "agent").agg(F.count(F.lit(1)).alias("_n"))
+    own = seen.groupBy(F.window(F.window_time("window"), length), "zone").agg(F.count(F.lit(1)).alias("n"))
     return own.select(F.col("window.start").alias("start"), "zone", "n")
 
 
@@ -35,30 +36,54 @@ def stay_stream(positions: DataFrame, gap: str = "2 hours", late: str = "10 minu
 
 
 class Transitions(StatefulProcessor):
-    """Each agent's last zone is kept; rows of a batch are taken in time order and give (agent, ts, origin, dest)."""
+    """Each agent's last zone, and the positions that the watermark has not passed: these wait, so that rows of later
+    batches still take their place in time order. What it has passed gives (agent, ts, origin, dest).
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "zone long")
+        self.waiting = handle.getListState("waiting", "ts long, number long, zone long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        before = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for ts, zone in zip(frame["ts"], frame["zone"], strict=True):
+        frame = pd.concat(list(rows))
+        new = list(zip(frame["micros"].tolist(), frame["number"].tolist(), frame["zone"].tolist(), strict=True))
+        yield from self._passed(key, timerValues, new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._passed(key, timerValues, [])
+
+    def _passed(self, key, timerValues, new: list[tuple]) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted([*(tuple(r) for r in self.waiting.get()), *new]) if self.waiting.exists() else sorted(new)
+        done = [r for r in rows if r[0] <= 1000 * mark]
+        left = rows[len(done) :]
+        before, out = self.last.get()[0] if self.last.exists() else None, []
+        for micros, _, zone in done:
             if before is not None:
-                out.append((key[0], ts, before, int(zone)))
-            before = int(zone)
-        self.last.update((before,))
+                out.append((key[0], pd.Timestamp(micros, unit="us"), before, zone))
+            before = zone
+        if done:
+            self.last.update((before,))
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        elif self.waiting.exists():
+            self.waiting.clear()
         yield pd.DataFrame(out, columns=["agent", "ts", "origin", "dest"])
 
     def close(self) -> None:
         pass
 
 
-def transition_stream(positions: DataFrame) -> DataFrame:
-    """(agent, ts, origin, dest): moves of each agent across batches."""
-    rows = positions.select("agent", "ts", "zone").groupBy("agent")
-    return rows.transformWithStateInPandas(Transitions(), "agent long, ts timestamp, origin long, dest long", "Append", "None")
+def transition_stream(positions: DataFrame, late: str = "10 minutes", number: str | None = None) -> DataFrame:
+    """(agent, ts, origin, dest): moves of each agent across batches, in the order of time (and number, for equal times).
+
+    A position counts once the watermark has passed it; one that comes later than that is dropped, as by any window.
+    """
+    own = positions.withWatermark("ts", late)
+    rows = own.select("agent", "ts", F.unix_micros("ts").alias("micros"), (F.col(number) if number else F.lit(0)).cast("long").alias("number"), "zone").groupBy("agent")
+    return rows.transformWithStateInPandas(Transitions(), "agent long, ts timestamp, origin long, dest long", "Append", "EventTime")
 
 
 def bayes_step(log_l: float, run: int, h: float | None) -> tuple[float, int]:

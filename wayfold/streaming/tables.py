@@ -17,13 +17,16 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, label: str) -> DataFrame:
-    """The rows that the stream appends for all input present now; exactly once, restartable from its checkpoint."""
+    """The rows that the stream appends for all input present now; exactly once, restartable from its checkpoint. Raises if it fails."""
     spark = stream.sparkSession
     ensure_checkpoint(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
     where = f"{spark.sparkContext.getCheckpointDir()}/wayfold/{label}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{where}/rows")
