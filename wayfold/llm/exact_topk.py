@@ -29,7 +29,7 @@ SCALE, K, PIVOTS = 1024, 10, 32
 #: Sampled vectors that pivots and start thresholds come from; vectors in a candidate and in a query block.
 SAMPLE, BLOCK, QUERY_BLOCK = 2048, 2048, 512
 #: Cells at most (their intervals are broadcast: 16 bytes for each pivot and cell), and blocks in one cell at least.
-MAX_CELLS, CELL_BLOCKS = 2048, 8
+MAX_CELLS, CELL_BLOCKS = 2048, 2
 #: Candidates evaluated between two looks at the threshold; cells that a query block is held against at once.
 STEP, CELLS_AT_ONCE = 256, 64
 #: Whole numbers up to here, and their sums, are exact in doubles.
