@@ -48,7 +48,8 @@ def group_cube(panel: DataFrame) -> DataFrame:
     return probability.full_transition(od.withColumn("p", share).select("origin", "dest", "slot", "p"), zones)
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder: steps that feed several others run once."""
     ensure_checkpoint(df.sparkSession)
     return df.checkpoint()
 
@@ -65,9 +66,9 @@ def group_rows(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
     ranked = counts.od_ranked(od.filter(F.col("slot") <= setup.end_of_training))
     sizes = counts.cascade_sizes(od, ranked, counts.occupancy(panel), 1, setup.slots - 1)
     series = sizes.join(od, [*pair, "slot"], "left").select(*pair, "slot", F.coalesce("n", F.lit(0)).alias("y"), F.col("size").alias("n"))
-    series = _kept(series.join(ranked.select(*pair, "rank"), pair))
+    series = kept(series.join(ranked.select(*pair, "rank"), pair))
     smooth = kernel.binomial_forecast(series, pair, setup.per_day, 120, 240, every=True)
-    own = _kept(series.join(smooth, [*pair, "slot"]))
+    own = kept(series.join(smooth, [*pair, "slot"]))
     return with_features(own, panel, setup, 1).drop("value")
 
 
@@ -89,9 +90,9 @@ def forecast_cube(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
     The last destination of an origin that has all zones takes what is left; an origin without a
     model has equal shares.
     """
-    panel = _kept(panel)
+    panel = kept(panel)
     zones = panel.select("zone").distinct()
-    rows = _kept(group_rows(panel, setup))
+    rows = kept(group_rows(panel, setup))
     sticks = dglm.group_models(rows, ["origin", "dest"], GROUP_FEATURES, setup.per_day).select("origin", "dest", "slot", F.col("p_hat").alias("p"))
     sure = F.col("rank") == zones.count()
     sticks = sticks.join(rows.select("origin", "dest", "slot", "rank"), ["origin", "dest", "slot"]).withColumn("p", F.when(sure, 1.0).otherwise(F.col("p")))
@@ -105,7 +106,7 @@ def forecast_cube(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
 def asked_rows(panel: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): valid pairs' asked cells with their kind, and all cells of the indicator."""
     end, pair = setup.end_of_training, ["agent", "origin", "dest"]
-    cells = _kept(counts.indicator(counts.transitions(panel)))
+    cells = kept(counts.indicator(counts.transitions(panel)))
     asked = counts.onehot_to_cascade(cells)
     types = sequence.classify_zones(panel.filter(F.col("slot") <= end), ["agent"], setup.min_stay)
     valid = counts.by_zone_type(counts.valid_pairs(asked, end, setup.min_taken).filter("valid"), types).select(*pair, "kind")
@@ -115,12 +116,12 @@ def asked_rows(panel: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, Dat
 def with_empirical(own: DataFrame, setup: Setup = Setup()) -> DataFrame:
     """own with gate and kernel_prob, which know nothing of the slot's answer."""
     pair = ["agent", "origin", "dest"]
-    own = _kept(own)
+    own = kept(own)
     stays = sequence.signed_leave_gate(own.filter("kind = 'staying_to_self'").select(*pair, "slot", "y"), ["agent"], setup.decay, setup.gate_threshold)
     before = F.lag("gate").over(Window.partitionBy(*pair).orderBy("slot"))  # the gate of a slot must not know the slot's answer
     made = own.join(stays.select(*pair, "slot", before.alias("gate")), [*pair, "slot"], "left").withColumn("gate", F.coalesce("gate", F.lit(0.0)))
     smooth = kernel.empirical_probability(own.select(*pair, "kind", "slot", "y"), pair, setup.per_day).select(*pair, "slot", F.col("value").alias("kernel_prob"))
-    return _kept(made.join(smooth, [*pair, "slot"], "left").withColumn("kernel_prob", F.coalesce("kernel_prob", F.lit(0.5))))
+    return kept(made.join(smooth, [*pair, "slot"], "left").withColumn("kernel_prob", F.coalesce("kernel_prob", F.lit(0.5))))
 
 
 def numbered_rows(own: DataFrame, features: list[str], setup: Setup = Setup()) -> DataFrame:
@@ -138,7 +139,7 @@ def numbered_rows(own: DataFrame, features: list[str], setup: Setup = Setup()) -
 
 def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): valid pairs' asked cells with kind, features and their frozen forms; and all cells of the indicator."""
-    panel, cube = _kept(panel), _kept(cube)
+    panel, cube = kept(panel), kept(cube)
     own, cells = asked_rows(panel, setup)
     for k, steps in probability.multistep(cube, 2).items():
         own = probability.kstep_feature(own, panel, steps, k)
@@ -167,11 +168,11 @@ def assembled(cells: DataFrame, made: DataFrame, cube: DataFrame, column: str) -
 
 def verdicts(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> DataFrame:
     """(agent, log_l, run_len, accuracy, move_accuracy): the factor at the end of the axis, and path accuracy in the test window."""
-    panel, cube = _kept(panel), _kept(cube)
+    panel, cube = kept(panel), kept(cube)
     rows, cells = model_rows(panel, cube, setup)
-    made = _kept(forecasts(rows, setup))
+    made = kept(forecasts(rows, setup))
     moves = counts.transitions(panel)
-    pm, oam = (_kept(assembled(cells, made, cube, c)) for c in ("p_pm", "p_oam"))
+    pm, oam = (kept(assembled(cells, made, cube, c)) for c in ("p_pm", "p_oam"))
     factors = detect.cumulative_bayes_factor(detect.step_log_factor(moves, pm, oam, ["agent"]), ["agent"])
     last = factors.groupBy("agent").agg(F.max_by(F.struct("log_l", "run_len"), F.col("slot")).alias("_l")).select("agent", "_l.log_l", "_l.run_len")
     best = detect.argmax_destination(oam, moves, ["agent"], setup.end_of_training + 1)
@@ -195,9 +196,9 @@ def calibrated(panel: DataFrame, cube: DataFrame, setup: Setup = Setup(), repeti
     good = log.filter("success").select(*keys)
     both = regular.withColumn("kind", F.lit(0)).unionByName(changed.withColumn("kind", F.lit(1))).join(good, keys, "left_semi")
     number = (F.col("agent") * repetitions + F.col("rep")) * 2 + F.col("kind")
-    made = verdicts(_kept(both.select(number.alias("agent"), "slot", "zone")), cube, setup)
+    made = verdicts(kept(both.select(number.alias("agent"), "slot", "zone")), cube, setup)
     scores = made.select(F.floor(F.col("agent") / (2 * repetitions)).cast("long").alias("agent"), F.pmod(F.floor(F.col("agent") / 2), F.lit(repetitions)).cast("long").alias("rep"), (F.pmod("agent", F.lit(2)) == 1).alias("positive"), F.col("log_l").alias("score"))
-    scores = _kept(scores)
+    scores = kept(scores)
     curves = detect.threshold_curves(scores.select("agent", "score", "positive"), ["agent"])
     return scores, detect.threshold_by_recall(curves, ["agent"], max_fpr)
 

@@ -104,10 +104,10 @@ def flow_clusters(spark, sf_dir):
 
 def _group_rows(spark, sf_dir):
     """Rows of the group model with the four features: kernel logit, occupancy change, day and weekday."""
-    panel = coarse(spark, sf_dir)
+    panel = detection.kept(coarse(spark, sf_dir))
     series = od_series(panel).join(counts.od_ranked(counts.od_counts(panel)).select("origin", "dest", "rank"), ["origin", "dest"])
     smooth = kernel.binomial_forecast(series, ["origin", "dest"], PER_DAY, 120, 240)
-    own = series.join(smooth, ["origin", "dest", "slot"], "left").withColumn("value", F.coalesce("value", F.lit(0.5)))
+    own = detection.kept(series.join(smooth, ["origin", "dest", "slot"], "left").withColumn("value", F.coalesce("value", F.lit(0.5))))
     return detection.with_features(own, panel, detection.Setup(), 0).select("origin", "dest", "slot", "y", "n", *detection.GROUP_FEATURES)
 
 
