@@ -104,6 +104,26 @@ def test_trees_fit_and_keep_their_monotone_features():
     assert quality_rules.grow(np.zeros((0, 3)), np.zeros(0), {}).score(x[:2]).tolist() == [0.5, 0.5]
 
 
+def test_flat_trees_score_like_a_walk_from_root_to_leaf():
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 4))
+    trees = quality_rules.grow(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), {0: 1})
+    for row, score in zip(x, trees.score(x), strict=True):
+        margin = trees.base
+        for node in trees.roots.tolist():
+            while trees.left[node] != node:
+                node = int(trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node])
+            margin += trees.value[node]
+        assert abs(score - 1 / (1 + math.exp(-margin))) < 1e-12
+
+
+def test_quality_rules_learn_from_other_rows_than_they_judge(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    made = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.fit(docs, labels.filter(~held))).join(labels, "doc_id").filter(held).filter("not base_failed").toPandas()
+    assert len(made) > 30 and (made["kept"] == (made["quality"] == 1)).mean() > 0.9
+
+
 def test_quality_rules_on_odd_rows(spark):
     docs = odd_rows(spark)
     labels = spark.createDataFrame([(4, 1), (5, 0), (7, 0), (None, 1), (8, None)], "doc_id long, quality int")
