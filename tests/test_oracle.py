@@ -37,3 +37,9 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_prepare_takes_a_session_without_a_time_zone(spark):
+    fresh = spark.newSession()
+    fresh.conf.unset("spark.sql.session.timeZone")
+    assert prepare(fresh).conf.get("spark.sql.session.timeZone") == "UTC"

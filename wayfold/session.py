@@ -17,7 +17,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     On a cluster without a common checkout, submit with ``--py-files``; the path set
     here is then simply not used.
     """
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
