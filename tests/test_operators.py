@@ -224,6 +224,24 @@ def test_stopping_and_resuming_equals_one_pass(spark, monkeypatch, kind):
         assert (r["r"] is None) == (own["r"] is None) and (r["r"] is None or np.allclose(r["r"], own["r"], atol=1e-8))
 
 
+@pytest.mark.parametrize("kind", ["group", "agent"])
+def test_a_series_without_new_rows_keeps_its_state(spark, kind):
+    rows = model_frame(spark, 5, 40)
+
+    def fit(part, states=None):
+        made = dglm.group_models(part, ["k"], ["x"], 8, states=states) if kind == "group" else dglm.agent_models(part, ["k"], ["x"], states=states)
+        return made.checkpoint()
+
+    states = dglm.last_states(fit(rows.filter("slot < 22")), ["k"])
+    tail = fit(rows.filter("slot >= 22"), states)
+    assert tail.filter("k = 4").count() == 0 and tail.count() == rows.filter("slot >= 22").count()
+    kept = {r["k"]: r for r in dglm.last_states(tail, ["k"], states).collect()}
+    whole = {r["k"]: r for r in dglm.last_states(fit(rows), ["k"]).collect()}
+    assert set(kept) == set(whole) == {None, 1, 2, 3, 4}
+    assert all(np.allclose(kept[k]["r"], whole[k]["r"], atol=1e-8) for k in kept)
+    assert fit(rows.filter("slot < 0"), states).count() == 0
+
+
 def metres(a, b):
     """Great circle by the haversine formula."""
     p, q = (math.radians(x[0]) for x in (a, b))

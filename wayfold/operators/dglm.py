@@ -308,7 +308,7 @@ def _opened(frame: pd.DataFrame, size: int, variance: float) -> tuple[pd.DataFra
 def _closed(frame: pd.DataFrame, m: np.ndarray, v: np.ndarray, state: State) -> pd.DataFrame:
     """frame with m and v, and at the last row a and r."""
     last = [None] * max(0, len(frame) - 1)
-    return frame.assign(m=list(m), v=list(v), a=[*last, state.a][: len(frame)], r=[*last, state.r.ravel()][: len(frame)])
+    return frame.assign(m=list(m), v=list(v), a=[*last, state.a][: len(frame)], r=[*last, state.r.ravel()][: len(frame)]).astype(dict.fromkeys("mvar", object))
 
 
 _STATE = "m array<double>, v array<double>, a array<double>, r array<double>"
@@ -327,7 +327,7 @@ def group_models(rows: DataFrame, keys: list[str], features: list[str], per_day:
         series = []
         for frame, state in opened:
             y, n = frame["y"].to_numpy(float), frame["n"].to_numpy(float)
-            series.append(Series(y, np.where(n > 0, np.maximum(n, y), 0), frame[features].to_numpy(float).reshape(len(frame), -1), state))
+            series.append(Series(y, np.where(n > 0, np.maximum(n, y), 0), frame[features].to_numpy(float).reshape(len(frame), len(features)), state))
         out = []
         for (frame, _), own, (p, m, v) in zip(opened, series, filtered_together(series, design), strict=True):
             out.append(_closed(frame[[*keys, "slot"]].assign(p_hat=p, y=own.y, n=frame["n"].to_numpy(float)), m, v, own.state))
@@ -364,7 +364,7 @@ def _agent_series(frame: pd.DataFrame, features: list[str], state: State, upweig
     if upweight is not None:
         extra = np.where(y == upweight, np.maximum(0, frame["weight"].astype(float).fillna(1).to_numpy() - 1), 0)
         extra = np.floor(extra) if whole else extra
-    return Series(y, n, frame[features].to_numpy(float).reshape(len(frame), -1), state, extra)
+    return Series(y, n, frame[features].to_numpy(float).reshape(len(frame), len(features)), state, extra)
 
 
 def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_features: list[str], end_of_training: int, upweight_pm: int | None = None, upweight_oam: int | None = None, variance: float = 50.0) -> DataFrame:
@@ -397,6 +397,14 @@ def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_fea
     return by_series(rows.select(*names), keys, ["slot", "od"], schema, lambda f: fit(f))
 
 
-def last_states(models: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, slot, m, v, a, r) of each series' last row: what a table keeps, and what `states` of a later run takes."""
-    return models.filter("r is not null").select(*keys, "slot", "m", "v", "a", "r")
+def last_states(models: DataFrame, keys: list[str], states: DataFrame | None = None) -> DataFrame:
+    """(keys, slot, m, v, a, r) of each series' last row: what a table keeps, and what `states` of a later run takes.
+
+    states: those that models went on from; a series without new rows keeps its own.
+    """
+    own = models.filter("r is not null").select(*keys, "slot", "m", "v", "a", "r")
+    if states is None:
+        return own
+    new = own.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = [states[k].eqNullSafe(new[f"_{k}"]) for k in keys]
+    return own.unionByName(states.join(new, same, "left_anti").select(own.columns))
