@@ -168,6 +168,19 @@ def test_empty_slots_only_evolve():
     assert np.allclose(m, 0)
 
 
+def test_matched_betas_solve_their_equations_in_few_steps(monkeypatch):
+    calls, plain = [], dglm.polygammas
+    monkeypatch.setattr(dglm, "polygammas", lambda x: calls.append(x) or plain(x))
+    grid = [(f, q) for f in (0.0, 0.1, 1.0, -3.0, 6.0, -10.0, 20.0, -35.0, 120.0, -400.0) for q in (1e-8, 1e-4, 0.01, 1.0, 3.99, 4.01, 10.0, 100.0, 3000.0, 1e5)]
+    many = dglm.betas_of(*map(np.array, zip(*grid, strict=True)))
+    for i, (f, q) in enumerate(grid):
+        calls.clear()
+        a, b = dglm.beta_of(f, q)
+        assert len(calls) <= 2 * 9 and np.allclose([x[i] for x in many], [a, b], rtol=1e-9, atol=0)
+        (da, ta, _), (db, tb, _) = plain(a), plain(b)
+        assert abs(da - db - f) < 1e-9 and abs((ta + tb) / q - 1) < 1e-9
+
+
 def test_model_resumes_from_its_state():
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(60, 2)), (rng.random(60) < 0.5).astype(float)

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Series that are filtered side by side, and rows that a task collects for them at most, beyond one series.
 TOGETHER, ROWS = 256, 400_000
+#: Log odds beyond this count as this, in the match and in the update alike; alpha and beta stay within a double.
+WIDEST = 500.0
 
 
 def polygammas(x: float) -> tuple[float, float, float]:
@@ -46,11 +48,29 @@ def polygammas(x: float) -> tuple[float, float, float]:
     return d, t, u
 
 
+def _starts(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of alpha and beta that Newton steps begin from.
+
+    With little variance psi(x) is near log x. With much, the smaller of the two has psi'(x) near
+    1 / x^2 and takes most of q; the other follows from psi, which is near log(x - 1/2) or -1 / x.
+    """
+    la, lb = np.log((1 + np.exp(f)) / q), np.log((1 + np.exp(-f)) / q)
+    wide = q > 4
+    if wide.any():
+        least = 1 / np.sqrt(np.maximum(q, 4.0) - 1.5)
+        psi = np.abs(f) + polygammas_of(least)[0]
+        other = np.where(psi > -2.2, np.exp(psi) + 0.5, -1 / np.minimum(psi + 0.5772, -0.1))
+        least, other = np.log(least), np.log(np.maximum(other, least))
+        la = np.where(wide, np.where(f < 0, least, other), la)
+        lb = np.where(wide, np.where(f < 0, other, least), lb)
+    return la, lb
+
+
 def beta_of(f: float, q: float) -> tuple[float, float]:
     """alpha, beta with psi(alpha) - psi(beta) = f and psi'(alpha) + psi'(beta) = q, by Newton steps on logarithms."""
     q = max(q, 1e-10)
-    f = min(40.0, max(-40.0, f))
-    la, lb = math.log((1 + math.exp(f)) / q), math.log((1 + math.exp(-f)) / q)
+    f = min(WIDEST, max(-WIDEST, f))
+    la, lb = (float(x[0]) for x in _starts(np.array([f]), np.array([q])))
     for _ in range(60):
         a, b = math.exp(la), math.exp(lb)
         da, ta, ua = polygammas(a)
@@ -85,8 +105,8 @@ def polygammas_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def betas_of(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """beta_of() of each pair."""
-    q, f = np.maximum(q, 1e-10), np.clip(f, -40.0, 40.0)
-    la, lb = np.log((1 + np.exp(f)) / q), np.log((1 + np.exp(-f)) / q)
+    q, f = np.maximum(q, 1e-10), np.clip(f, -WIDEST, WIDEST)
+    la, lb = _starts(f, q)
     todo = np.arange(len(f))
     for _ in range(60):
         a, b = np.exp(la[todo]), np.exp(lb[todo])
@@ -159,7 +179,7 @@ class State:
 def prior_of(state: State, f_vec: np.ndarray) -> tuple[np.ndarray, float, float, float, float]:
     """RF, f, q, and the alpha and beta that match them."""
     rf = state.r @ f_vec
-    f, q = float(f_vec @ state.a), max(float(f_vec @ rf), 1e-10)
+    f, q = min(WIDEST, max(-WIDEST, float(f_vec @ state.a))), max(float(f_vec @ rf), 1e-10)
     return rf, f, q, *beta_of(f, q)
 
 
@@ -227,7 +247,7 @@ def filtered_together(series: list[Series], design: Design) -> list[tuple[np.nda
     def prior(at: np.ndarray, t: int):
         f_vec = vectors[at, t]
         rf = (r[at] @ f_vec[:, :, None])[:, :, 0]
-        f, q = (f_vec * a[at]).sum(axis=1), np.maximum((f_vec * rf).sum(axis=1), 1e-10)
+        f, q = np.clip((f_vec * a[at]).sum(axis=1), -WIDEST, WIDEST), np.maximum((f_vec * rf).sum(axis=1), 1e-10)
         return rf, f, q, *betas_of(f, q)
 
     def learn(at: np.ndarray, found: tuple, hits: np.ndarray, trials: np.ndarray) -> None:
