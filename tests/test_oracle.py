@@ -43,3 +43,16 @@ def test_prepare_takes_a_session_without_a_time_zone(spark):
     fresh = spark.newSession()
     fresh.conf.unset("spark.sql.session.timeZone")
     assert prepare(fresh).conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_panels_are_not_broadcast_by_estimates(spark, duck):
+    """An estimate takes an exploded panel for its positions' few columns; only sizes measured at run time may decide."""
+    import __spark_entry__
+
+    own = spark.newSession()
+    most = own.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for name in ("kstep_feature_compat", "kstep_feature"):
+        made = __spark_entry__.queries()[name](own, SF)
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+        assert_same(made.toPandas(), duck.sql(mobility.ORACLE[name]).df())
+    assert own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == most
