@@ -108,3 +108,18 @@ def test_calibrate_is_registered_whole(spark, panel, monkeypatch):
     monkeypatch.setattr(models.detection, "calibrated", calibrated)
     assert {r["agent"]: r["tau"] for r in models.calibrate(spark, "").collect()} == {0: -1.0, 1: None, 2: None, 3: None}
     assert asked["repetitions"] == 50 and asked.get("threshold", 0.175) == 0.175 and asked.get("tries", 1000) == 1000
+
+
+def test_asked_rows_are_the_cascade_of_valid_pairs(panel):
+    """Made from moves and pairs, without the cells of pairs that aren't valid; kept steps are compressed tables."""
+    from wayfold.operators import sequence
+
+    end = SETUP.end_of_training
+    asked = counts.onehot_to_cascade(counts.indicator(counts.transitions(panel)))
+    types = sequence.classify_zones(panel.filter(f"slot <= {end}"), ["agent"], SETUP.min_stay)
+    valid = counts.by_zone_type(counts.valid_pairs(asked, end, SETUP.min_taken).filter("valid"), types)
+    wanted = asked.join(valid, ["agent", "origin", "dest"]).select("agent", "origin", "dest", "slot", "y", "rank", "kind")
+    made = detection.kept(detection.asked_rows(panel, SETUP), dealt=True)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, wanted.collect())) and made.count() > 100
+    assert made.columns == wanted.columns and all(f.endswith(".zstd.parquet") for f in made.inputFiles())
+    assert panel.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"

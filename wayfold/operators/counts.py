@@ -111,6 +111,24 @@ def onehot_to_cascade(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_r", chosen).filter(F.col("_r").isNull() | (F.col("rank") <= F.col("_r"))).drop("_r")
 
 
+def asked_cells(moves: DataFrame, end_of_training: int, threshold: int, classified: DataFrame) -> DataFrame:
+    """(agent, origin, dest, slot, y, rank, kind): onehot_to_cascade() of the moves' indicator(), of the valid_pairs() that have a kind only.
+
+    Each move meets its origin's pairs in one row, and only its asked cells are made. All steps are dealt by agent.
+    """
+    taken = F.count_if(F.col("slot") < end_of_training)
+    pairs = moves.groupBy("agent", "origin", "dest").agg(F.min("slot").alias("_first"), taken.alias("n"))
+    rank = F.row_number().over(Window.partitionBy("agent", "origin").orderBy("_first")).cast("long")
+    pairs = pairs.select("agent", "origin", "dest", rank.alias("rank"), (F.col("n") > threshold).alias("valid"))
+    known = by_zone_type(pairs, classified).withColumn("kind", F.when(F.col("valid"), F.col("kind")))
+    origins = known.groupBy("agent", "origin").agg(F.collect_list(F.struct("dest", "rank", "kind")).alias("_all")).filter(F.exists("_all", lambda x: x["kind"].isNotNull()))
+    own = moves.join(origins, ["agent", "origin"])
+    made = F.filter("_all", lambda x: x["dest"] == F.col("dest"))[0]["rank"]
+    own = own.withColumn("_made", made)
+    own = own.select("agent", "origin", F.col("dest").alias("_to"), "slot", F.explode(F.filter("_all", lambda x: x["kind"].isNotNull() & (x["rank"] <= F.col("_made")))).alias("_x"))
+    return own.select("agent", "origin", "_x.dest", "slot", (F.col("_to") == F.col("_x.dest")).cast("int").alias("y"), "_x.rank", "_x.kind")
+
+
 def valid_pairs(cells: DataFrame, end_of_training: int, threshold: int = 10) -> DataFrame:
     """(agent, origin, dest, n, valid): valid if the pair was taken more than threshold times before end_of_training."""
     n = F.coalesce(F.sum(F.when(F.col("slot") < end_of_training, F.col("y"))), F.lit(0))

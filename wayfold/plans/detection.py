@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.numeric import logit
 from wayfold.operators import counts, detect, dglm, inject, kernel, probability, sequence
-from wayfold.session import ensure_checkpoint
+from wayfold.session import kept
 
 FEATURES = ["kernel_prob", "lag1", "lag2", "gate"]
 GROUP_FEATURES = ["x", "crowd", "day", "weekday"]
@@ -48,12 +48,6 @@ def group_cube(panel: DataFrame) -> DataFrame:
     return probability.full_transition(od.withColumn("p", share).select("origin", "dest", "slot", "p"), zones)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder: steps that feed several others run once."""
-    ensure_checkpoint(df.sparkSession)
-    return df.checkpoint()
-
-
 def group_rows(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
     """(origin, dest, rank, slot, y, n, x, crowd, day, weekday): rows of the group model, whose features at a slot know nothing of it.
 
@@ -103,35 +97,32 @@ def forecast_cube(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
     return probability.full_transition(made.unionByName(bare), zones)
 
 
-def asked_rows(panel: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
-    """(rows, cells): valid pairs' asked cells with their kind, and all cells of the indicator."""
-    end, pair = setup.end_of_training, ["agent", "origin", "dest"]
-    cells = kept(counts.indicator(counts.transitions(panel)))
-    asked = counts.onehot_to_cascade(cells)
-    types = sequence.classify_zones(panel.filter(F.col("slot") <= end), ["agent"], setup.min_stay)
-    valid = counts.by_zone_type(counts.valid_pairs(asked, end, setup.min_taken).filter("valid"), types).select(*pair, "kind")
-    return asked.join(valid, pair), cells
+def asked_rows(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
+    """(agent, origin, dest, slot, y, rank, kind): valid pairs' asked cells."""
+    types = sequence.classify_zones(panel.filter(F.col("slot") <= setup.end_of_training), ["agent"], setup.min_stay)
+    return counts.asked_cells(counts.transitions(panel), setup.end_of_training, setup.min_taken, types)
 
 
 def with_empirical(own: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """own with gate and kernel_prob, which know nothing of the slot's answer."""
+    """own with gate and kernel_prob, which know nothing of the slot's answer. Rows are dealt by agent once, for all steps."""
     pair = ["agent", "origin", "dest"]
-    own = kept(own)
+    own = kept(own, dealt=True).repartition("agent")
     stays = sequence.signed_leave_gate(own.filter("kind = 'staying_to_self'").select(*pair, "slot", "y"), ["agent"], setup.decay, setup.gate_threshold)
     before = F.lag("gate").over(Window.partitionBy(*pair).orderBy("slot"))  # the gate of a slot must not know the slot's answer
     made = own.join(stays.select(*pair, "slot", before.alias("gate")), [*pair, "slot"], "left").withColumn("gate", F.coalesce("gate", F.lit(0.0)))
     smooth = kernel.empirical_probability(own.select(*pair, "kind", "slot", "y"), pair, setup.per_day).select(*pair, "slot", F.col("value").alias("kernel_prob"))
-    return kept(made.join(smooth, [*pair, "slot"], "left").withColumn("kernel_prob", F.coalesce("kernel_prob", F.lit(0.5))))
+    return made.join(smooth, [*pair, "slot"], "left").withColumn("kernel_prob", F.coalesce("kernel_prob", F.lit(0.5)))
 
 
 def numbered_rows(own: DataFrame, features: list[str], setup: Setup = Setup()) -> DataFrame:
     """xy_rows() of own's features and their frozen forms pm_...: after training, those of the last training day's slot."""
     end, pair = setup.end_of_training, ["agent", "origin", "dest"]
-    last = own.filter((F.col("slot") > end - setup.per_day) & (F.col("slot") <= end)).select(*pair, F.pmod("slot", F.lit(setup.per_day)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in features])
-    own = own.withColumn("_s", F.pmod("slot", F.lit(setup.per_day))).join(last, [*pair, "_s"], "left")
+    last_day = (F.col("slot") > end - setup.per_day) & (F.col("slot") <= end)
+    same = Window.partitionBy(*pair, "_s")  # a pair has one row a slot
+    own = own.withColumn("_s", F.pmod("slot", F.lit(setup.per_day)))
     default = {"kernel_prob": 0.5, "lag1": 0.5, "lag2": 0.5, "gate": 0.0}
-    for c in features:
-        own = own.withColumn(f"pm_{c}", F.when(F.col("slot") > end, F.coalesce(f"_{c}", F.lit(default[c]))).otherwise(F.col(c)))
+    frozen = {c: F.coalesce(F.max(F.when(last_day, F.col(c))).over(same), F.lit(default[c])) for c in features}
+    own = own.select("*", *(F.when(F.col("slot") > end, x).otherwise(F.col(c)).alias(f"pm_{c}") for c, x in frozen.items()))
     own = own.withColumn("od", F.dense_rank().over(Window.partitionBy("agent", "kind").orderBy("origin", "dest")).cast("long"))
     names = [*features, *(f"pm_{c}" for c in features)]
     return counts.xy_rows(own, [*pair, "kind"], names, [c for c in names if not c.endswith("gate")], setup.max_streak)
@@ -140,11 +131,11 @@ def numbered_rows(own: DataFrame, features: list[str], setup: Setup = Setup()) -
 def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): valid pairs' asked cells with kind, features and their frozen forms; and all cells of the indicator."""
     panel, cube = kept(panel), kept(cube)
-    own, cells = asked_rows(panel, setup)
+    own, cells = asked_rows(panel, setup), counts.indicator(counts.transitions(panel))
     for k, steps in probability.multistep(cube, 2).items():
         own = probability.kstep_feature(own, panel, steps, k)
         own = probability.multinomial_to_cascade(own.withColumnRenamed("feature", f"lag{k}"), ["agent", "origin"], f"lag{k}")
-    return numbered_rows(with_empirical(own, setup), FEATURES, setup), cells
+    return kept(numbered_rows(with_empirical(own, setup), FEATURES, setup), dealt=True), cells
 
 
 def forecasts(rows: DataFrame, setup: Setup = Setup()) -> DataFrame:
@@ -170,7 +161,7 @@ def verdicts(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> DataF
     """(agent, log_l, run_len, accuracy, move_accuracy): the factor at the end of the axis, and path accuracy in the test window."""
     panel, cube = kept(panel), kept(cube)
     rows, cells = model_rows(panel, cube, setup)
-    made = kept(forecasts(rows, setup))
+    made, cells = kept(forecasts(rows, setup)), kept(cells)
     moves = counts.transitions(panel)
     pm, oam = (kept(assembled(cells, made, cube, c)) for c in ("p_pm", "p_oam"))
     factors = detect.cumulative_bayes_factor(detect.step_log_factor(moves, pm, oam, ["agent"]), ["agent"])
