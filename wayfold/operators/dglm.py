@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 
 #: Series that are filtered side by side, and rows that a task collects for them at most, beyond one series.
-TOGETHER, ROWS = 256, 400_000
+TOGETHER, ROWS = 1024, 400_000
 #: Log odds beyond this count as this, in the match and in the update alike; alpha and beta stay within a double.
 WIDEST = 500.0
 
@@ -227,8 +227,11 @@ class Series:
     extra: np.ndarray | None = None
 
 
-def filtered_together(series: list[Series], design: Design) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """filtered() of each series, all at once: at a step, those that are that long. States are left as after the last rows."""
+def filtered_together(series: list[Series], design: Design, path: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """filtered() of each series, all at once: at a step, those that are that long. States are left as after the last rows.
+
+    Without path, means and variances are those after each series' last row only.
+    """
     order = sorted(range(len(series)), key=lambda i: -len(series[i].y))
     longest = [len(series[i].y) for i in order]
     g, scale = design.evolution()
@@ -241,7 +244,7 @@ def filtered_together(series: list[Series], design: Design) -> list[tuple[np.nda
         own, size = series[i], longest[k]
         y[k, :size], n[k, :size], vectors[k, :size] = own.y, own.n, design.vectors(own.x)
         extra[k, :size] = 0 if own.extra is None else own.extra
-    p, m, v = np.empty((len(order), top)), np.empty((len(order), top, design.size)), np.empty((len(order), top, design.size))
+    p, (m, v) = np.empty((len(order), top)), np.empty((2, len(order), top if path else min(top, 1), design.size))
     alive = len(order)
 
     def prior(at: np.ndarray, t: int):
@@ -269,7 +272,8 @@ def filtered_together(series: list[Series], design: Design) -> list[tuple[np.nda
             at = at[extra[at, t] > 0]
             if len(at):
                 learn(at, prior(at, t), extra[at, t] * y[at, t], extra[at, t])
-        m[:alive, t], v[:alive, t] = a[:alive], np.diagonal(r[:alive], axis1=1, axis2=2)
+        at = t if path else 0
+        m[:alive, at], v[:alive, at] = a[:alive], np.diagonal(r[:alive], axis1=1, axis2=2)
         if not still:
             a[:alive] = a[:alive] @ g.T
             r[:alive] = g @ r[:alive] @ g.T / scale
@@ -312,23 +316,24 @@ def by_series(rows: DataFrame, keys: list[str], order: list[str], schema: str, f
 
 def _started(rows: DataFrame, keys: list[str], states: DataFrame | None) -> DataFrame:
     """rows with _a and _r, and first in each series that states(keys, a, r) has, a row without a slot that holds them."""
-    own = rows.withColumns({c: F.lit(None).cast("array<double>") for c in ("_a", "_r")})
     if states is None:
-        return own
+        return rows
+    own = rows.withColumns({c: F.lit(None).cast("array<double>") for c in ("_a", "_r")})
     return own.unionByName(states.select(*keys, F.col("a").alias("_a"), F.col("r").alias("_r")), allowMissingColumns=True)
 
 
 def _opened(frame: pd.DataFrame, size: int, variance: float) -> tuple[pd.DataFrame, State]:
     """A series without its state row, and the state it begins from."""
-    if len(frame) and isinstance(first := frame["_a"].iloc[0], (list, np.ndarray)):
+    if "_a" in frame and len(frame) and isinstance(first := frame["_a"].iloc[0], (list, np.ndarray)):
         return frame.iloc[1:], State(np.array(first, float), np.array(frame["_r"].iloc[0], float).reshape(size, size))
     return frame, State.prior(size, variance)
 
 
 def _closed(frame: pd.DataFrame, m: np.ndarray, v: np.ndarray, state: State) -> pd.DataFrame:
-    """frame with m and v, and at the last row a and r."""
+    """frame with m and v, and at the last row a and r; m and v of one row are the last row's."""
     last = [None] * max(0, len(frame) - 1)
-    return frame.assign(m=list(m), v=list(v), a=[*last, state.a][: len(frame)], r=[*last, state.r.ravel()][: len(frame)]).astype(dict.fromkeys("mvar", object))
+    means = dict(m=list(m), v=list(v)) if len(m) == len(frame) else dict(m=[*last, *m], v=[*last, *v])
+    return frame.assign(**means, a=[*last, state.a][: len(frame)], r=[*last, state.r.ravel()][: len(frame)]).astype(dict.fromkeys("mvar", object))
 
 
 _STATE = "m array<double>, v array<double>, a array<double>, r array<double>"
@@ -357,23 +362,25 @@ def group_models(rows: DataFrame, keys: list[str], features: list[str], per_day:
     return by_series(_started(rows.select(*keys, "slot", "y", "n", *features), keys, states), keys, ["slot"], schema, lambda f: fit(f))
 
 
-def agent_models(rows: DataFrame, keys: list[str], features: list[str], upweight: int | None = None, whole_weights: bool = False, variance: float = 50.0, states: DataFrame | None = None) -> DataFrame:
+def agent_models(rows: DataFrame, keys: list[str], features: list[str], upweight: int | None = None, whole_weights: bool = False, variance: float = 50.0, states: DataFrame | None = None, path: bool = True, bare: bool = False) -> DataFrame:
     """(keys, od, slot, p_hat, y, m, v, a, r): a static sequential logistic model for each key over rows in (slot, od) order.
 
     A row teaches if update is true. upweight names the rare answer: its rows count as weight
     trials (rounded down with whole_weights). a, r and states: as in group_models(); with states, rows
-    are the tail that an earlier run has not seen.
+    are the tail that an earlier run has not seen. Without path, m and v too are null but in last rows; bare: there are none of m, v, a and r.
     """
     design = Design(len(features))
 
     def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
         opened = [_opened(f, design.size, variance) for f in frames]
         series = [_agent_series(frame, features, state, upweight, whole_weights) for frame, state in opened]
-        made = zip(opened, series, filtered_together(series, design), strict=True)
+        made = zip(opened, series, filtered_together(series, design, path and not bare), strict=True)
+        if bare:
+            return [frame[[*keys, "od", "slot"]].assign(p_hat=p, y=own.y) for (frame, _), own, (p, _, _) in made]
         return [_closed(frame[[*keys, "od", "slot"]].assign(p_hat=p, y=own.y), m, v, own.state) for (frame, _), own, (p, m, v) in made]
 
     names = dict.fromkeys([*keys, "od", "slot", "y", "weight", "update", *features])
-    schema = f"{_kinds(rows, keys)}, od long, slot long, p_hat double, y double, {_STATE}"
+    schema = f"{_kinds(rows, keys)}, od long, slot long, p_hat double, y double" + f", {_STATE}" * (not bare)
     return by_series(_started(rows.select(*names), keys, states), keys, ["slot", "od"], schema, lambda f: fit(f))
 
 
@@ -399,10 +406,10 @@ def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_fea
     def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
         after = [(f["slot"] > end_of_training).to_numpy() for f in frames]
         first = [_agent_series(f, pm_features, State.prior(design.size, variance), upweight_pm, False, ~late) for f, late in zip(frames, after, strict=True)]
-        pm = filtered_together(first, design)
+        pm = filtered_together(first, design, path=False)
         tails = [i for i, late in enumerate(after) if late.any()]
         second = [_agent_series(frames[i][after[i]], oam_features, first[i].state, upweight_oam, True, np.ones(int(after[i].sum()), bool)) for i in tails]
-        oam = dict(zip(tails, filtered_together(second, design) if second else [], strict=True))
+        oam = dict(zip(tails, filtered_together(second, design, path=False) if second else [], strict=True))
         out = []
         for i, (frame, (p_pm, m, v)) in enumerate(zip(frames, pm, strict=True)):
             p_oam = p_pm.copy()

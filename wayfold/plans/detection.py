@@ -17,6 +17,8 @@ from wayfold.session import kept
 
 FEATURES = ["kernel_prob", "lag1", "lag2", "gate"]
 GROUP_FEATURES = ["x", "crowd", "day", "weekday"]
+#: Cells of a cube that are sent to all tasks at most (32 bytes each, hashed about three times that); beyond, a shuffle join.
+BROADCAST_CELLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -131,10 +133,14 @@ def numbered_rows(own: DataFrame, features: list[str], setup: Setup = Setup()) -
 def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): valid pairs' asked cells with kind, features and their frozen forms; and all cells of the indicator."""
     panel, cube = kept(panel), kept(cube)
-    own, cells = asked_rows(panel, setup), counts.indicator(counts.transitions(panel))
+    dealt = panel.repartition("agent")  # once, for all steps up to with_empirical()
+    own, cells = asked_rows(dealt, setup), counts.indicator(counts.transitions(panel))
     for k, steps in probability.multistep(cube, 2).items():
-        own = probability.kstep_feature(own, panel, steps, k)
-        own = probability.multinomial_to_cascade(own.withColumnRenamed("feature", f"lag{k}"), ["agent", "origin"], f"lag{k}")
+        steps = kept(steps) if k > 1 else steps
+        steps = F.broadcast(steps) if steps.count() <= BROADCAST_CELLS else steps
+        own = probability.kstep_feature(own, dealt, steps, k).withColumnRenamed("feature", f"lag{k}")
+    for k in (1, 2):
+        own = probability.multinomial_to_cascade(own, ["agent", "origin"], f"lag{k}")
     return kept(numbered_rows(with_empirical(own, setup), FEATURES, setup), dealt=True), cells
 
 
