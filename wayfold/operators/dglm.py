@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 TOGETHER, ROWS = 1024, 400_000
 #: Log odds beyond this count as this, in the match and in the update alike; alpha and beta stay within a double.
 WIDEST = 500.0
+_UP = np.arange(6.0)[:, None]
 
 
 def polygammas(x: float) -> tuple[float, float, float]:
@@ -61,6 +62,7 @@ def _starts(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         psi = np.abs(f) + polygammas_of(least)[0]
         other = np.where(psi > -2.2, np.exp(psi) + 0.5, -1 / np.minimum(psi + 0.5772, -0.1))
         least, other = np.log(least), np.log(np.maximum(other, least))
+        other = np.where(f == 0, least, other)  # even odds stay exactly even
         la = np.where(wide, np.where(f < 0, least, other), la)
         lb = np.where(wide, np.where(f < 0, other, least), lb)
     return la, lb
@@ -90,11 +92,12 @@ def beta_of(f: float, q: float) -> tuple[float, float]:
 
 
 def polygammas_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """polygammas() of each number."""
-    x, (d, t, u) = x.astype(float), np.zeros((3, len(x)))
-    while (low := x < 6).any():
-        r = np.where(low, 1 / x, 0.0)
-        d, t, u, x = d - r, t + r * r, u - 2 * r**3, x + low
+    """polygammas() of each number; all go up by 6, in a few calls for any numbers."""
+    x = x.astype(float)
+    r = 1 / (x + _UP)
+    s = r * r
+    d, t, u = -r.sum(axis=0), s.sum(axis=0), -2 * (s * r).sum(axis=0)
+    x = x + 6
     r = 1 / x
     s = r * r
     d += np.log(x) - 0.5 * r - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
@@ -110,8 +113,7 @@ def betas_of(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     todo = np.arange(len(f))
     for _ in range(60):
         a, b = np.exp(la[todo]), np.exp(lb[todo])
-        da, ta, ua = polygammas_of(a)
-        db, tb, ub = polygammas_of(b)
+        (da, db), (ta, tb), (ua, ub) = (x.reshape(2, -1) for x in polygammas_of(np.concatenate((a, b))))
         r1, r2 = da - db - f[todo], (ta + tb) / q[todo] - 1
         j11, j12, j21, j22 = a * ta, -b * tb, a * ua / q[todo], b * ub / q[todo]
         with np.errstate(all="ignore"):
@@ -255,8 +257,7 @@ def filtered_together(series: list[Series], design: Design, path: bool = True) -
 
     def learn(at: np.ndarray, found: tuple, hits: np.ndarray, trials: np.ndarray) -> None:
         rf, f, q, alpha, beta = found
-        da, ta, _ = polygammas_of(alpha + hits)
-        db, tb, _ = polygammas_of(beta + trials - hits)
+        (da, db), (ta, tb) = (x.reshape(2, -1) for x in polygammas_of(np.concatenate((alpha + hits, beta + trials - hits)))[:2])
         a[at] += rf * ((da - db - f) / q)[:, None]
         r[at] -= rf[:, :, None] * rf[:, None, :] * ((1 - (ta + tb) / q) / q)[:, None, None]
 
@@ -394,14 +395,14 @@ def _agent_series(frame: pd.DataFrame, features: list[str], state: State, upweig
     return Series(y, n, frame[features].to_numpy(float).reshape(len(frame), len(features)), state, extra)
 
 
-def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_features: list[str], end_of_training: int, upweight_pm: int | None = None, upweight_oam: int | None = None, variance: float = 50.0) -> DataFrame:
-    """(keys, od, slot, y, p_pm, p_oam, t): the frozen prior model and the model that keeps learning, for each key.
+def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_features: list[str], end_of_training: int, upweight_pm: int | None = None, upweight_oam: int | None = None, variance: float = 50.0, carried: tuple[str, ...] = (), bare: bool = False) -> DataFrame:
+    """(keys, od, carried, slot, y, p_pm, p_oam, t): the frozen prior model and the model that keeps learning, for each key.
 
     PM learns from rows up to end_of_training, inclusive, and then only forecasts, from its own
     (frozen) features; OAM goes on from PM's state with its features. t is OAM's last mean over
-    its standard deviation.
+    its standard deviation; bare: there is none. carried: columns of rows that go along as they are.
     """
-    design = Design(len(pm_features))
+    design, along = Design(len(pm_features)), ["od", *carried, "slot"]
 
     def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
         after = [(f["slot"] > end_of_training).to_numpy() for f in frames]
@@ -415,12 +416,12 @@ def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_fea
             p_oam = p_pm.copy()
             if i in oam:
                 p_oam[after[i]], m, v = oam[i]
-            last = m[-1] / np.sqrt(np.maximum(v[-1], 1e-300))
-            out.append(frame[[*keys, "od", "slot"]].assign(y=first[i].y, p_pm=p_pm, p_oam=p_oam, t=[last] * len(frame)))
+            own = frame[[*keys, *along]].assign(y=first[i].y, p_pm=p_pm, p_oam=p_oam)
+            out.append(own if bare else own.assign(t=[m[-1] / np.sqrt(np.maximum(v[-1], 1e-300))] * len(frame)))
         return out
 
-    schema = f"{_kinds(rows, keys)}, od long, slot long, y double, p_pm double, p_oam double, t array<double>"
-    names = dict.fromkeys([*keys, "od", "slot", "y", "weight", *pm_features, *oam_features])
+    schema = f"{_kinds(rows, [*keys, *along])}, y double, p_pm double, p_oam double" + ", t array<double>" * (not bare)
+    names = dict.fromkeys([*keys, *along, "y", "weight", *pm_features, *oam_features])
     return by_series(rows.select(*names), keys, ["slot", "od"], schema, lambda f: fit(f))
 
 

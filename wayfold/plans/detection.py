@@ -144,11 +144,10 @@ def model_rows(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> tup
     return kept(numbered_rows(with_empirical(own, setup), FEATURES, setup), dealt=True), cells
 
 
-def forecasts(rows: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """(agent, kind, origin, dest, slot, y, p_pm, p_oam) of every model row."""
-    numbers = rows.select("agent", "kind", "od", "origin", "dest").distinct()
-    made = dglm.oam_and_pm(rows, ["agent", "kind"], [f"pm_{c}" for c in FEATURES], FEATURES, setup.end_of_training)
-    return made.join(numbers, ["agent", "kind", "od"]).drop("od")
+def forecasts(rows: DataFrame, setup: Setup = Setup(), bare: bool = False) -> DataFrame:
+    """(agent, kind, origin, dest, slot, y, p_pm, p_oam, t) of every model row; bare: without t. Models take a row's pair along."""
+    frozen = [f"pm_{c}" for c in FEATURES]
+    return dglm.oam_and_pm(rows, ["agent", "kind"], frozen, FEATURES, setup.end_of_training, carried=("origin", "dest"), bare=bare).drop("od")
 
 
 def assembled(cells: DataFrame, made: DataFrame, cube: DataFrame, column: str) -> DataFrame:
