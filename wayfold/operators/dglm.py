@@ -363,19 +363,23 @@ def group_models(rows: DataFrame, keys: list[str], features: list[str], per_day:
     return by_series(_started(rows.select(*keys, "slot", "y", "n", *features), keys, states), keys, ["slot"], schema, lambda f: fit(f))
 
 
-def agent_models(rows: DataFrame, keys: list[str], features: list[str], upweight: int | None = None, whole_weights: bool = False, variance: float = 50.0, states: DataFrame | None = None, path: bool = True, bare: bool = False) -> DataFrame:
+def agent_models(rows: DataFrame, keys: list[str], features: list[str], upweight: int | None = None, whole_weights: bool = False, variance: float = 50.0, states: DataFrame | None = None, path: bool = True, bare: bool = False, ends: bool = False) -> DataFrame:
     """(keys, od, slot, p_hat, y, m, v, a, r): a static sequential logistic model for each key over rows in (slot, od) order.
 
     A row teaches if update is true. upweight names the rare answer: its rows count as weight
     trials (rounded down with whole_weights). a, r and states: as in group_models(); with states, rows
     are the tail that an earlier run has not seen. Without path, m and v too are null but in last rows; bare: there are none of m, v, a and r.
+    ends: only each series' last row is handed over.
     """
     design = Design(len(features))
 
     def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
         opened = [_opened(f, design.size, variance) for f in frames]
         series = [_agent_series(frame, features, state, upweight, whole_weights) for frame, state in opened]
-        made = zip(opened, series, filtered_together(series, design, path and not bare), strict=True)
+        made = zip(opened, series, filtered_together(series, design, path and not bare and not ends), strict=True)
+        if ends:
+            made = [(f.iloc[-1:], state, own, x) for (f, state), own, x in made]
+            return [_closed(f[[*keys, "od", "slot"]].assign(p_hat=p[-1:], y=own.y[-1:]), m[-1:], v[-1:], own.state) for f, _, own, (p, m, v) in made]
         if bare:
             return [frame[[*keys, "od", "slot"]].assign(p_hat=p, y=own.y) for (frame, _), own, (p, _, _) in made]
         return [_closed(frame[[*keys, "od", "slot"]].assign(p_hat=p, y=own.y), m, v, own.state) for (frame, _), own, (p, m, v) in made]
