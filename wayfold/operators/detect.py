@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.numeric import ratio
@@ -19,9 +19,13 @@ def step_log_factor(moves: DataFrame, p_null: DataFrame, p_open: DataFrame, keys
     for table, name in ((p_null, "_n"), (p_open, "_o")):
         on = [c for c in names if c in table.columns]
         own = own.join(table.select(*on, F.col("p").alias(name)), on, "left")
-    h = F.ln(F.greatest("_n", F.lit(floor))) - F.ln(F.greatest("_o", F.lit(floor)))
-    known = F.col("_n").isNotNull() & F.col("_o").isNotNull()
-    return own.select(*keys, "slot", F.when(known, h).otherwise(0.0).alias("h"))
+    return own.select(*keys, "slot", log_factor(F.col("_n"), F.col("_o"), floor).alias("h"))
+
+
+def log_factor(null: Column, open_: Column, floor: float = 1e-12) -> Column:
+    """ln null - ln open_, both floor at least; 0 where either is missing."""
+    h = F.ln(F.greatest(null, F.lit(floor))) - F.ln(F.greatest(open_, F.lit(floor)))
+    return F.when(null.isNotNull() & open_.isNotNull(), h).otherwise(0.0)
 
 
 def cumulative_bayes_factor(steps: DataFrame, keys: list[str]) -> DataFrame:

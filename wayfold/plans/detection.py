@@ -162,16 +162,49 @@ def assembled(cells: DataFrame, made: DataFrame, cube: DataFrame, column: str) -
     return probability.append_unmodelled(whole, cells.select(*pair, "slot"), cube, ["agent"], 1 << 30)
 
 
+def by_move(cells: DataFrame, made: DataFrame, cube: DataFrame, first_slot: int) -> DataFrame:
+    """(agent, origin, slot, p_pm, p_oam, real_dest, best): what verdicts take of both assembled() tables, a row a move.
+
+    p_pm and p_oam are those of the move made; best (dest, p) is p_oam's likeliest destination from
+    first_slot on, ties to the smaller number. Cells are dealt by agent and sorted once by pair and
+    once by origin and slot; there is no table of all cells.
+    """
+    pair, here, names = ["agent", "origin", "dest"], ["agent", "origin", "slot"], ["p_pm", "p_oam"]
+    known = made.select(*pair, "slot", *names, F.lit(True).alias("_in")).repartition("agent")
+    by_pair = Window.partitionBy(*pair).orderBy("slot")
+    up_to, whole = by_pair.rowsBetween(Window.unboundedPreceding, 0), by_pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = cells.join(known, [*pair, "slot"], "left")
+    own = own.select(*pair, "slot", "y", "rank", *(F.last(c, ignorenulls=True).over(up_to).alias(c) for c in names), F.coalesce(F.max("_in").over(whole), F.lit(False)).alias("_in"))
+    ranked = Window.partitionBy(*here).orderBy("rank")
+    before, all_ = ranked.rowsBetween(Window.unboundedPreceding, -1), ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    modelled = F.col("_in")
+    for c in names:
+        left = F.coalesce(F.product(F.when(modelled, 1 - F.col(c))).over(before), F.lit(1.0))
+        unknown = F.coalesce(F.max(modelled & F.col(c).isNull()).over(before), F.lit(False))
+        own = own.withColumn(f"_k_{c}", left).withColumn(f"_x_{c}", unknown)
+    own = own.withColumns({c: F.when(modelled & ~F.col(f"_x_{c}"), F.col(c) * F.col(f"_k_{c}")) for c in names})
+    own = own.withColumn("_all", F.count_if(modelled).over(all_)).withColumn("_rare", F.count_if(~modelled).over(all_))
+    own = own.withColumns({f"_{f}_{c}": x.over(all_) for c in names for f, x in (("sum", F.sum(c)), ("have", F.count(c)))})
+    group = cube.select("origin", "dest", "slot", F.col("p").alias("_p"))
+    group = F.broadcast(group) if group.count() <= BROADCAST_CELLS else group
+    own = own.join(group, ["origin", "dest", "slot"], "left")
+    for c in names:
+        rest = F.when(F.col(f"_have_{c}") == F.col("_all"), (1 - F.col(f"_sum_{c}")) / F.col("_rare"))
+        own = own.withColumn(c, F.when(modelled, F.col(c)).when(F.col("_all") > 0, rest).otherwise(F.col("_p")))
+    taken = F.col("y") == 1
+    best = F.max_by(F.struct("dest", F.col("p_oam").alias("p")), F.when((F.col("slot") >= first_slot) & F.col("p_oam").isNotNull(), F.struct(F.col("p_oam"), (-F.col("dest")).alias("_d"))))
+    return own.groupBy(*here).agg(*(F.max(F.when(taken, F.col(c))).alias(c) for c in names), F.max(F.when(taken, F.col("dest"))).alias("real_dest"), best.alias("best"))
+
+
 def verdicts(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> DataFrame:
     """(agent, log_l, run_len, accuracy, move_accuracy): the factor at the end of the axis, and path accuracy in the test window."""
     panel, cube = kept(panel), kept(cube)
     rows, cells = model_rows(panel, cube, setup)
-    made, cells = kept(forecasts(rows, setup)), kept(cells)
-    moves = counts.transitions(panel)
-    pm, oam = (kept(assembled(cells, made, cube, c)) for c in ("p_pm", "p_oam"))
-    factors = detect.cumulative_bayes_factor(detect.step_log_factor(moves, pm, oam, ["agent"]), ["agent"])
+    moves = kept(by_move(cells, forecasts(rows, setup, bare=True), cube, setup.end_of_training + 1), dealt=True)
+    steps = moves.select("agent", "slot", detect.log_factor(F.col("p_pm"), F.col("p_oam")).alias("h"))
+    factors = detect.cumulative_bayes_factor(steps, ["agent"])
     last = factors.groupBy("agent").agg(F.max_by(F.struct("log_l", "run_len"), F.col("slot")).alias("_l")).select("agent", "_l.log_l", "_l.run_len")
-    best = detect.argmax_destination(oam, moves, ["agent"], setup.end_of_training + 1)
+    best = moves.filter("best is not null").select("agent", "origin", "best.dest", "real_dest")
     return last.join(detect.accuracies(best, ["agent"]).select("agent", "accuracy", "move_accuracy"), "agent", "left")
 
 
