@@ -15,6 +15,7 @@ comes with that row; given to a later run, it goes on as if there had been one.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -68,6 +69,33 @@ def _starts(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return la, lb
 
 
+#: Grid of |f| and log q that solutions are tabled on: the step, the largest |f|, the least and largest log q.
+_STEP, _FAR, _LOW, _HIGH = 0.1, 20.0, -14.0, 9.0
+
+
+@functools.cache
+def _solved() -> np.ndarray:
+    """(2, |f|, log q): logarithms of alpha and beta on the grid."""
+    f, q = np.meshgrid(np.arange(0, _FAR + 2 * _STEP, _STEP), np.exp(np.arange(_LOW, _HIGH + 2 * _STEP, _STEP)), indexing="ij")
+    return np.log(np.stack(_newton(f.ravel(), q.ravel(), *_starts(f.ravel(), q.ravel())))).reshape(2, *f.shape)
+
+
+def _near(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_starts() that lie within some 1e-3 of the solution: between those of the grid, where it reaches."""
+    table, u, v = _solved(), np.abs(f) / _STEP, (np.log(q) - _LOW) / _STEP
+    inside = (u < _FAR / _STEP) & (v >= 0) & (v < (_HIGH - _LOW) / _STEP)
+    u, v = np.where(inside, u, 0.0), np.where(inside, v, 0.0)
+    i, j = u.astype(int), v.astype(int)
+    u, v = u - i, v - j
+    flat, at = table.reshape(2, -1), i * table.shape[2] + j
+    low, high = ((1 - v) * flat[:, k] + v * flat[:, k + 1] for k in (at, at + table.shape[2]))
+    own = (1 - u) * low + u * high
+    la, lb = np.where(f < 0, own[::-1], own)
+    if not inside.all():
+        la[~inside], lb[~inside] = _starts(f[~inside], q[~inside])
+    return la, lb
+
+
 def beta_of(f: float, q: float) -> tuple[float, float]:
     """alpha, beta with psi(alpha) - psi(beta) = f and psi'(alpha) + psi'(beta) = q, by Newton steps on logarithms."""
     q = max(q, 1e-10)
@@ -109,7 +137,11 @@ def polygammas_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def betas_of(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """beta_of() of each pair."""
     q, f = np.maximum(q, 1e-10), np.clip(f, -WIDEST, WIDEST)
-    la, lb = _starts(f, q)
+    return _newton(f, q, *_near(f, q))
+
+
+def _newton(f: np.ndarray, q: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Newton steps from la and lb until what is left is under 1e-10, or the step, whose square is what it leaves, under 1e-6."""
     todo = np.arange(len(f))
     for _ in range(60):
         a, b = np.exp(la[todo]), np.exp(lb[todo])
@@ -126,6 +158,9 @@ def betas_of(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = np.maximum(1.0, np.maximum(np.abs(step_a), np.abs(step_b)))
         la[todo] -= step_a / most
         lb[todo] -= step_b / most
+        todo = todo[(np.abs(step_a) >= 1e-6) | (np.abs(step_b) >= 1e-6)]
+        if not len(todo):
+            break
     return np.exp(la), np.exp(lb)
 
 
@@ -257,6 +292,11 @@ def filtered_together(series: list[Series], design: Design, path: bool = True) -
 
     def learn(at: np.ndarray, found: tuple, hits: np.ndarray, trials: np.ndarray) -> None:
         rf, f, q, alpha, beta = found
+        if ((trials == 1) & ((hits == 0) | (hits == 1))).all():  # psi and psi' of x + 1 are those of x with 1 / x and - 1 / x^2
+            step = np.where(hits == 1, 1 / alpha, -1 / beta)
+            a[at] += rf * (step / q)[:, None]
+            r[at] -= rf[:, :, None] * rf[:, None, :] * ((step / q) ** 2)[:, None, None]
+            return
         (da, db), (ta, tb) = (x.reshape(2, -1) for x in polygammas_of(np.concatenate((alpha + hits, beta + trials - hits)))[:2])
         a[at] += rf * ((da - db - f) / q)[:, None]
         r[at] -= rf[:, :, None] * rf[:, None, :] * ((1 - (ta + tb) / q) / q)[:, None, None]
@@ -291,8 +331,11 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{c} {types[c]}" for c in names)
 
 
-def by_series(rows: DataFrame, keys: list[str], order: list[str], schema: str, fit: Callable[[list[pd.DataFrame]], list[pd.DataFrame]]) -> DataFrame:
-    """fit() over lists of whole series, each a frame of rows with equal keys in order; nulls are a key and come first in order."""
+def by_series(rows: DataFrame, keys: list[str], order: list[str], schema: str, fit: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], tasks: int | None = None) -> DataFrame:
+    """fit() over lists of whole series, each a frame of rows with equal keys in order; nulls are a key and come first in order.
+
+    tasks: so many, for series of few bytes and much work.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail, ready, size = None, [], 0
@@ -312,7 +355,7 @@ def by_series(rows: DataFrame, keys: list[str], order: list[str], schema: str, f
         if tail is not None:
             yield pd.concat(fit([*ready, tail]), ignore_index=True)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return rows.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def _started(rows: DataFrame, keys: list[str], states: DataFrame | None) -> DataFrame:

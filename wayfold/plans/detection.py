@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.numeric import logit
 from wayfold.operators import counts, detect, dglm, inject, kernel, probability, sequence
+from wayfold.operators import repetitions as runs
 from wayfold.session import kept
 
 FEATURES = ["kernel_prob", "lag1", "lag2", "gate"]
@@ -211,10 +214,49 @@ def verdicts(panel: DataFrame, cube: DataFrame, setup: Setup = Setup()) -> DataF
 def calibrated(panel: DataFrame, cube: DataFrame, setup: Setup = Setup(), repetitions: int = 50, max_fpr: float = 0.1, seed: int = 0, **injection) -> tuple[DataFrame, DataFrame]:
     """(scores, thresholds): regular and injected verdicts of each repetition, and each agent's threshold of most recall.
 
-    Repetitions but the first swap validation days with earlier ones. The (agent, repetition,
-    injected) runs are agents of one panel, so all go through verdicts() together. A repetition
-    whose injection fails has no scores.
+    Repetitions but the first swap validation days with earlier ones. A repetition whose injection
+    fails has no scores. Each agent's repetitions are made where its panel is; by_verdicts() serves
+    what that does not take: cubes of many cells, days with gaps, other options of the injection.
     """
+    panel, cube = kept(panel), kept(cube)
+    plain = set(injection) <= {"threshold", "tries", "min_stay", "max_shift"} and setup.slots % setup.per_day == 0 and setup.max_streak >= setup.slots
+    plain = plain and cube.count() <= BROADCAST_CELLS and not _uneven(panel, setup)
+    scores = kept((by_agent if plain else by_verdicts)(panel, cube, setup, repetitions, seed, **injection))
+    curves = detect.threshold_curves(scores.select("agent", "score", "positive"), ["agent"])
+    return scores, detect.threshold_by_recall(curves, ["agent"], max_fpr)
+
+
+def _uneven(panel: DataFrame, setup: Setup) -> bool:
+    """Whether the panel has nulls, slots beside the axis, or a day without some slot after its first."""
+    day = F.floor(F.col("slot") / setup.per_day).cast("long")
+    days = panel.groupBy("agent", day.alias("day")).agg(F.min("slot").alias("_a"), F.max("slot").alias("_b"), F.count(F.lit(1)).alias("_n"), F.count("zone").alias("_z"))
+    whole = (F.col("_b") % setup.per_day == setup.per_day - 1) & (F.col("_b") - F.col("_a") + 1 == F.col("_n")) & (F.col("_z") == F.col("_n")) & (F.col("_a") >= 0) & (F.col("_b") < setup.slots)
+    return not days.filter(~F.coalesce(whole & F.col("agent").isNotNull(), F.lit(False))).isEmpty()
+
+
+def by_agent(panel: DataFrame, cube: DataFrame, setup: Setup, repetitions: int, seed: int, **injection) -> DataFrame:
+    """by_verdicts() with all repetitions of an agent made in one task, which gets its zones and the cube's cells (BROADCAST_CELLS at most)."""
+    cells = cube.select("origin", "dest", "slot", "p").toArrow().to_pandas()
+    zones = np.unique(np.concatenate((cells["origin"], cells["dest"], [r["zone"] for r in panel.select("zone").distinct().collect()])))
+    table = np.full((setup.slots, len(zones), len(zones)), np.nan)
+    cells = cells[(cells["slot"] >= 0) & (cells["slot"] < setup.slots)]
+    table[cells["slot"], np.searchsorted(zones, cells["origin"]), np.searchsorted(zones, cells["dest"])] = cells["p"]
+    how = runs.Injection(**injection)
+
+    def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        own = np.full((len(frames), setup.slots), -1, np.int16)
+        for i, frame in enumerate(frames):
+            own[i, frame["slot"]] = np.searchsorted(zones, frame["zone"])
+        made = runs.scores([int(f["agent"].iloc[0]) for f in frames], own, table, setup, how, repetitions, seed)
+        return [pd.DataFrame(made, columns=["agent", "rep", "positive", "score"])]
+
+    context = panel.sparkSession.sparkContext
+    tasks = max(4 * context.defaultParallelism, int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dglm.by_series(panel.select("agent", "slot", "zone"), ["agent"], ["slot"], "agent long, rep long, positive boolean, score double", lambda f: fit(f), tasks)
+
+
+def by_verdicts(panel: DataFrame, cube: DataFrame, setup: Setup, repetitions: int, seed: int, **injection) -> DataFrame:
+    """(agent, rep, positive, score): the (agent, repetition, injected) runs are agents of one panel, so all go through verdicts() together."""
     window = setup.test_days * setup.per_day
     first, last = setup.slots - window, setup.slots
     numbered = panel.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
@@ -226,10 +268,7 @@ def calibrated(panel: DataFrame, cube: DataFrame, setup: Setup = Setup(), repeti
     both = regular.withColumn("kind", F.lit(0)).unionByName(changed.withColumn("kind", F.lit(1))).join(good, keys, "left_semi")
     number = (F.col("agent") * repetitions + F.col("rep")) * 2 + F.col("kind")
     made = verdicts(kept(both.select(number.alias("agent"), "slot", "zone")), cube, setup)
-    scores = made.select(F.floor(F.col("agent") / (2 * repetitions)).cast("long").alias("agent"), F.pmod(F.floor(F.col("agent") / 2), F.lit(repetitions)).cast("long").alias("rep"), (F.pmod("agent", F.lit(2)) == 1).alias("positive"), F.col("log_l").alias("score"))
-    scores = kept(scores)
-    curves = detect.threshold_curves(scores.select("agent", "score", "positive"), ["agent"])
-    return scores, detect.threshold_by_recall(curves, ["agent"], max_fpr)
+    return made.select(F.floor(F.col("agent") / (2 * repetitions)).cast("long").alias("agent"), F.pmod(F.floor(F.col("agent") / 2), F.lit(repetitions)).cast("long").alias("rep"), (F.pmod("agent", F.lit(2)) == 1).alias("positive"), F.col("log_l").alias("score"))
 
 
 def result_table(made: DataFrame, thresholds: DataFrame) -> DataFrame:
