@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,15 @@ def test_matches_by_table_are_solutions():
     assert np.allclose(da - db, f, rtol=1e-9, atol=2e-9) and np.allclose((ta + tb) / q, 1, atol=1e-7)
     far = dglm._newton(f, q, *dglm._starts(f, q))
     assert np.allclose(np.log(far[0]), np.log(alpha), atol=1e-6) and np.allclose(np.log(far[1]), np.log(beta), atol=1e-6)
+
+
+def test_models_hand_over_few_rows_at_once():
+    """However many rows a task filters together, what it hands over at once is few; all rows are there, in order."""
+
+    class Rows:
+        repartition = sortWithinPartitions = lambda self, *_: self
+        mapInPandas = lambda self, run, _: run
+
+    frame = pd.DataFrame({"k": np.repeat(np.arange(300), 200), "slot": np.tile(np.arange(200), 300)})
+    made = list(dglm.by_series(Rows(), ["k"], ["slot"], "", lambda frames: (f for f in frames))(iter([frame])))
+    assert max(map(len, made)) <= dglm.HANDED + 200 < 30_000 and pd.concat(made, ignore_index=True).equals(frame)

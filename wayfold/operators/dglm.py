@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Series that are filtered side by side, and rows that a task collects for them at most, beyond one series.
-TOGETHER, ROWS = 1024, 400_000
+#: Series that are filtered side by side, rows that a task collects for them at most, beyond one series, and rows that it hands over at once.
+TOGETHER, ROWS, HANDED = 1024, 200_000, 20_000
 #: Log odds beyond this count as this, in the match and in the update alike; alpha and beta stay within a double.
 WIDEST = 500.0
 _UP = np.arange(6.0)[:, None]
@@ -331,12 +331,24 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{c} {types[c]}" for c in names)
 
 
-def by_series(rows: DataFrame, keys: list[str], order: list[str], schema: str, fit: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], tasks: int | None = None) -> DataFrame:
+def by_series(rows: DataFrame, keys: list[str], order: list[str], schema: str, fit: Callable[[list[pd.DataFrame]], Iterable[pd.DataFrame]], tasks: int | None = None) -> DataFrame:
     """fit() over lists of whole series, each a frame of rows with equal keys in order; nulls are a key and come first in order.
 
-    tasks: so many, for series of few bytes and much work.
+    What fit gives is handed over as it comes, some HANDED rows at once: Python and the JVM hold a
+    whole batch each. tasks: so many, for series of few bytes and much work.
     """
 
+    def handed(made: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, size = [], 0
+        for frame in made:
+            part.append(frame)
+            size += len(frame)
+            if size >= HANDED:
+                yield pd.concat(part, ignore_index=True)
+                part, size = [], 0
+        if part:
+            yield pd.concat(part, ignore_index=True)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail, ready, size = None, [], 0
         for frame in frames:
@@ -350,10 +362,10 @@ def by_series(rows: DataFrame, keys: list[str], order: list[str], schema: str, f
                 ready.append(frame.iloc[part])
                 size += len(part)
                 if len(ready) >= TOGETHER or size >= ROWS:
-                    yield pd.concat(fit(ready), ignore_index=True)
+                    yield from handed(fit(ready))
                     ready, size = [], 0
         if tail is not None:
-            yield pd.concat(fit([*ready, tail]), ignore_index=True)
+            yield from handed(fit([*ready, tail]))
 
     return rows.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -451,21 +463,19 @@ def oam_and_pm(rows: DataFrame, keys: list[str], pm_features: list[str], oam_fea
     """
     design, along = Design(len(pm_features)), ["od", *carried, "slot"]
 
-    def fit(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
+    def fit(frames: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         after = [(f["slot"] > end_of_training).to_numpy() for f in frames]
         first = [_agent_series(f, pm_features, State.prior(design.size, variance), upweight_pm, False, ~late) for f, late in zip(frames, after, strict=True)]
         pm = filtered_together(first, design, path=False)
         tails = [i for i, late in enumerate(after) if late.any()]
         second = [_agent_series(frames[i][after[i]], oam_features, first[i].state, upweight_oam, True, np.ones(int(after[i].sum()), bool)) for i in tails]
         oam = dict(zip(tails, filtered_together(second, design, path=False) if second else [], strict=True))
-        out = []
         for i, (frame, (p_pm, m, v)) in enumerate(zip(frames, pm, strict=True)):
             p_oam = p_pm.copy()
             if i in oam:
                 p_oam[after[i]], m, v = oam[i]
             own = frame[[*keys, *along]].assign(y=first[i].y, p_pm=p_pm, p_oam=p_oam)
-            out.append(own if bare else own.assign(t=[m[-1] / np.sqrt(np.maximum(v[-1], 1e-300))] * len(frame)))
-        return out
+            yield own if bare else own.assign(t=[m[-1] / np.sqrt(np.maximum(v[-1], 1e-300))] * len(frame))
 
     schema = f"{_kinds(rows, [*keys, *along])}, y double, p_pm double, p_oam double" + ", t array<double>" * (not bare)
     names = dict.fromkeys([*keys, *along, "y", "weight", *pm_features, *oam_features])
