@@ -79,3 +79,25 @@ def test_models_hand_over_few_rows_at_once():
     frame = pd.DataFrame({"k": np.repeat(np.arange(300), 200), "slot": np.tile(np.arange(200), 300)})
     made = list(dglm.by_series(Rows(), ["k"], ["slot"], "", lambda frames: (f for f in frames))(iter([frame])))
     assert max(map(len, made)) <= dglm.HANDED + 200 < 30_000 and pd.concat(made, ignore_index=True).equals(frame)
+
+
+def test_draws_of_injected_days_are_made_together(monkeypatch):
+    """However many repetitions are injected, their draws take as many calls as for one; training's rows are made for one of both runs."""
+    rng = np.random.default_rng(1)
+    zones = np.repeat((rng.integers(0, 3, (6, 12, 1)) + [0, 1, 2]) % 3, [3, 1, 4], axis=2).reshape(6, 96).astype(np.int16)  # a stay, a passage, a stay
+    calls, rows, draws, made = [], [], repetitions.draws, getattr(repetitions.Factors, "_rows", None)
+    monkeypatch.setattr(repetitions, "draws", lambda m: calls.append(len(m)) or draws(m))
+    monkeypatch.setattr(repetitions.Factors, "_rows", lambda self, z: rows.append((len(z), made(self, z))) or rows[-1][1], raising=False)
+    out = repetitions.scores(list(range(6)), zones, np.full((96, 3, 3), 1 / 3), SETUP, repetitions.Injection(**(HOW | {"threshold": 0.03})), 4, 7)
+    assert len(out) > 20 and len(calls) < 80 < sum(calls)
+    for count, own in rows:
+        assert len(own["series"]) and own["series"].max() < 3 * (count // 2) < own["late_series"].max()
+
+
+def test_corrected_steps_are_solutions():
+    rng = np.random.default_rng(4)
+    f, q = np.clip(rng.normal(size=4000) * rng.choice([0.1, 3, 15, 200], 4000), -dglm.WIDEST, dglm.WIDEST), np.exp(rng.uniform(-22, 11, 4000))
+    for own, far in zip(repetitions._betas(f, q), dglm._newton(f, q, *dglm._starts(f, q)), strict=True):
+        assert np.allclose(np.log(own), np.log(far), atol=1e-7)
+    alpha, beta = repetitions._betas(np.zeros(300), np.exp(np.linspace(-13, 9, 300)))
+    assert (alpha == beta).all()

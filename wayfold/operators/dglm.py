@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 TOGETHER, ROWS, HANDED = 1024, 200_000, 20_000
 #: Log odds beyond this count as this, in the match and in the update alike; alpha and beta stay within a double.
 WIDEST = 500.0
-_UP = np.arange(6.0)[:, None]
 
 
 def polygammas(x: float) -> tuple[float, float, float]:
@@ -70,14 +69,15 @@ def _starts(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Grid of |f| and log q that solutions are tabled on: the step, the largest |f|, the least and largest log q.
-_STEP, _FAR, _LOW, _HIGH = 0.1, 20.0, -14.0, 9.0
+_STEP, _FAR, _LOW, _HIGH = 0.05, 60.0, -14.0, 10.0
 
 
 @functools.cache
 def _solved() -> np.ndarray:
-    """(2, |f|, log q): logarithms of alpha and beta on the grid."""
+    """(|f|, log q): logarithms of alpha, and of beta as the imaginary part, on the grid."""
     f, q = np.meshgrid(np.arange(0, _FAR + 2 * _STEP, _STEP), np.exp(np.arange(_LOW, _HIGH + 2 * _STEP, _STEP)), indexing="ij")
-    return np.log(np.stack(_newton(f.ravel(), q.ravel(), *_starts(f.ravel(), q.ravel())))).reshape(2, *f.shape)
+    alpha, beta = _newton(f.ravel(), q.ravel(), *_starts(f.ravel(), q.ravel()))
+    return (np.log(alpha) + 1j * np.log(beta)).reshape(f.shape)
 
 
 def _near(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +87,11 @@ def _near(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, v = np.where(inside, u, 0.0), np.where(inside, v, 0.0)
     i, j = u.astype(int), v.astype(int)
     u, v = u - i, v - j
-    flat, at = table.reshape(2, -1), i * table.shape[2] + j
-    low, high = ((1 - v) * flat[:, k] + v * flat[:, k + 1] for k in (at, at + table.shape[2]))
+    flat, at = table.ravel(), i * table.shape[1] + j
+    low, high = ((1 - v) * flat.take(k) + v * flat.take(k + 1) for k in (at, at + table.shape[1]))
     own = (1 - u) * low + u * high
-    la, lb = np.where(f < 0, own[::-1], own)
+    less = f < 0
+    la, lb = np.where(less, own.imag, own.real), np.where(less, own.real, own.imag)
     if not inside.all():
         la[~inside], lb[~inside] = _starts(f[~inside], q[~inside])
     return la, lb
@@ -122,12 +123,19 @@ def beta_of(f: float, q: float) -> tuple[float, float]:
 def polygammas_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """polygammas() of each number; all go up by 6, in a few calls for any numbers."""
     x = x.astype(float)
-    r = 1 / (x + _UP)
-    s = r * r
-    d, t, u = -r.sum(axis=0), s.sum(axis=0), -2 * (s * r).sum(axis=0)
-    x = x + 6
-    r = 1 / x
-    s = r * r
+    d, t, u = np.zeros((3, len(x)))
+    r, s = np.empty((2, len(x)))
+    for _ in range(6):
+        np.divide(1.0, x, out=r)
+        d -= r
+        np.multiply(r, r, out=s)
+        t += s
+        s *= r
+        u += s
+        x += 1
+    u *= -2
+    np.divide(1.0, x, out=r)
+    np.multiply(r, r, out=s)
     d += np.log(x) - 0.5 * r - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
     t += r + s / 2 + s * r * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s * (1 / 30 - s * 5 / 66))))
     u += -s - s * r - s * s * (0.5 - s * (1 / 6 - s * (1 / 6 - s * 0.3)))

@@ -17,8 +17,8 @@ import numpy as np
 from wayfold.operators import dglm
 from wayfold.operators.kernel import offsets
 
-#: Repetitions whose runs are filtered side by side, candidates that are drawn at once, and messages that are hashed at once.
-TOGETHER, DRAWN, HASHED = 512, 200_000, 4096
+#: Repetitions whose runs are filtered side by side, and whose rows are made together; candidates that are drawn at once, and messages that are hashed at once.
+TOGETHER, PART, DRAWN, HASHED = 2048, 128, 200_000, 4096
 
 _TURNS = [((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4] for i in range(64)]
 _SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32) & 0xFFFFFFFF) for i in range(64)]
@@ -196,18 +196,19 @@ def searched(choices: Choices, agent: np.ndarray, source: np.ndarray, prefix: np
     return success, attempt
 
 
-def injected_days(choices: Choices, agent: int, source: np.ndarray, prefix: bytes, attempt: int, first_day: int) -> np.ndarray:
-    """The window's days (days, per_day) of one key after its attempt."""
-    out = choices.days[agent, source].copy()
-    for w, b in enumerate(source):
-        n = choices.number[agent, b]
-        if n:
-            x = draws(np.array([prefix + f"{attempt}|{first_day + w}|{c}".encode() for c in (1, 2, 3)]))
-            at = choices.first[agent, b] + int(x[0] * n)
-            early = int(x[1] < 0.5)
-            most = int(choices.most[at, early])
-            low = 1 if early else math.floor(most * 0.7)
-            out[w] = moved(out[w], choices.all[at], bool(early), low + math.floor(x[2] * (most - low + 1)))
+def injected_days(choices: Choices, agent: np.ndarray, source: np.ndarray, prefix: np.ndarray, attempt: np.ndarray, first_day: int) -> np.ndarray:
+    """The window's days (keys, days, per_day) of each key after its attempt."""
+    out = choices.days[agent[:, None], source]
+    k, w = np.nonzero(choices.number[agent[:, None], source])
+    b = source[k, w]
+    n, own = choices.number[agent[k], b], np.strings.add(prefix[k], np.array([f"{i}|".encode() for i in range(choices.how.tries)])[attempt[k]])
+    x = [draws(np.strings.add(own, np.array([f"{first_day + i}|{c}".encode() for i in range(source.shape[1])])[w])) for c in (1, 2, 3)]
+    at, early = choices.first[agent[k], b] + np.floor(x[0] * n).astype(int), (x[1] < 0.5).astype(int)
+    most = choices.most[at, early]
+    low = np.where(early == 1, 1, np.floor(most * 0.7)).astype(int)
+    shift = low + np.floor(x[2] * (most - low + 1)).astype(int)
+    for i, j, choice, side, d in zip(k.tolist(), w.tolist(), at.tolist(), early.tolist(), shift.tolist(), strict=True):
+        out[i, j] = moved(out[i, j], choices.all[choice], bool(side), d)
     return out
 
 
@@ -217,210 +218,362 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 class Factors:
-    """The factor at the end of the axis of many runs, over the group's cube (slot, origin, dest) with NaN where it has no cell."""
+    """The factor at the end of the axis of many runs, over the group's cube (slot, origin, dest) with NaN where it has no cell.
+
+    Rows are made for PART repetitions at once, whose arrays stay in the processor's cache, and filtered for all of them
+    together. What an injection after training leaves as it was, the rows of training, is made once.
+    """
 
     def __init__(self, cube: np.ndarray, setup, variance: float = 50.0):
-        self.setup, self.design, self.variance = setup, dglm.Design(4), variance
+        self.setup, self.size, self.variance = setup, 5, variance
         one = np.nan_to_num(cube)
-        self.one, self.two = one, np.zeros_like(one)
-        self.two[1:] = one[:-1] @ one[1:]  # at a slot: the moves into the one before it and into it
-        self.zones = cube.shape[1]
+        two = np.zeros_like(one)
+        two[1:] = one[:-1] @ one[1:]  # at a slot: the moves into the one before it and into it
+        self.cubes, self.zones = (one.ravel(), two.ravel()), cube.shape[1]
 
     def of(self, runs: np.ndarray) -> np.ndarray:
         """log_l of each run's zones (runs, slots), -1 where there is none; NaN without a move. The later half are the runs that the first half become by an injection after training."""
-        setup, n = self.setup, self.zones
-        end, (count, slots) = setup.end_of_training, runs.shape
-        z = runs.astype(int)
-        rows, every = np.arange(count), np.arange(n)
+        half, out = len(runs) // 2, np.empty(len(runs))
+        cuts = [(at, min(at + PART, half)) for at in range(0, half, PART)]
+        parts = [self._rows(np.concatenate((runs[a:b], runs[half + a : half + b]))) for a, b in cuts]
+        self._forecasts(parts)
+        made, at = self._ends(parts), 0
+        for a, b in cuts:
+            out[a:b], out[half + a : half + b] = made[at : at + b - a], made[at + b - a : at + 2 * (b - a)]
+            at += 2 * (b - a)
+        return out
+
+    def _rows(self, z: np.ndarray) -> dict:
+        """Asked cells of some runs, those of training for the first half only: by run, slot and destination, with features."""
+        setup, n, z = self.setup, self.zones, z.astype(np.int32)
+        end, (count, slots) = setup.end_of_training, z.shape
+        half = count // 2
         here = z >= 0
-        filled = np.maximum.accumulate(np.where(here, np.arange(slots), -1), axis=1)
-        origin = np.full((count, slots), -1)
+        filled = np.maximum.accumulate(np.where(here, np.arange(slots, dtype=np.int32), -1), axis=1)
+        origin = np.full((count, slots), -1, np.int32)
         origin[:, 1:] = np.where(filled[:, :-1] >= 0, np.take_along_axis(z, np.maximum(filled[:, :-1], 0), axis=1), -1)
         move = here & (origin >= 0)
         # pairs: order of first use, uses in training, kinds of zone
-        first, longest, length = np.full((count, n, n), slots + 1), np.zeros((count, n), int), np.zeros(count, int)
-        for t in range(slots - 1, 0, -1):
-            own = np.flatnonzero(move[:, t])
-            first[own, origin[own, t], z[own, t]] = t
-        for t in range(end + 1):
-            same = here[:, t] & (z[:, t] == z[:, t - 1]) if t else np.zeros(count, bool)
-            length = np.where(same, length + 1, here[:, t])
-            own = np.flatnonzero(here[:, t])
-            longest[own, z[own, t]] = np.maximum(longest[own, z[own, t]], length[own])
-        used = first <= slots
+        mr, mt = np.nonzero(move)
+        mo, mz = origin[mr, mt], z[mr, mt]
+        code = (mr * n + mo) * n + mz
+        first = np.full(count * n * n, slots + 1)
+        first[code[::-1]] = mt[::-1]  # the last that is written is the earliest
+        first = first.reshape(count, n, n)
+        taken = np.bincount(code[mt < end], minlength=count * n * n).reshape(count, n, n)
+        seen, staying = np.zeros((2, count * n), bool)
+        training = z[:, : end + 1]
+        edge = np.ones((count, end + 2), bool)
+        edge[:, 1:-1] = training[:, 1:] != training[:, :-1]
+        at = np.flatnonzero(edge)  # where stays begin, and each run's end
+        r, t = at // (end + 2), at % (end + 2)
+        stay = np.flatnonzero((t <= end) & (training[r, np.minimum(t, end)] >= 0))
+        zone = r[stay] * n + training[r[stay], t[stay]]
+        seen[zone] = True
+        staying[zone[at[stay + 1] - at[stay] >= setup.min_stay]] = True
         order = np.argsort(first, axis=2, kind="stable")  # by rank: the destination
         rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.broadcast_to(every, order.shape), axis=2)
-        r, t = np.nonzero(move[:, :end])
-        taken = np.bincount((r * n + origin[r, t]) * n + z[r, t], minlength=count * n * n).reshape(count, n, n)
-        staying = longest >= setup.min_stay
-        valid = (taken > setup.min_taken) & (longest > 0)[:, :, None]
-        ranked = np.take_along_axis(valid, order, axis=2)
-        # rows: asked cells, by run, slot and rank
-        o = np.maximum(origin, 0)
-        made = rank[rows[:, None], o, np.maximum(z, 0)]
-        asked = move[:, :, None] & (every <= made[:, :, None]) & ranked[rows[:, None], o]
-        r, t, j = np.nonzero(asked)
-        o = origin[r, t]
-        d = order[r, o, j]
-        y = (z[r, t] == d).astype(float)
-        kind = np.where(~staying[r, o], 2, np.where(o == d, 0, 1))
-        x = np.zeros((len(r), 4))  # kernel_prob, lag1, lag2, gate
-        for c, (k, cube) in enumerate(((1, self.one), (2, self.two)), 1):
-            was = z[r, np.maximum(t - k, 0)]
-            p = np.where((t >= k) & (was >= 0), cube[t, np.maximum(was, 0), d], 0.0)
-            dense = np.zeros(asked.shape)
-            dense[r, t, j] = p
-            before = np.cumsum(dense, axis=2)[r, t, j - 1] * (j > 0)
-            x[:, c] = np.clip(p / np.maximum(1 - before, 1e-12), 0.0, 1.0)
-        x[:, 0] = self._kernel(r, t, o, d, y, kind)
-        x[:, 3] = self._gate(r, t, o, y, kind, count)
-        place = np.full(asked.shape, -1, np.int32)
-        place[r, t, j] = np.arange(len(r))
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(n), order.shape), axis=2)
+        valid = (taken > setup.min_taken) & seen.reshape(count, n)[:, :, None]
+        rank, valid = rank.reshape(-1, n), valid.reshape(-1, n)
+        # rows
+        own = np.flatnonzero((mr < half) | (mt > end))
+        mr, mt, mz, ro = mr[own], mt[own], mz[own], mr[own] * n + mo[own]
+        made = rank[ro, mz]
+        asked = np.flatnonzero(valid[ro] & (rank[ro] <= made[:, None]))
+        m, d = asked // n, asked % n
+        r, t, so = mr[m], mt[m], ro[m]
+        pair = so * n + d
+        o, j = so - r * n, rank.ravel()[pair]
+        y = mz[m] == d
+        kind = np.where(staying[so], (o != d).astype(np.int64), 2)
+        x = np.zeros((4, len(m)))  # kernel_prob, lag1, lag2, gate
+        for c, (k, cube) in enumerate(zip((1, 2), self.cubes, strict=True), 1):
+            was = np.where(mt >= k, z[mr, np.maximum(mt - k, 0)], -1)
+            base = np.where(was >= 0, (mt * n + was) * n, -1)[m]
+            p = np.where(base >= 0, cube[np.maximum(base, 0) + d], 0.0)
+            before = np.zeros((n, len(mr)))
+            before[j, m] = p
+            total = np.zeros(len(mr))
+            for i in range(n):
+                before[i], total = total, total + before[i]
+            x[c] = np.clip(p / np.maximum(1 - before[j, m], 1e-12), 0.0, 1.0)
         late = t > end
-        same = end - (end - t) % setup.per_day
-        ok = late & (same >= 0)
-        at = np.where(ok, place[r, np.maximum(same, 0), j], -1)
-        at = np.where((at >= 0) & (origin[r, np.maximum(same, 0)] == o), at, -1)
-        frozen = np.where((at >= 0)[:, None], x[at], np.array([0.5, 0.5, 0.5, 0.0]))
-        frozen = np.where(late[:, None], frozen, x)
-        for own in (x, frozen):
-            own[:, :3] = _logit(own[:, :3])
-        p_pm, p_oam = self._forecasts(r, t, d, y, kind, x, frozen, late, count)
-        return self._ends(r, t, o, j, p_pm, p_oam, late, move, origin, made, used, ranked, count)
-
-    def _kernel(self, r, t, o, d, y, kind) -> np.ndarray:
-        """kernel_prob: kernel.empirical_probability() of each row's pair."""
-        per = self.setup.per_day
-        pairs, at = np.unique((r * self.zones + o) * self.zones + d, return_inverse=True)
-        minutes, days = 1440 / per, -(-self.setup.slots // per)
-        there, one = np.zeros((2, len(pairs), days, per))
-        there[at, t // per, t % per] = 1.0
-        one[at, t // per, t % per] = y
-        stays = np.zeros(len(pairs), bool)
-        stays[at] = kind == 0
-        out = np.empty(len(r))
+        x[0] = self._kernel(pair, t, y, kind == 0, late, half * n * n, count * n * n)
+        x[3] = self._gate(so, t, y, kind == 0, late, half * n)
+        x[:3] = _logit(x[:3])
+        # frozen features: those of the last training day's slot
+        day = np.full((half * n * n, setup.per_day), -1, np.int32)
+        last = np.flatnonzero(~late & (t > end - setup.per_day))
+        per = setup.per_day
+        day[pair[last], t[last] % per] = last
+        rows = np.flatnonzero(late)
+        at = day[pair[rows] % (half * n * n), t[rows] % per]
+        frozen = np.where(at >= 0, x[:, at], 0.0)  # else even odds, and no gate
+        # series: by run and kind, then slot and destination
+        series = r * 3 + kind
+        sort = np.argsort(series.astype(np.int16), kind="stable")
+        trained = sort[~late[sort]]
+        place = np.zeros(len(m), np.int64)
+        place[rows] = np.arange(len(rows))
+        tested = place[sort[late[sort]]]  # numbered among the late rows
+        window = slice(end + 1, slots)
+        known = np.zeros(count * n * n)
+        return {
+            "half": half, "x": x[:, trained], "y": y[trained], "series": series[trained], "cell": pair[trained], "when": t[trained],
+            "late_x": x[:, rows[tested]], "frozen": frozen[:, tested], "late_y": y[rows[tested]], "late_series": series[rows[tested]], "tested": tested,
+            "late_cell": so[rows] * n + j[rows], "late_t": t[rows], "rank": rank, "known": known,
+            "move": move[:, window], "any": move.any(axis=1), "origin": origin[:, window], "z": z[:, window],
+            "pairs": (first <= slots).sum(axis=2).reshape(-1), "ranked": np.take_along_axis(valid, order.reshape(-1, n), axis=1),
+        }
+
+    def _kernel(self, pair, t, y, stays, late, half, number) -> np.ndarray:
+        """kernel_prob: kernel.empirical_probability() of each row's pair. Pairs from `half` on go on from the training of those before."""
+        per, out = self.setup.per_day, np.empty(len(pair))
+        minutes, days, start = 1440 / per, -(-self.setup.slots // per), (self.setup.end_of_training + 1) // per
+
+        def laid(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """There and one (days, pairs, per_day) of these rows' pairs, and the rows' cells."""
+            used = np.zeros(number, bool)
+            used[pair[own]] = True
+            names = np.flatnonzero(used)
+            at = np.cumsum(used) - 1
+            cell = (t[own] // per * len(names) + at[pair[own]]) * per + t[own] % per
+            there, one = np.zeros((2, days, len(names), per), np.uint8)
+            there.ravel()[cell], one.ravel()[cell] = 1, y[own]
+            again = np.flatnonzero((names >= half) & used[names - half])
+            for v in (there, one):
+                v[:start, again] = v[:start, at[names[again] - half]]
+            return there, one, cell
+
+        own = np.flatnonzero(stays)
+        there, one, cell = laid(own)
         bins, reach = max(1, round(15 / minutes)), max(1, round(90 / minutes))
-        spread = [sum(math.exp(-((dist / bins) ** 2)) * np.roll(v[stays], s, axis=2) for s, dist in offsets(per, reach)) for v in (one, there)]
-        sums, fade = np.zeros((2, int(stays.sum()), days, per)), math.exp(-1 / 14.0)
-        for k in range(1, days):
-            for total, v in zip(sums, spread, strict=True):
-                total[:, k] = (total[:, k - 1] + v[:, k - 1]) * fade
-        number = np.cumsum(stays) - 1
-        own = stays[at]
-        cell = number[at[own]], t[own] // per, t[own] % per
-        out[own] = (0.5 + sums[0][cell]) / (1 + sums[1][cell])
-        reach = max(0, round(60 / minutes))
-        spread = [np.max([np.roll(v[~stays], s, axis=2) for s, _ in offsets(per, reach)], axis=0) for v in (one, there)]
-        sums = [np.cumsum(v, axis=1) - v for v in spread]
-        number = np.cumsum(~stays) - 1
-        cell = number[at[~own]], t[~own] // per, t[~own] % per
-        out[~own] = (0.5 + sums[0][cell]) / (1 + sums[1][cell])
+        spread = sum(math.exp(-((dist / bins) ** 2)) * np.roll(np.eye(per), s, axis=1) for s, dist in offsets(per, reach))
+        fade, sums = math.exp(-1 / 14.0), []
+        for v in (one, there):
+            v = (v.reshape(-1, per).astype(float) @ spread).reshape(v.shape)
+            total = np.zeros(v.shape)
+            for k in range(1, days):
+                np.add(total[k - 1], v[k - 1], out=total[k])
+                total[k] *= fade
+            sums.append(total.ravel()[cell])
+        out[own] = (0.5 + sums[0]) / (1 + sums[1])
+        own = np.flatnonzero(~stays)
+        there, one, cell = laid(own)
+        reach, sums = max(0, round(60 / minutes)), []
+        for v in (one, there):
+            v = np.bitwise_or.reduce([np.roll(v, s, axis=2) for s, _ in offsets(per, reach)])
+            total = np.zeros(v.shape, np.int16)
+            for k in range(1, days):
+                np.add(total[k - 1], v[k - 1], out=total[k])
+            sums.append(total.ravel()[cell])
+        out[own] = (0.5 + sums[0]) / (1.0 + sums[1])
         return out
 
-    def _gate(self, r, t, o, y, kind, count) -> np.ndarray:
-        """gate: sequence.signed_leave_gate() of the pair's row before."""
-        setup, n, out = self.setup, self.zones, np.zeros(len(r))
-        own = np.flatnonzero(kind == 0)
-        own = own[np.argsort(t[own], kind="stable")]
-        cuts = np.searchsorted(t[own], np.arange(setup.slots + 1))
-        length, total, weight, gate = np.zeros((4, count * n))
-        last = np.full(count * n, -2)
-        series = r * n + o
-        for s in range(setup.slots):
-            at = own[cuts[s] : cuts[s + 1]]
-            if not len(at):
-                continue
-            k, hit = series[at], y[at] == 1
-            out[at] = gate[k]
-            before = np.where(last[k] == s - 1, length[k], 0.0)
-            done = ~hit & (before > 0)
-            total[k] = np.where(done, total[k] * setup.decay + before, total[k])
-            weight[k] = np.where(done, weight[k] * setup.decay + 1.0, weight[k])
-            run, have = np.where(hit, before + 1, before), weight[k] > 0
-            mean = total[k] / np.where(have, weight[k], 1.0)
-            gate[k] = np.where(have & (np.round(run - (mean - setup.gate_threshold), 9) > 0), -1.0, 0.0)
-            length[k], last[k] = np.where(hit, run, 0.0), s
+    def _gate(self, so, t, y, stays, late, half) -> np.ndarray:
+        """gate: sequence.signed_leave_gate() of the pair's row before. Series from `half` on go on from the training of those before."""
+        setup, out = self.setup, np.zeros(len(so))
+        own = np.flatnonzero(stays)
+        again = own[~late[own]]
+        rows = np.concatenate((again, own))
+        series = np.concatenate((so[again] + half, so[own]))
+        sort = np.argsort(series.astype(np.int16), kind="stable")
+        rows, series = rows[sort], series[sort]
+        if not len(rows):
+            return out
+        hit, slot = y[rows], t[rows]
+        same = np.concatenate(([False], series[1:] == series[:-1]))
+        run_on = same & np.concatenate(([False], (slot[1:] == slot[:-1] + 1) & hit[:-1]))
+        at = np.arange(len(rows))
+        length = at - np.maximum.accumulate(np.where(run_on, 0, at)) + 1  # of the run of hits that ends in a row
+        before = np.zeros(len(rows))
+        before[1:] = np.where(run_on[1:], length[:-1], 0)
+        done = ~hit & (before > 0)
+        which = np.flatnonzero(done)
+        count = np.cumsum(done)  # runs done so far, in all series
+        begin = np.maximum.accumulate(np.where(same, 0, at))  # of each row's series
+        number = count - (count - done)[begin]  # runs done so far in the row's own series
+        total, weight = np.zeros((2, len(which) + 1))
+        nth = number[which] - 1
+        turn = np.argsort(nth.astype(np.int16), kind="stable")
+        for k in np.split(turn, np.cumsum(np.bincount(nth))[:-1]) if len(which) else ():
+            go = nth[k[0]] > 0
+            total[k + 1] = (total[k] * setup.decay if go else 0.0) + before[which[k]]
+            weight[k + 1] = (weight[k] * setup.decay if go else 0.0) + 1.0
+        have = number > 0
+        mean = total[count] / np.where(have, weight[count], 1.0)
+        run = np.where(hit, before + 1, before)
+        gate = np.where(have & (np.round(run - (mean - setup.gate_threshold), 9) > 0), -1.0, 0.0)
+        out[rows[1:]] = np.where(same[1:], gate[:-1], 0.0)
+        out[rows[0]] = 0.0
         return out
 
-    def _forecasts(self, r, t, d, y, kind, x, frozen, late, count) -> tuple[np.ndarray, np.ndarray]:
-        """p_pm and p_oam of each row, as dglm.oam_and_pm() makes them; training is that of the first half's runs."""
-        n, slots, half = self.zones, self.setup.slots, count // 2
-        series = r * 3 + kind
-        sort = np.argsort((series * slots + t) * n + d)
-        p_pm, p_oam = np.full((2, len(r)), np.nan)
-
-        def cut(own: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-            edges = np.flatnonzero(np.diff(series[own])) + 1
-            return series[own[np.concatenate(([0], edges))]] if len(own) else np.zeros(0, int), np.split(own, edges) if len(own) else []
-
-        names, parts = cut(sort[~late[sort] & (r[sort] < half)])
-        states = {int(k): dglm.State.prior(self.design.size, self.variance) for k in names}
-        fits = [dglm.Series(y[i], np.ones(len(i)), frozen[i], states[int(k)]) for k, i in zip(names, parts, strict=True)]
-        for i, (p, _, _) in zip(parts, dglm.filtered_together(fits, self.design, False) if fits else [], strict=True):
-            p_pm[i] = p
-        names, parts = cut(sort[late[sort]])
-        fits, blank = [], dglm.State.prior(self.design.size, self.variance)
-        for k, i in zip(names, parts, strict=True):
-            own = states.get(int(k) % (3 * half), blank)
-            fits.append(dglm.Series(y[i], np.ones(len(i)), x[i], dglm.State(own.a.copy(), own.r.copy())))
-        if fits:
-            rows, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(i) for i in parts])
-            a, v = np.stack([f.state.a for f in fits])[of], np.stack([f.state.r for f in fits])
-            f_vec = self.design.vectors(frozen[rows])
-            rf = np.einsum("ijk,ik->ij", v[of], f_vec)
-            f, q = np.clip((f_vec * a).sum(axis=1), -dglm.WIDEST, dglm.WIDEST), np.maximum((f_vec * rf).sum(axis=1), 1e-10)
-            _, one, back = np.unique(f + 1j * q, return_index=True, return_inverse=True)  # the same slot of each day
-            alpha, beta = dglm.betas_of(f[one], q[one])
-            p_pm[rows] = (alpha / (alpha + beta))[back]
-            for i, (p, _, _) in zip(parts, dglm.filtered_together(fits, self.design, False), strict=True):
-                p_oam[i] = p
-        return p_pm, np.where(late, p_oam, p_pm)
-
-    def _ends(self, r, t, o, j, p_pm, p_oam, late, move, origin, made, used, ranked, count) -> np.ndarray:
+    def _forecasts(self, parts: list[dict]) -> None:
+        """p_pm and p_oam of each part's rows, as dglm.oam_and_pm() makes them: 'known', the last of training by pair and rank, and 'late' (2, rows)."""
+        size = self.size
+        base = np.cumsum([0, *(p["half"] for p in parts)])
+
+        def joined(name: str, axis: int = -1) -> np.ndarray:
+            return np.concatenate([p[name] for p in parts], axis=axis)
+
+        def dealt(series: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Series of these rows from the longest on, how many are that long at each step, and each row's place, step by step."""
+            edges = np.flatnonzero(np.concatenate(([True], series[1:] != series[:-1])))
+            lengths = np.diff(np.append(edges, len(series)))
+            longest = np.argsort(-lengths, kind="stable")
+            at = np.empty_like(longest)
+            at[longest] = np.arange(len(longest))
+            alive = np.cumsum(np.bincount(lengths)[::-1])[::-1][1:]
+            offset = np.cumsum(alive) - alive
+            step = np.arange(len(series)) - np.repeat(edges, lengths)
+            return series[edges][longest], alive, offset[step] + np.repeat(at, lengths)
+
+        def laid(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+            out = np.empty((size, x.shape[1]))
+            out[0] = 1.0
+            for i, v in enumerate(x, 1):
+                out[i, place] = v
+            return out
+
+        trained = np.concatenate([p["series"] + 3 * 2 * b for p, b in zip(parts, base, strict=False)])
+        a, v = np.zeros((size, 6 * base[-1] + 1)), np.zeros((size, size, 6 * base[-1] + 1))  # the last: a series without training
+        for i in range(size):
+            v[i, i] = self.variance
+        if len(trained):
+            names, alive, place = dealt(trained)
+            own, var = np.zeros((size, len(names))), np.repeat((np.eye(size) * self.variance)[:, :, None], len(names), axis=2)
+            y = np.empty(len(place), bool)
+            y[place] = joined("y")
+            made = _filtered(laid(joined("x"), place), y, alive, own, var)[place]
+            a[:, names], v[:, :, names] = own, var
+            at = 0
+            for p in parts:
+                k = len(p["series"])
+                turn = np.argsort(p["when"].astype(np.int16), kind="stable")
+                cell = p["cell"][turn]
+                cell = cell // self.zones * self.zones + p["rank"].ravel()[cell]
+                for side in (0, len(p["known"]) // 2):
+                    p["known"][cell + side] = made[at : at + k][turn]  # the last that is written is the latest
+                at += k
+        late = np.concatenate([p["late_series"] + 3 * 2 * b for p, b in zip(parts, base, strict=False)])
+        made = np.empty((2, len(late)))
+        if len(late):
+            names, alive, place = dealt(late)
+            half = np.repeat([3 * p["half"] for p in parts], [6 * p["half"] for p in parts])
+            begin = np.repeat([6 * b for b in base[:-1]], [6 * p["half"] for p in parts])
+            old = names - np.where(names - begin[names] >= half[names], half[names], 0)
+            own, var = a[:, old], v[:, :, old]
+            y = np.empty(len(place), bool)
+            y[place] = joined("late_y")
+            made[1] = _filtered(laid(joined("late_x"), place), y, alive, own.copy(), var.copy())[place]
+            made[0] = _filtered(laid(joined("frozen"), place), None, alive, own, var)[place]
+        at = 0
+        for p in parts:
+            k = len(p["late_series"])
+            p["late"] = np.empty((2, k))
+            p["late"][:, p["tested"]] = made[:, at : at + k]
+            at += k
+
+    def _ends(self, parts: list[dict]) -> np.ndarray:
         """log_l: running sums of the test slots' log factors less the largest before the last; those of training are 0."""
-        end, slots, n, half = self.setup.end_of_training, self.setup.slots, self.zones, count // 2
-        known = np.full((2, count, n, n), np.nan)  # the last forecast of each pair, by rank
-        early = np.flatnonzero(~late & (r < half))
-        cell = (r[early] * n + o[early]) * n + j[early]
-        _, back = np.unique(cell[::-1], return_index=True)  # rows are in order of slots
-        last = early[len(early) - 1 - back]
-        for side in (0, 1):
-            for own in (0, half):
-                known[side, r[last] + own, o[last], j[last]] = p_pm[last]
-        pairs = used.sum(axis=2)
-        total, top, log_l = np.zeros(count), np.zeros(count), np.where(move.any(axis=1), 0.0, np.nan)
-        rows = np.flatnonzero(late)
-        rows = rows[np.argsort(t[rows], kind="stable")]
-        cuts = np.searchsorted(t[rows], np.arange(slots + 1))
-        for s in range(end + 1, slots):
-            at = rows[cuts[s] : cuts[s + 1]]
-            known[0, r[at], o[at], j[at]], known[1, r[at], o[at], j[at]] = p_pm[at], p_oam[at]
+        end, slots, n = self.setup.end_of_training, self.setup.slots, self.zones
+        joined = lambda name, axis=0: np.concatenate([p[name] for p in parts], axis=axis)
+        first = joined("known").reshape(-1, n).T  # by rank: a pair with a model has a last forecast of training, others 0
+        known, size = np.repeat(first[:, None], 2, axis=1), first.shape[1]
+        flat = known.reshape(-1)
+        base = np.cumsum([0, *(len(p["known"]) for p in parts)])
+        cell, late = np.concatenate([p["late_cell"] + b for p, b in zip(parts, base, strict=False)]), joined("late", 1)
+        t = joined("late_t") - end - 1
+        turn = np.argsort(t.astype(np.int16), kind="stable")
+        cuts = np.searchsorted(t[turn], np.arange(slots - end))
+        cell = cell % n * (2 * size) + cell // n
+        move, origin, z, pairs, rank = (joined(c) for c in ("move", "origin", "z", "pairs", "rank"))
+        modelled = joined("ranked").T.copy()
+        ranked = modelled.sum(axis=0)
+        total, top, log_l = np.zeros(len(move)), np.zeros(len(move)), np.where(joined("any"), 0.0, np.nan)
+        for s in range(slots - end - 1):
+            at = turn[cuts[s] : cuts[s + 1]]
+            flat[cell[at]], flat[cell[at] + size] = late[0, at], late[1, at]
             own = np.flatnonzero(move[:, s])
             if not len(own):
                 continue
-            here = origin[own, s]
-            mod, c = ranked[own, here], known[:, own, here]
-            shares, left = np.full(c.shape, np.nan), np.ones((2, len(own)))
-            lost = np.zeros((2, len(own)), bool)
-            for k in range(n):
-                null = np.isnan(c[:, :, k])
-                shares[:, :, k] = np.where(mod[:, k] & ~lost, c[:, :, k] * left, np.nan)
-                left = np.where(mod[:, k] & ~null, left * (1 - c[:, :, k]), left)
-                lost |= mod[:, k] & null
-            whole = mod.sum(axis=1)
-            rest = np.where((~np.isnan(shares)).sum(axis=2) == whole, 1 - np.nansum(shares, axis=2), np.nan) / np.maximum(pairs[own, here] - whole, 1)
-            taken = made[own, s]
-            k = np.arange(len(own))
-            p = np.where(mod[k, taken], shares[:, k, taken], rest)
+            here, k = own * n + origin[own, s], np.arange(len(own))
+            whole, taken = ranked[here], rank[here, z[own, s]]
+            shares, left, gone = np.empty((n, 2, len(own))), np.ones((2, len(own))), np.zeros((2, len(own)))
+            for i in range(n):
+                c = known[i].take(here, axis=1)
+                np.multiply(c, left, out=shares[i])
+                gone += shares[i]
+                left *= np.subtract(1, c, out=c)
+            p = np.where(modelled[taken, here], shares[taken, :, k].T, (1 - gone) / np.maximum(pairs[here] - whole, 1))
             h = np.log(np.maximum(p[0], 1e-12)) - np.log(np.maximum(p[1], 1e-12))
-            h = np.where((whole > 0) & ~np.isnan(h), h, 0.0)  # both sides take the group's cell where no pair has a model
+            h[whole == 0] = 0.0  # both sides take the group's cell where no pair has a model
             total[own] += h
             log_l[own] = total[own] - top[own]
             top[own] = np.maximum(top[own], total[own])
         return log_l
 
 
+def _betas(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """dglm.betas_of(): one Newton step for all, from the table, and what curvature adds to it; more where it was not small."""
+    la, lb = dglm._near(f, q)
+    m, inverse = len(f), 1 / q
+    x = np.exp(np.concatenate((la, lb)))
+    d, t, u = dglm.polygammas_of(x)
+    r = 1 / (x + 4)
+    s = r * r
+    v = s * r * (2 + r * (3 + r * (2 - s)))  # the third derivative of psi, to some digits
+    for i in range(4):
+        np.divide(1.0, x + i, out=r)
+        np.multiply(r, r, out=s)
+        s *= s
+        s *= 6.0
+        v += s
+    r1, r2 = d[:m] - d[m:] - f, (t[:m] + t[m:]) * inverse - 1
+    t *= x
+    u *= x
+    v *= x
+    v *= x
+    v += u  # second derivatives by the logarithm: this of psi', t of psi
+    j11, j12, j21, j22 = t[:m], -t[m:], u[:m] * inverse, u[m:] * inverse
+    u *= x
+    t = t + u
+    with np.errstate(all="ignore"):
+        det = 1 / (j11 * j22 - j12 * j21)
+        step_a, step_b = (r1 * j22 - r2 * j12) * det, (j11 * r2 - j21 * r1) * det
+        aa, bb = step_a * step_a, step_b * step_b
+        h1, h2 = 0.5 * (t[:m] * aa - t[m:] * bb), 0.5 * inverse * (v[:m] * aa + v[m:] * bb)
+        la -= step_a + (h1 * j22 - h2 * j12) * det
+        lb -= step_b + (j11 * h2 - j21 * h1) * det
+    alpha, beta = np.exp(la), np.exp(lb)
+    more = np.flatnonzero(~((aa < 1e-7) & (bb < 1e-7)))
+    if len(more):
+        near = (aa[more] < 0.01) & (bb[more] < 0.01)
+        for own, begin in ((more[near], lambda i: (la[i], lb[i])), (more[~near], lambda i: dglm._starts(f[i], q[i]))):
+            if len(own):
+                alpha[own], beta[own] = dglm._newton(f[own], q[own], *begin(own))
+    return alpha, beta
+
+
+def _filtered(x: np.ndarray, y: np.ndarray | None, alive: np.ndarray, a: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Forecasts of dglm.filtered_together() for answers of 0 or 1, by place: x (size, rows) step by step, at each those of
+    the first alive[step] series. a (size, series) and r (size, size, series) are left as after the last rows; without y, as they are."""
+    p, at = np.empty(x.shape[1]), 0
+    for m in alive.tolist():
+        f_vec, own, var = x[:, at : at + m], a[:, :m], r[:, :, :m]
+        rf = (var * f_vec).sum(axis=1)
+        f, q = np.clip((own * f_vec).sum(axis=0), -dglm.WIDEST, dglm.WIDEST), np.maximum((rf * f_vec).sum(axis=0), 1e-10)
+        alpha, beta = _betas(f, q)
+        p[at : at + m] = alpha / (alpha + beta)
+        if y is not None:  # psi and psi' of x + 1 are those of x with 1 / x and - 1 / x^2
+            rf *= np.where(y[at : at + m], 1 / alpha, -1 / beta) / q
+            own += rf
+            var -= rf[:, None] * rf
+        at += m
+    return p
+
+
 def scores(names: list, zones: np.ndarray, cube: np.ndarray, setup, how: Injection, repetitions: int, seed: int) -> list[tuple]:
     """(agent, rep, positive, score) of each agent's repetitions whose injection succeeds; zones (agents, slots), -1 where there is none."""
     per, days = setup.per_day, setup.slots // setup.per_day
@@ -444,8 +597,7 @@ def scores(names: list, zones: np.ndarray, cube: np.ndarray, setup, how: Injecti
         own = good[at : at + TOGETHER]
         regular = base[agent[own][:, None], source[own]]
         changed = regular.copy()
-        for i, k in enumerate(own):
-            changed[i, start:] = injected_days(choices, agent[k], source[k, start:], bytes(prefix[k]), int(attempt[k]), start)
+        changed[:, start:] = injected_days(choices, agent[own], source[own, start:], prefix[own], attempt[own], start)
         made = factors.of(np.concatenate((regular, changed)).reshape(2 * len(own), -1)).reshape(2, -1)
         out += [(names[agent[k]], int(rep[k]), bool(side), float(made[side, i])) for i, k in enumerate(own) for side in (0, 1) if made[side, i] == made[side, i]]
     return out

@@ -61,7 +61,7 @@ def group_rows(panel: DataFrame, setup: Setup = Setup()) -> DataFrame:
     occupancy at a slot counts the slot's own moves.
     """
     pair = ["origin", "dest"]
-    od = counts.od_counts(panel)
+    od = kept(counts.od_counts(panel))
     ranked = counts.od_ranked(od.filter(F.col("slot") <= setup.end_of_training))
     sizes = counts.cascade_sizes(od, ranked, counts.occupancy(panel), 1, setup.slots - 1)
     series = sizes.join(od, [*pair, "slot"], "left").select(*pair, "slot", F.coalesce("n", F.lit(0)).alias("y"), F.col("size").alias("n"))
