@@ -302,16 +302,15 @@ class Factors:
         x[0] = self._kernel(pair, t, y, kind == 0, late, half * n * n, count * n * n)
         x[3] = self._gate(so, t, y, kind == 0, late, half * n)
         x[:3] = _logit(x[:3])
-        # frozen features: those of the last training day's slot
+        # frozen features: those of the last training day's slot, else even odds and no gate
+        series = r * 3 + kind
         day = np.full((half * n * n, setup.per_day), -1, np.int32)
         last = np.flatnonzero(~late & (t > end - setup.per_day))
         per = setup.per_day
-        day[pair[last], t[last] % per] = last
+        day[pair[last], t[last] % per] = np.arange(len(last))
         rows = np.flatnonzero(late)
         at = day[pair[rows] % (half * n * n), t[rows] % per]
-        frozen = np.where(at >= 0, x[:, at], 0.0)  # else even odds, and no gate
         # series: by run and kind, then slot and destination
-        series = r * 3 + kind
         sort = np.argsort(series.astype(np.int16), kind="stable")
         trained = sort[~late[sort]]
         place = np.zeros(len(m), np.int64)
@@ -321,7 +320,8 @@ class Factors:
         known = np.zeros(count * n * n)
         return {
             "half": half, "x": x[:, trained], "y": y[trained], "series": series[trained], "cell": pair[trained], "when": t[trained],
-            "late_x": x[:, rows[tested]], "frozen": frozen[:, tested], "late_y": y[rows[tested]], "late_series": series[rows[tested]], "tested": tested,
+            "last_x": x[:, last], "last_series": series[last], "frozen": np.where(at >= 0, at, len(last) + series[rows] % (3 * half)),
+            "late_x": x[:, rows[tested]], "late_y": y[rows[tested]], "late_series": series[rows[tested]], "tested": tested,
             "late_cell": so[rows] * n + j[rows], "late_t": t[rows], "rank": rank, "known": known,
             "move": move[:, window], "any": move.any(axis=1), "origin": origin[:, window], "z": z[:, window],
             "pairs": (first <= slots).sum(axis=2).reshape(-1), "ranked": np.take_along_axis(valid, order.reshape(-1, n), axis=1),
@@ -457,7 +457,7 @@ class Factors:
                     p["known"][cell + side] = made[at : at + k][turn]  # the last that is written is the latest
                 at += k
         late = np.concatenate([p["late_series"] + 3 * 2 * b for p, b in zip(parts, base, strict=False)])
-        made = np.empty((2, len(late)))
+        made = np.empty(0)
         if len(late):
             names, alive, place = dealt(late)
             half = np.repeat([3 * p["half"] for p in parts], [6 * p["half"] for p in parts])
@@ -466,14 +466,20 @@ class Factors:
             own, var = a[:, old], v[:, :, old]
             y = np.empty(len(place), bool)
             y[place] = joined("late_y")
-            made[1] = _filtered(laid(joined("late_x"), place), y, alive, own.copy(), var.copy())[place]
-            made[0] = _filtered(laid(joined("frozen"), place), None, alive, own, var)[place]
+            made = _filtered(laid(joined("late_x"), place), y, alive, own, var)[place]
         at = 0
-        for p in parts:
+        for p, b in zip(parts, base, strict=False):
             k = len(p["late_series"])
             p["late"] = np.empty((2, k))
-            p["late"][:, p["tested"]] = made[:, at : at + k]
+            p["late"][1, p["tested"]] = made[at : at + k]
             at += k
+            # the frozen model: forecasts of the last day's rows, and of rows that have none there
+            all_ = 6 * b + np.arange(3 * p["half"])
+            x = np.zeros((size, len(p["last_series"]) + len(all_)))
+            x[0], x[1:, : len(p["last_series"])] = 1.0, p["last_x"]
+            old = np.concatenate((6 * b + p["last_series"], all_))
+            alpha, beta = _betas(*_moments(x, a[:, old], v[:, :, old])[1:])
+            p["late"][0] = (alpha / (alpha + beta))[p["frozen"]]
 
     def _ends(self, parts: list[dict]) -> np.ndarray:
         """log_l: running sums of the test slots' log factors less the largest before the last; those of training are 0."""
@@ -556,20 +562,24 @@ def _betas(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alpha, beta
 
 
-def _filtered(x: np.ndarray, y: np.ndarray | None, alive: np.ndarray, a: np.ndarray, r: np.ndarray) -> np.ndarray:
+def _moments(f_vec: np.ndarray, a: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """RF, f and q of dglm.prior_of(), series in the last dimension."""
+    rf = (r * f_vec).sum(axis=1)
+    return rf, np.clip((a * f_vec).sum(axis=0), -dglm.WIDEST, dglm.WIDEST), np.maximum((rf * f_vec).sum(axis=0), 1e-10)
+
+
+def _filtered(x: np.ndarray, y: np.ndarray, alive: np.ndarray, a: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Forecasts of dglm.filtered_together() for answers of 0 or 1, by place: x (size, rows) step by step, at each those of
-    the first alive[step] series. a (size, series) and r (size, size, series) are left as after the last rows; without y, as they are."""
+    the first alive[step] series. a (size, series) and r (size, size, series) are left as after the last rows."""
     p, at = np.empty(x.shape[1]), 0
     for m in alive.tolist():
         f_vec, own, var = x[:, at : at + m], a[:, :m], r[:, :, :m]
-        rf = (var * f_vec).sum(axis=1)
-        f, q = np.clip((own * f_vec).sum(axis=0), -dglm.WIDEST, dglm.WIDEST), np.maximum((rf * f_vec).sum(axis=0), 1e-10)
+        rf, f, q = _moments(f_vec, own, var)
         alpha, beta = _betas(f, q)
         p[at : at + m] = alpha / (alpha + beta)
-        if y is not None:  # psi and psi' of x + 1 are those of x with 1 / x and - 1 / x^2
-            rf *= np.where(y[at : at + m], 1 / alpha, -1 / beta) / q
-            own += rf
-            var -= rf[:, None] * rf
+        rf *= np.where(y[at : at + m], 1 / alpha, -1 / beta) / q  # psi and psi' of x + 1 are those of x with 1 / x and - 1 / x^2
+        own += rf
+        var -= rf[:, None] * rf
         at += m
     return p
 
